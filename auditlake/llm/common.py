@@ -95,7 +95,7 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
 
 def plan_bytes(df: DataFrame, row: int = 4096) -> int:
     """Spark's own estimate of the rows' size, from file sizes where it reads files; else counted rows."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return size if size < 1 << 58 else row * df.count()
 
 

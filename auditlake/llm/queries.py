@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
+from . import op2_neardup, op8_substring
 from .op1_quality import op1_quality
 
-QUERIES = {"op1_quality": op1_quality}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_quality": op1_quality,
+    "op2_near_duplicates": op2_neardup.op2_near_duplicates,
+    "op8_substring": op8_substring.op8_substring,
+}
+ORACLES = {
+    "op2_near_duplicates": op2_neardup.ORACLE,
+    "op8_substring": op8_substring.ORACLE,
+}
