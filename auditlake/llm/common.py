@@ -144,3 +144,15 @@ def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def worker_store() -> dict:
+    """A dictionary that lives as long as the Python worker, for what is slow to load."""
+    import sys
+    import types
+
+    name = "_auditlake_worker_store"
+    if name not in sys.modules:
+        sys.modules[name] = types.ModuleType(name)
+        sys.modules[name].kept = {}
+    return sys.modules[name].kept
