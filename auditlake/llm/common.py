@@ -116,6 +116,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """df marked for broadcast if a count finds at most so many rows, else as it is, for a shuffled join.
+
+    df must be cut or cheap, as it is counted here; its rows are a few numbers wide.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+#: Ids that are broadcast at most: some 16 MB.
+ID_ROWS = 500_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for written tables: the checkpoint folder, which driver and executors share."""
     sc = spark.sparkContext

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, cut, table
+from .common import WORD_GAP, cut, small, table
 
 #: Figures in thousandths; higher is worse.
 RULES = {
@@ -125,8 +125,8 @@ def calibrate(labelled: DataFrame, stratum: str = "stratum", risk: float = 0.02,
 
 
 def verdict(rows: DataFrame, cuts: DataFrame, stratum: str = "stratum") -> DataFrame:
-    """rows with the cutoffs of their stratum and kept.  Spark broadcasts cuts by its measured size, or joins by key."""
-    c = cuts.withColumnRenamed("stratum", "_stratum")
+    """rows with the cutoffs of their stratum and kept.  cuts is broadcast if it is counted to be small."""
+    c = small(cuts).withColumnRenamed("stratum", "_stratum")
     out = rows.join(c, rows[stratum].eqNullSafe(c["_stratum"]), "left").drop("_stratum")
     fails = [F.coalesce(rule() > F.col(f"cut_{r}"), F.lit(False)) for r, rule in RULES.items()]
     bad = F.col("base_failed")
@@ -148,7 +148,7 @@ def quality_table(docs: DataFrame, labels: DataFrame, risk: float = 0.02) -> Dat
     """
     rows = features(docs.select("doc_id", "text", F.col("lang").alias("stratum"))).drop("text")
     rows = cut(rows)
-    return verdict(rows, calibrate(_labelled(rows, labels), risk=risk))
+    return verdict(rows, cut(calibrate(_labelled(rows, labels), risk=risk)))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, risk: float = 0.02) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, arrow_map, cut, mix, rolling, table, text_bytes, word_hashes
+from .common import ID_ROWS, U64, arrow_map, cut, mix, rolling, small, table, text_bytes, word_hashes
 from .components import connected_components
 
 BANDS, ROWS = 40, 5
@@ -127,7 +127,7 @@ def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of representatives that are linked, checked on signatures and then on full sets."""
     at = lambda side: reps.select(F.col("rep").alias(side), F.col("signature").alias(f"s{side}"))
     likely = cut(arrow_map(pairs.join(at("b"), "b").join(at("a"), "a").select("a", "b", "sa", "sb"), _likely, "a long, b long"))
-    needed = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    needed = small(cut(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), ID_ROWS)  # else the texts are shuffled
     sets = arrow_map(docs.join(needed, "doc_id", "left_semi").select("doc_id", "text"), _sets, "id long, digest binary, own binary")
     sets = sets.join(reps.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi")  # where rows share a doc_id
     side = lambda c: sets.select(F.col("id").alias(c), F.col("own").alias(f"x{c}"))

@@ -19,7 +19,7 @@ probing the block index with every rolling 7-word window meets every shared pass
   smallest doc_id of all.  Unions of the repeated windows are the maximal repeats.
 * Pass 3: each chunk drops the covered words.
 
-Nothing is broadcast or collected.  A chunk is about 8 MB as stored, whatever the keys are,
+Nothing is broadcast or collected.  A chunk is about 4 MB as stored, whatever the keys are,
 and a bucket holds distinct hashes of each chunk, so hot passages stay small.
 
 Defined results: null text has no words; documents under 13 words lose nothing; rows of one
@@ -227,7 +227,7 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} " + {"int64": "long", "binary": "binary", "string": "string"}[str(f.type)] for f in schema)
 
 
-def substring_dedup(docs: DataFrame, mb: int = 8, with_text: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, mb: int = 4, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and kept_text (kept words, one space between; null unless with_text) of every row.
 
     mb: stored MB a chunk.  Chunks and buckets exchange chunks x buckets blobs, so give

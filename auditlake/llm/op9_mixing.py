@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, cut, table, word_count
+from .common import WORD_GAP, cut, small, table, word_count
 
 WEIGHTS, BUDGET, CAP, SEED = (5, 2, 1), 1.5, 2, 20240611
 
@@ -55,13 +55,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: float = C
     running = running.join(p, F.col("source").eqNullSafe(F.col("_s")))
     edge = running.where((F.col("upto") >= F.col("more")) & (F.col("upto") - F.col("n") < F.col("more")))
     edge = edge.select("_s", F.col("_range").alias("_r"), (F.col("more") - F.col("upto") + F.col("n")).alias("need"))
-    inside = keyed.select("source", "doc_id", "_h", "_size", "_range").join(edge, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
+    inside = keyed.select("source", "doc_id", "_h", "_size", "_range").join(small(cut(edge)), F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
     inside = inside.groupBy("_s", "_h", "doc_id", "need").agg(F.sum("_size").alias("n"))
     inside = inside.withColumn("upto", F.sum("n").over(Window.partitionBy("_s").orderBy("_h", F.col("doc_id").asc_nulls_first())))
     last = inside.where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need")))
     last = last.select(F.col("_s").alias("_ls"), F.col("_h").alias("_lh"), F.col("doc_id").alias("_ld"), (F.col("need") - F.col("upto") + F.col("n")).alias("_part"), F.col("n").alias("_of"))
     p = cut(p.join(last, F.col("_s").eqNullSafe(F.col("_ls")), "left"))
-    out = keyed.join(p, F.col("source").eqNullSafe(F.col("_s")), "left")
+    out = keyed.join(small(p), F.col("source").eqNullSafe(F.col("_s")), "left")
     here = (F.col("_h") == F.col("_lh")) & F.col("doc_id").eqNullSafe(F.col("_ld"))
     earlier = (F.col("_h") < F.col("_lh")) | ((F.col("_h") == F.col("_lh")) & (F.coalesce("doc_id", F.lit(-(1 << 63))) < F.coalesce("_ld", F.lit(-(1 << 63)))))
     extra = F.when(F.col("_lh").isNull(), 0).when(here, F.floor(F.col("_part") * F.col("_size") / F.col("_of"))).when(earlier, F.col("_size")).otherwise(0).cast("long")

@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import shared_dir, table, word_count
+from auditlake.llm.common import ID_ROWS, cut, shared_dir, small, table, word_count
 from auditlake.llm.op1_quality import quality_filter
 from auditlake.llm.op2_neardup import near_duplicates
 from auditlake.llm.op5_lines import line_dedup
@@ -35,7 +35,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays.  Only ids are joined to the texts; rows of a kept doc_id all stay."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    gone = small(cut(near_duplicates(docs).where("not kept").select("doc_id").distinct()), ID_ROWS)
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
