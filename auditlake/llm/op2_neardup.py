@@ -10,12 +10,16 @@ documents are linked when 100 * |A and B| >= 80 * |A or B|.
    probability (1 - 0.8**5)**40, about 1e-7.
 2. Exact copies meet in their digest; its smallest doc_id stands for them.
 3. In each band bucket every member is paired with the smallest one (a star, never all
-   pairs).  Pairs are checked on sizes, signatures, then on the full sets.
-4. Confirmed pairs make components by large-star and small-star.  Only then are members
-   that are not in their bucket's main component paired with the bucket's members of other
-   components, checked likewise and merged.  So each pair that shares a bucket ends in one
-   component or has been checked: no link is lost to the stars, and the pairs stay linear
-   in a group of copies however large it is.
+   pairs).  Pairs are checked on sizes, signatures, then on the full sets, and confirmed
+   pairs make components by large-star and small-star.
+4. Members of buckets that still hold several components meet the one with the fewest rare
+   shingles (that at most RARE such members have) in their bucket, which in a group of edited
+   copies is the text they were made from.
+5. What is still apart is paired within its buckets where  rare shingles common to both +
+   min(other shingles of A, other shingles of B), the most that |A and B| can be, allows a
+   link; pairs with a common rare shingle come from the rare shingles' lists.  So each pair
+   that shares a bucket ends in one component, or was checked, or was proved unlinked: no
+   link is lost, and pairs stay near linear in a group of copies however large it is.
 
 Defined results: null or wordless text is its own component and kept; rows of one doc_id
 count as one node, and each gets its row; a null doc_id with a text takes part as a copy
@@ -24,6 +28,7 @@ only: it gets its copies' component, or null and kept if there are none.
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import partial
 from hashlib import blake2b
 
@@ -123,18 +128,99 @@ def _linked(percent: int, batch: pa.RecordBatch) -> pa.RecordBatch:
     return batch.filter(pa.array(keep)).select(["a", "b"])
 
 
+def _spread(buckets: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The shingles of a batch of sets (id, own, part, odd), dealt to hash buckets as packed arrays with their owners."""
+    own = [np.frombuffer(x, U64) for x in batch.column("own").to_pylist()]
+    every, owner = np.concatenate(own), np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in own])
+    to = (every % U64(buckets)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    ends = np.searchsorted(to[order], np.arange(buckets + 1))
+    who = b"".join(np.array(batch.column(c).to_pylist(), np.int64).tobytes() for c in ("id", "part", "odd"))
+    rows = [(b, every[order[x:y]].tobytes(), owner[order[x:y]].tobytes(), who) for b, (x, y) in enumerate(zip(ends[:-1], ends[1:])) if y > x]
+    cols = list(zip(*rows)) if rows else ((),) * 4
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "h", "owner", "who"])
+
+
+def _rare(most: int, rows: pa.Table) -> pa.Table:
+    """Of the bucket's shingles that at most so many of these documents have: (a, null, how many a has), and
+    (a, b, how many a and b have both) for odd a and b of another part."""
+    who = [np.frombuffer(x, np.int64).reshape(3, -1) for x in rows.column("who").to_pylist()]
+    shift = np.cumsum([0] + [x.shape[1] for x in who])
+    ids, part, odd = np.concatenate(who, axis=1)
+    h = np.concatenate([np.frombuffer(x, U64) for x in rows.column("h").to_pylist()])
+    owner = np.concatenate([np.frombuffer(x, np.int32) + s for x, s in zip(rows.column("owner").to_pylist(), shift)])
+    order = np.argsort(h, kind="stable")
+    h, owner = h[order], owner[order]
+    starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    counts = np.diff(np.append(starts, len(h)))
+    few = np.repeat(counts <= most, counts)
+    has, n = np.unique(ids[owner[few]], return_counts=True)
+    seen = np.add.reduceat(odd[owner], starts) > 0
+    found: Counter = Counter()
+    for s, c in zip(starts[seen & (counts <= most) & (counts > 1)], counts[seen & (counts <= most) & (counts > 1)]):
+        group = owner[s : s + c]
+        for x in group[odd[group] > 0]:
+            found.update((min(a, b), max(a, b)) for a, b in ((int(ids[x]), int(y)) for y in ids[group[(part[group] != part[x]) & ((odd[group] == 0) | (ids[group] > ids[x]))]]))
+    a, b = zip(*found) if found else ((), ())
+    return pa.table({"a": pa.array(has.tolist() + list(a), pa.int64()), "b": pa.array([None] * len(has) + list(b), pa.int64()), "n": pa.array(n.tolist() + list(found.values()), pa.int64())})
+
+
+def _sets_of(ids: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, own) with the full sets of representatives; ids: doc_id, distinct and cut."""
+    sets = arrow_map(docs.join(small(ids, ID_ROWS), "doc_id", "left_semi").select("doc_id", "text"), _sets, "id long, digest binary, own binary")  # beyond ID_ROWS the texts are shuffled
+    return sets.join(reps.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi").select("id", "own")  # where rows share a doc_id
+
+
 def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of representatives that are linked, checked on signatures and then on full sets."""
     at = lambda side: reps.select(F.col("rep").alias(side), F.col("signature").alias(f"s{side}"))
     likely = cut(arrow_map(pairs.join(at("b"), "b").join(at("a"), "a").select("a", "b", "sa", "sb"), _likely, "a long, b long"))
-    needed = small(cut(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), ID_ROWS)  # else the texts are shuffled
-    sets = arrow_map(docs.join(needed, "doc_id", "left_semi").select("doc_id", "text"), _sets, "id long, digest binary, own binary")
-    sets = sets.join(reps.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi")  # where rows share a doc_id
+    sets = _sets_of(cut(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), reps, docs)
     side = lambda c: sets.select(F.col("id").alias(c), F.col("own").alias(f"x{c}"))
     full = likely.join(side("b"), "b").join(side("a"), "a").select("a", "b", "xa", "xb")
     return cut(arrow_map(full, partial(_linked, SIMILARITY), "a long, b long"))
 
 
+def _parts(links: DataFrame) -> DataFrame:
+    return cut(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+
+
+def _mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """The members (key, rep, n, ...) of buckets that still hold several components, with part and the bucket's main part."""
+    named = members.join(parts, F.col("rep") == F.col("node"), "left").withColumn("part", F.coalesce("component", "rep")).drop("node", "component")
+    named = cut(named)
+    mixed = named.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min_by("part", "rep").alias("main"), F.min("n").alias("least_n"))
+    return named.join(mixed.where("lo < hi").select("key", "main", "least_n"), "key")
+
+
+def _fits(x: str, y: str, of: str = "n") -> str:
+    """The sizes of two sets allow a link; of = shared: an intersection of that size at most allows it too."""
+    s = SIMILARITY
+    if of == "n":
+        return f"100 * least({x}.n, {y}.n) >= {s} * greatest({x}.n, {y}.n)"
+    return f"{100 + s} * least({x}.shared, {y}.shared) >= {s} * ({x}.n + {y}.n)"
+
+
+#: Shingles that at most so many of the documents compared have count as rare.
+RARE = 32
+
+
+def _rare_counts(mixed: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, null, common) rare shingles of every member, and (a, b, common) those that two of unlike parts have both."""
+    who = cut(mixed.groupBy(F.col("rep").alias("id")).agg(F.max("part").alias("part"), F.max((F.col("part") != F.col("main")).cast("long")).alias("odd"), F.max("n").alias("n")))
+    total = who.agg(F.sum("n")).first()[0] or 0
+    sets = _sets_of(who.select(F.col("id").alias("doc_id")), reps, docs).join(who, "id").select("id", "own", "part", "odd")
+    dealt = arrow_map(sets, partial(_spread, max(4, total // 2_000_000)), "bucket long, h binary, owner binary, who binary")
+    found = dealt.groupBy("bucket").applyInArrow(lambda rows: _rare(RARE, rows), "a long, b long, n long")
+    return cut(found.groupBy("a", "b").agg(F.sum("n").alias("common")))
+
+
+def _shared(mixed: DataFrame, rare: DataFrame) -> DataFrame:
+    """mixed with shared: how many shingles of a member are not rare."""
+    own = rare.where("b is null").select(F.col("a").alias("_a"), "common")
+    return mixed.join(own, F.col("rep") == F.col("_a"), "left").withColumn("shared", F.col("n") - F.coalesce("common", F.lit(0))).drop("_a", "common")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text); see the module."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -146,25 +232,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     banded = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("last")).where("center < last").select("key", "center")
     members = cut(banded.join(buckets, "key"))
-    fits = f"100 * least({{0}}.n, {{1}}.n) >= {SIMILARITY} * greatest({{0}}.n, {{1}}.n)"
-    sizes = reps.select(F.col("rep").alias("center"), F.col("n_shingles").alias("cn"))
-    star = members.where("rep <> center").select(F.col("center"), F.col("rep").alias("b"), "n").distinct()
-    star = star.join(sizes, "center").where(f"100 * least(n, cn) >= {SIMILARITY} * greatest(n, cn)").select(F.col("center").alias("a"), "b")
-    star = cut(star)
-    links = _confirm(star, reps, docs)
-    parts = cut(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-
-    named = members.join(parts, F.col("rep") == F.col("node"), "left").select("key", "center", "rep", "n", F.coalesce("component", "rep").alias("part"))
-    named = cut(named)
-    mixed = named.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min_by("part", "rep").alias("main")).where("lo < hi").select("key", "main")
-    named = named.join(mixed, "key")
-    odd, other = named.where("part <> main").alias("o"), named.alias("m")
-    rest = odd.join(other, (F.col("o.key") == F.col("m.key")) & (F.col("o.part") != F.col("m.part")) & ((F.col("m.part") == F.col("m.main")) | (F.col("o.rep") < F.col("m.rep"))) & F.expr(fits.format("o", "m")))
-    rest = rest.select(F.least("o.rep", "m.rep").alias("a"), F.greatest("o.rep", "m.rep").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = _confirm(cut(rest), reps, docs)
-    if not more.isEmpty():
-        links = links.union(more)
-        parts = cut(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    sizes = reps.select(F.col("rep").alias("a"), F.struct(F.col("n_shingles").alias("n")).alias("x"))
+    star = members.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b"), F.struct("n").alias("y")).distinct()
+    links = _confirm(cut(star.join(sizes, "a").where(_fits("x", "y")).select("a", "b").distinct()), reps, docs)
+    members = members.select("key", "rep", "n")
+
+    mixed = cut(_mixed(members, _parts(links)))
+    rare = _rare_counts(mixed, reps, docs)
+    mixed = cut(_shared(mixed, rare))
+
+    # every other member meets the bucket's most central one: the one with the fewest words of its own
+    center = mixed.groupBy("key").agg(F.min_by(F.struct("rep", "part", "n", "shared"), F.struct(F.col("n") - F.col("shared"), F.col("rep"))).alias("c"))
+    again = mixed.withColumn("m", F.struct("n", "shared")).join(center, "key").where("part <> c.part").where(_fits("m", "c"))
+    again = again.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
+    links = cut(links.union(_confirm(cut(again), reps, docs)))
+
+    # what is still apart: members out of the main component meet all others they could be linked with
+    mixed = cut(_mixed(members, _parts(links)))
+    rare = _rare_counts(mixed, reps, docs)
+    mixed = cut(_shared(mixed, rare))
+    room = f"{100 + SIMILARITY} * shared >= {SIMILARITY} * (n + greatest(least_n, n * {SIMILARITY} div 100))"
+    odd, other = mixed.where("part <> main").where(room).alias("o"), mixed.where(room).alias("m")
+    apart = (F.col("o.key") == F.col("m.key")) & (F.col("o.part") != F.col("m.part")) & ((F.col("m.part") == F.col("m.main")) | (F.col("o.rep") < F.col("m.rep")))
+    rest = odd.join(other, apart & F.expr(_fits("o", "m")) & F.expr(_fits("o", "m", "shared")))
+    rest = rest.select(F.least("o.rep", "m.rep").alias("a"), F.greatest("o.rep", "m.rep").alias("b"))
+    side = lambda c, r: mixed.select(F.col("rep").alias(c), F.struct("n", "shared").alias(r)).distinct()
+    both = rare.where("b is not null").join(side("a", "x"), "a").join(side("b", "y"), "b")
+    both = both.where(f"{100 + SIMILARITY} * (common + least(x.shared, y.shared)) >= {SIMILARITY} * (x.n + y.n)").where(_fits("x", "y")).select("a", "b")
+    parts = _parts(links.union(_confirm(cut(rest.union(both).distinct()), reps, docs)))
 
     out = signed.select("doc_id", "digest", "n_shingles").join(copies, "digest", "left").join(parts, F.col("rep") == F.col("node"), "left")
     component = F.coalesce("component", "rep", "doc_id")
