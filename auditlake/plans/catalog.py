@@ -1,20 +1,174 @@
-"""Registered queries of the audit engine and their SQL."""
+"""Registered queries of the audit engine and their SQL.
+
+The driver's tables stand in for the history tables: `events` for polls (user_id: site,
+value: response), `orders` for snapshots of a customer's rank.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from auditlake.operators import checks, graph
+from auditlake.sources.html import extract_pages
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _records(spark, sf_dir):
+    return extract_pages(_t(spark, sf_dir, "pages"))
+
+
+def page_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's penalty, number of failed checks and score."""
+    records = _records(spark, sf_dir)
+    return checks.page_scores(checks.evaluate(records, checks.registry()), _t(spark, sf_dir, "pages"))
+
+
+def check_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.outcomes(_records(spark, sf_dir), checks.registry())
+
+
+def category_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = checks.evaluate(_records(spark, sf_dir), checks.registry())
+    return found.groupBy("category").agg(F.count_distinct("check_id").alias("failed_checks"), F.count_distinct("page_id").alias("touched_pages"))
+
+
+def url_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.evaluate(_t(spark, sf_dir, "pages"), checks.url_checks()).select("page_id", "check_id", "severity")
+
+
+def markup_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.evaluate(_t(spark, sf_dir, "pages"), checks.markup_checks()).select("page_id", "check_id", "severity")
+
+
+def link_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = graph.link_rows(_records(spark, sf_dir))
+    return links.groupBy("from_page").agg(F.count("*").alias("links"), F.count_if("internal").alias("internal"), F.count_if("nofollow").alias("nofollow"), F.count_distinct("key").alias("targets"))
+
+
+def inbound_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.inbound(_records(spark, sf_dir))
+
+
+def orphan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.orphans(_records(spark, sf_dir))
+
+
+def page_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = _records(spark, sf_dir).select("page_id", "page_key", "links")
+    return graph.pagerank(records.select(F.col("page_key").alias("node")), graph.edges(records))
+
+
+def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = _records(spark, sf_dir).select("page_id", "title", "description", "headings", "body_text")
+    clean = lambda c: F.trim(F.lower(F.coalesce(c, F.lit(""))))
+    body = F.when(F.length("body_text") > 200, F.substring(F.trim(F.regexp_replace(F.lower("body_text"), r"(?U)\s+", " ")), 1, 2000)).otherwise("")
+    h1 = F.get(F.filter("headings", lambda h: h["level"] == 1), F.lit(0))["text"]
+    kinds = (("title", clean(F.col("title"))), ("description", clean(F.col("description"))), ("h1", clean(h1)), ("content", body))
+    out = [graph.duplicates(records, key, name) for name, key in kinds]
+    return out[0].union(out[1]).union(out[2]).union(out[3])
+
+
+def uptime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks, failures and mean response of every site; a poll of type 'error' or without a value is down."""
+    e = _t(spark, sf_dir, "events")
+    down = F.coalesce((F.col("event_type") == "error") | F.col("value").isNull(), F.lit(True))
+    return e.groupBy("user_id").agg(F.count("*").alias("checks"), F.count_if(down).alias("failures"), F.round(100 * F.count_if(~down) / F.count("*"), 6).alias("uptime_pct"), F.round(F.avg("value"), 6).alias("mean_response"))
+
+
+def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of consecutive slow polls (value over 50) of a site: gaps and islands by a running count of good polls."""
+    e = _t(spark, sf_dir, "events").withColumn("bad", F.coalesce(F.col("value") > 50, F.lit(True)))
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    runs = e.withColumn("island", F.sum(F.when(F.col("bad"), 0).otherwise(1)).over(order)).where("bad")
+    return runs.groupBy("user_id", "island").agg(F.min("ts").alias("started_at"), F.max("ts").alias("last_at"), F.count("*").alias("failure_count"))
+
+
+def latest_and_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest and previous snapshot of every customer and the movement between them."""
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
+    o = _t(spark, sf_dir, "orders").withColumn("previous", F.lead("o_totalprice").over(w)).withColumn("rn", F.row_number().over(w)).where("rn = 1")
+    return o.select("o_custkey", F.col("o_totalprice").alias("latest"), "previous", F.round(F.col("previous") - F.col("o_totalprice"), 4).alias("movement"))
+
+
+def first_and_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _t(spark, sf_dir, "orders")
+    key = F.struct("o_orderdate", "o_orderkey")
+    return o.groupBy("o_custkey").agg(F.count("*").alias("crawls"), F.min_by("o_totalprice", key).alias("first_score"), F.max_by("o_totalprice", key).alias("last_score"))
+
+
+def monthly_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "events")
+    return e.groupBy(F.col("event_type").alias("provider"), F.date_format("ts", "yyyy-MM").alias("period")).agg(F.count("*").alias("used"))
+
+
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _t(spark, sf_dir, "orders")
+    return o.agg(F.count("*").alias("total"), *(F.count_if(F.col("o_orderstatus") == s).alias(f"status_{s.lower()}") for s in "FOP"), F.count_distinct("o_custkey").alias("hosts"))
+
+
+def top_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 25 customers with the largest sums: a top-k report."""
+    o = _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return o.orderBy(F.desc("total"), "o_custkey").limit(25)
+
+
+def never_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers without an order: the anti join of analytics URLs never crawled."""
+    return _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+
 
 def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Polls a day and kind: count, sum and mean of the value."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    out = events.groupBy(F.to_date("ts").alias("day"), "event_type")
+    out = _t(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day"), "event_type")
     return out.agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
 
 
-FLAGSHIP = "daily_events"
-QUERIES = {"daily_events": daily_events}
+FLAGSHIP = "page_audit"
+QUERIES = {f.__name__: f for f in (page_audit, check_outcomes, category_summary, url_findings, markup_findings, link_summary, inbound_links, orphan_pages, page_rank, duplicate_groups, uptime, incidents, latest_and_previous, first_and_last, monthly_quota, status_counts, top_landing, never_seen, daily_events)}
+
+_MARKUP = " UNION ALL ".join(
+    f"SELECT page_id, '{t}-tag-missing' AS check_id, 'critical' AS severity FROM m WHERE {t}_o = 0 UNION ALL SELECT page_id, '{t}-close-missing', 'warning' FROM m WHERE {t}_o > 0 AND {t}_c = 0 UNION ALL SELECT page_id, 'multiple-{t}-tags', 'critical' FROM m WHERE {t}_o > 1"
+    for t in ("html", "head", "body")
+)
+_COUNTS = ", ".join(f"len(regexp_extract_all(html, '(?i)<{t}[\\s>]')) AS {t}_o, len(regexp_extract_all(html, '(?i)</{t}\\s*>')) AS {t}_c" for t in ("html", "head", "body"))
+_NAMED = "len(list_filter(keys, lambda k: lower(k) IN ({}))) > 0"
 ORACLES = {
+    "url_findings": r"""
+WITH u AS (SELECT page_id, url, regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path,
+  list_filter(list_transform(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: string_split(x, '=')[1]), lambda k: k <> '') AS keys FROM pages),
+s AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS seg FROM u)
+SELECT page_id, 'long-urls' AS check_id, 'notice' AS severity FROM s WHERE length(url) > 115
+UNION ALL SELECT page_id, 'url-uppercase', 'warning' FROM s WHERE regexp_matches(path, '[A-Z]')
+UNION ALL SELECT page_id, 'url-underscores', 'notice' FROM s WHERE contains(path, '_')
+UNION ALL SELECT page_id, 'url-whitespace', 'warning' FROM s WHERE regexp_matches(path, '%20|\+| ')
+UNION ALL SELECT page_id, 'url-repetitive-elements', 'notice' FROM s WHERE len(list_filter(range(2, len(seg) + 1), lambda i: seg[i] = seg[i - 1])) > 0
+UNION ALL SELECT page_id, 'double-slash-in-url', 'warning' FROM s WHERE contains(path, '//')
+UNION ALL SELECT page_id, 'more-than-three-parameters', 'notice' FROM s WHERE len(keys) > 3
+UNION ALL SELECT page_id, 'query-question-mark', 'notice' FROM s WHERE len(keys) > 0
+UNION ALL SELECT page_id, 'query-repetitive-parameters', 'warning' FROM s WHERE len(keys) <> len(list_distinct(keys))
+UNION ALL SELECT page_id, 'query-paginated-parameters', 'notice' FROM s WHERE """
+    + _NAMED.format("'page', 'p', 'pg', 'offset', 'start'")
+    + " UNION ALL SELECT page_id, 'query-search-filter-parameters', 'notice' FROM s WHERE "
+    + _NAMED.format("'q', 's', 'search', 'query', 'filter', 'f', 'color', 'size', 'brand'")
+    + " UNION ALL SELECT page_id, 'http-urls', 'critical' FROM s WHERE starts_with(url, 'http://')",
+    "markup_findings": f"""
+WITH m AS (SELECT page_id, octet_length(CAST(html AS BLOB)) AS size, {_COUNTS}, len(list_distinct(regexp_extract_all(html, 'GTM-[A-Z0-9]{{4,10}}'))) AS codes,
+  len(regexp_extract_all(html, '(?i)(?:src|href)=["'']http://(?:www\\.)?w3\\.org')) AS w3, len(regexp_extract_all(html, '(?i)(?:src|href)=["'']http://(?:www\\.)?schema\\.org')) AS so FROM (SELECT page_id, html, encode(html) AS b FROM pages))
+{_MARKUP} UNION ALL SELECT page_id, 'page-code-under-500', 'critical' FROM m WHERE size < 500
+UNION ALL SELECT page_id, 'page-size-over-1-5mb', 'warning' FROM m WHERE size > 1572864 AND size <= 2097152
+UNION ALL SELECT page_id, 'page-size-over-2mb', 'critical' FROM m WHERE size > 2097152
+UNION ALL SELECT page_id, 'no-gtm-code', 'notice' FROM m WHERE codes = 0 UNION ALL SELECT page_id, 'multiple-gtm-codes', 'warning' FROM m WHERE codes > 1
+UNION ALL SELECT page_id, 'http-link-w3-org', 'notice' FROM m WHERE w3 > 0 UNION ALL SELECT page_id, 'http-link-schema-org', 'notice' FROM m WHERE so > 0""".replace("octet_length(CAST(html AS BLOB))", "octet_length(b)"),
+    "uptime": "SELECT user_id, count(*) AS checks, count(*) FILTER (WHERE coalesce(event_type = 'error' OR value IS NULL, true)) AS failures, round(100.0 * count(*) FILTER (WHERE NOT coalesce(event_type = 'error' OR value IS NULL, true)) / count(*), 6) AS uptime_pct, round(avg(value), 6) AS mean_response FROM events GROUP BY user_id",
+    "incidents": "WITH e AS (SELECT *, coalesce(value > 50, true) AS bad, sum(CASE WHEN coalesce(value > 50, true) THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM events) SELECT user_id, CAST(island AS BIGINT) AS island, min(ts) AS started_at, max(ts) AS last_at, count(*) AS failure_count FROM e WHERE bad GROUP BY user_id, island",
+    "latest_and_previous": "WITH r AS (SELECT o_custkey, o_totalprice, lead(o_totalprice) OVER w AS previous, row_number() OVER w AS rn FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC)) SELECT o_custkey, o_totalprice AS latest, previous, round(previous - o_totalprice, 4) AS movement FROM r WHERE rn = 1",
+    "first_and_last": "SELECT o_custkey, count(*) AS crawls, arg_min(o_totalprice, (o_orderdate, o_orderkey)) AS first_score, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS last_score FROM orders GROUP BY o_custkey",
+    "monthly_quota": "SELECT event_type AS provider, strftime(ts, '%Y-%m') AS period, count(*) AS used FROM events GROUP BY 1, 2",
+    "status_counts": "SELECT count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS status_f, count(*) FILTER (WHERE o_orderstatus = 'O') AS status_o, count(*) FILTER (WHERE o_orderstatus = 'P') AS status_p, count(DISTINCT o_custkey) AS hosts FROM orders",
+    "top_landing": "SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1 ORDER BY total DESC, o_custkey LIMIT 25",
+    "never_seen": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
     "daily_events": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2",
 }
