@@ -258,11 +258,11 @@ def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH w AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents),
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 g AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 12], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
 m AS (SELECT h, min(doc_id) AS d FROM g GROUP BY h HAVING min(doc_id) < max(doc_id)),
 c AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT g.doc_id, unnest(range(g.i, g.i + 13)) AS p FROM g JOIN m ON g.h = m.h AND g.doc_id > m.d) GROUP BY doc_id),
-o AS (SELECT w.doc_id, len(ws) AS n, coalesce(len(ps), 0) AS r, CASE WHEN ps IS NULL THEN ws ELSE list_filter(ws, (x, i) -> NOT list_contains(ps, i)) END AS k
+o AS (SELECT w.doc_id, len(ws) AS n, coalesce(len(ps), 0) AS r, CASE WHEN ps IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(ps, i)) END AS k
       FROM w LEFT JOIN c ON c.doc_id = w.doc_id)
 SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM o
 """
