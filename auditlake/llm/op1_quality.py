@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, cut, small, table
+from .common import ID_ROWS, WORD_GAP, cut, small, table
 
 #: Figures in thousandths; higher is worse.
 RULES = {
@@ -129,10 +129,8 @@ def verdict(rows: DataFrame, cuts: DataFrame, stratum: str = "stratum") -> DataF
     c = small(cuts).withColumnRenamed("stratum", "_stratum")
     out = rows.join(c, rows[stratum].eqNullSafe(c["_stratum"]), "left").drop("_stratum")
     fails = [F.coalesce(rule() > F.col(f"cut_{r}"), F.lit(False)) for r, rule in RULES.items()]
-    bad = F.col("base_failed")
-    for f in fails:
-        bad = bad | f
-    return out.withColumn("kept", ~bad)
+    # one array, since conjuncts would be pushed below the join one by one, where the figures would be made again for them
+    return out.withColumn("kept", F.forall(F.array("base_failed", *fails), lambda x: ~x))
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -152,11 +150,16 @@ def quality_table(docs: DataFrame, labels: DataFrame, risk: float = 0.02) -> Dat
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, risk: float = 0.02) -> DataFrame:
-    """The documents that pass, all columns as they are.  No text is shuffled: figures are made anew beside it."""
+    """The documents that pass, all columns as they are.
+
+    No kept text is shuffled: figures are made beside it.  The cutoffs need those of labelled
+    rows only, so the labels' ids choose the texts that are read for them.
+    """
     s = "__q"
+    ids = small(cut(labels.where("doc_id is not null and quality is not null").select("doc_id").distinct()), ID_ROWS)
+    marked = features(docs.select("doc_id", "text", F.col("lang").alias("stratum")).join(ids, "doc_id", "left_semi")).drop("text")
+    cuts = cut(calibrate(_labelled(cut(marked), labels), risk=risk))
     rows = features(docs, suffix=s)
-    plain = rows.select("doc_id", F.col("lang").alias("stratum"), *(F.col(c).alias(c.removesuffix(s)) for c in rows.columns if c.endswith(s)))
-    cuts = cut(calibrate(_labelled(plain, labels), risk=risk))
     here = rows.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col("lang").alias("stratum"), *(F.col(c).alias(c.removesuffix(s)) for c in rows.columns if c.endswith(s)))
     return verdict(here, cuts).where("kept").select(*(F.col("_doc").getField(c).alias(c) for c in docs.columns))
 
