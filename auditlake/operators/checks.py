@@ -39,6 +39,11 @@ def token(name: str) -> Column:
     return F.expr(f"exists(meta_robots, r -> exists(split(r, '[,\\\\s]+'), t -> t = '{name}'))")
 
 
+def _repeated(array: str, of: str, times: int) -> Column:
+    """Some value of an array comes more than so many times: equal neighbours at that distance once sorted."""
+    return F.expr(f"exists(transform(array(sort_array(filter(transform({array}, x -> {of}), v -> v is not null))), s -> size(filter(s, (v, i) -> v = get(s, i + {times}))) > 0), hit -> hit)")
+
+
 def _count(pattern: str) -> Column:
     return F.regexp_count("html", F.lit(pattern))
 
@@ -99,7 +104,7 @@ def record_checks() -> list[Check]:
     speed = lambda i, s, f: Check(i, "page-speed", s, f)
     dup = lambda i, s, f: Check(i, "duplicate-content", s, f)
     loc = lambda i, s, f: Check(i, "localization", s, f)
-    soc = lambda i, s, f: Check(i, "social", s, f)
+    soc = lambda i, s, f: Check(i, "social-media", s, f)
     return [
         ind("canonical-is-missing", "warning", F.size("canonicals") == 0),
         ind("canonical-not-equal-url", "warning", canonical != key),
@@ -169,6 +174,12 @@ def record_checks() -> list[Check]:
         link("link-whitespace-href", "warning", _any("links", "trim(x.raw_href) rlike '\\\\s'")),
         link("link-non-http-protocol", "notice", _any("links", "x.raw_href rlike '(?i)^(ftp|file|gopher|telnet):'")),
         link("http-page-links-to-https", "notice", ~https & _any("links", "x.internal and startswith(x.href, 'https://')")),
+        link("more-than-100-identical-internal-links", "warning", _repeated("links", "if(x.internal, x.key, null)", 100)),
+        link("more-than-2-links-same-anchor", "notice", _repeated("links", "if(x.anchor <> '', concat(x.key, ' ', lower(x.anchor)), null)", 2)),
+        dup("page-identical-headings", "notice", _repeated("headings", "if(trim(x.text) <> '', lower(x.text), null)", 1)),
+        dup("page-identical-alt-tags", "notice", _repeated("images", "if(trim(x.alt) <> '', lower(trim(x.alt)), null)", 1)),
+        loc("multiple-pages-same-language", "critical", F.expr("size(array_distinct(transform(hreflang, x -> concat_ws(' ', x.lang, x.key)))) > size(array_distinct(transform(hreflang, x -> x.lang)))")),
+        loc("page-referenced-multiple-languages", "critical", F.expr("size(array_distinct(transform(filter(hreflang, x -> x.lang <> 'x-default'), x -> concat_ws(' ', x.key, x.lang)))) > size(array_distinct(transform(filter(hreflang, x -> x.lang <> 'x-default'), x -> x.key)))")),
         Check("link-localhost", "internal", "critical", _any("links", "x.raw_href rlike '(?i)localhost|127[.]0[.]0[.]1'")),
         Check("empty-src-attributes", "internal", "warning", F.col("empty_src") > 0),
         Check("http-url-password-field", "internal", "blocker", ~https & _any("forms", "x.has_password")),
@@ -183,7 +194,7 @@ def record_checks() -> list[Check]:
         loc("hreflang-without-self", "warning", (F.size("hreflang") > 0) & ~F.exists("hreflang", lambda x: x["key"] == F.col("page_key"))),
         soc("open-graph-incomplete", "notice", F.size(F.array_except(F.array(*map(F.lit, ("og:title", "og:type", "og:image", "og:url"))), F.map_keys("og"))) > 0),
         soc("twitter-card-missing", "notice", ~F.map_contains_key("twitter", "twitter:card")),
-        Check("viewport-missing", "mobile", "critical", F.col("viewport").isNull()),
+        Check("viewport-missing", "mobile-friendly", "critical", F.col("viewport").isNull()),
     ]
 
 

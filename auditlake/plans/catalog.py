@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from auditlake.operators import checks, graph
+from auditlake.functions.urls import bare_host
+from auditlake.operators import checks, crosspage, graph, history, locations, scoring
 from auditlake.sources.html import extract_pages
 
 
@@ -126,8 +127,67 @@ def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"))
 
 
+def cross_page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspage.findings(_records(spark, sf_dir))
+
+
+def site_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every host; pages weigh by PageRank."""
+    records = _records(spark, sf_dir).select("page_id", F.col("page_key").alias("node"))
+    audit = page_audit(spark, sf_dir).select("page_id", "score", bare_host(F.col("url")).alias("site"))
+    return scoring.site_scores(audit.join(records, "page_id").join(page_rank(spark, sf_dir).withColumnRenamed("rank", "page_rank"), "node", "left"))
+
+
+def pillar_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.pillars(check_outcomes(spark, sf_dir))
+
+
+def location_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage of three fixed locations by every page."""
+    return locations.coverage(_records(spark, sf_dir), [{"label": "Austin, Texas", "city": "Austin", "region": "Texas"}, {"label": "Oslo"}, {"label": "York", "region": "Yorkshire"}])
+
+
+def quota_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every call with its running number in its provider's month, and whether it is within 100."""
+    e = _t(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("provider"), "ts")
+    return history.quota_ledger(e, 100).select("id", "provider", "period", "n", "allowed")
+
+
+def uptime_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "events").select(F.col("user_id").alias("site"), F.col("ts").alias("at"), F.col("event_id").alias("id"), (F.col("value") <= 50).alias("ok"))
+    return history.uptime_transitions(e).select("site", "id", "transition")
+
+
+def content_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "events").select(F.col("user_id").alias("site"), F.col("ts").alias("at"), F.col("event_id").alias("id"), F.col("event_type").alias("body_hash"))
+    return history.content_changes(e).select("site", "id", "body_hash", "previous")
+
+
+def rank_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions stand in as key modulo 120, over 100 as not found."""
+    at = F.col("o_orderkey") % 120
+    return history.rank_kpis(_t(spark, sf_dir, "orders").select(F.when(at <= 100, at).alias("position")))
+
+
+def analytics_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _t(spark, sf_dir, "events").where("value is not null")
+    at = F.concat(F.lit("/"), F.upper("event_type"), F.lit("/"), F.col("user_id"), F.when(F.col("event_id") % 2 == 0, "/").otherwise("?q=1"))
+    rows = e.select(at.alias("path"), F.lit(1).cast("long").alias("pageviews"), (F.col("event_id") % 3).alias("sessions"), F.col("value").alias("bounce_rate"), (F.col("value") * 2).alias("avg_duration_sec"))
+    return history.by_path(rows).select("path", "pageviews", "sessions", F.round("bounce_rate", 9).alias("bounce_rate"))
+
+
+def top_traffic_decile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.top_decile(_t(spark, sf_dir, "customer"), "c_custkey", "c_acctbal")
+
+
+def crawl_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with finished orders only ('fixed') and with open orders only ('appeared')."""
+    o = _t(spark, sf_dir, "orders")
+    return scoring.crawl_diff(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'"), "o_custkey")
+
+
 FLAGSHIP = "page_audit"
-QUERIES = {f.__name__: f for f in (page_audit, check_outcomes, category_summary, url_findings, markup_findings, link_summary, inbound_links, orphan_pages, page_rank, duplicate_groups, uptime, incidents, latest_and_previous, first_and_last, monthly_quota, status_counts, top_landing, never_seen, daily_events)}
+QUERIES = {f.__name__: f for f in (page_audit, check_outcomes, category_summary, url_findings, markup_findings, link_summary, inbound_links, orphan_pages, page_rank, duplicate_groups, uptime, incidents, latest_and_previous, first_and_last, monthly_quota, status_counts, top_landing, never_seen, daily_events, cross_page_findings, site_score, pillar_rollup, location_coverage, quota_ledger, uptime_transitions, content_changes, rank_kpis, analytics_by_path, top_traffic_decile, crawl_diff)}
 
 _MARKUP = " UNION ALL ".join(
     f"SELECT page_id, '{t}-tag-missing' AS check_id, 'critical' AS severity FROM m WHERE {t}_o = 0 UNION ALL SELECT page_id, '{t}-close-missing', 'warning' FROM m WHERE {t}_o > 0 AND {t}_c = 0 UNION ALL SELECT page_id, 'multiple-{t}-tags', 'critical' FROM m WHERE {t}_o > 1"
@@ -171,4 +231,11 @@ UNION ALL SELECT page_id, 'http-link-w3-org', 'notice' FROM m WHERE w3 > 0 UNION
     "top_landing": "SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1 ORDER BY total DESC, o_custkey LIMIT 25",
     "never_seen": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
     "daily_events": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2",
+    "quota_ledger": "WITH e AS (SELECT event_id AS id, event_type AS provider, strftime(ts, '%Y-%m') AS period, ts FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY provider, period ORDER BY ts, id) AS n FROM e) SELECT id, provider, period, n, n <= 100 AS allowed FROM r",
+    "uptime_transitions": "WITH e AS (SELECT user_id AS site, ts, event_id AS id, coalesce(value <= 50, false) AS ok FROM events), r AS (SELECT *, coalesce(lag(ok) OVER (PARTITION BY site ORDER BY ts, id), true) AS was FROM e) SELECT site, id, CASE WHEN ok AND was THEN 'none' WHEN ok THEN 'recovered' WHEN was THEN 'went-down' ELSE 'still-down' END AS transition FROM r",
+    "content_changes": "WITH r AS (SELECT user_id AS site, event_id AS id, event_type AS body_hash, lag(event_type) OVER w AS previous, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT site, id, body_hash, previous FROM r WHERE n > 1 AND previous IS DISTINCT FROM body_hash",
+    "rank_kpis": "SELECT count(*) AS keywords, count(p) AS ranked, count(*) FILTER (WHERE p <= 10) AS top_10, round(avg(p), 4) AS mean_position FROM (SELECT CASE WHEN o_orderkey % 120 <= 100 THEN o_orderkey % 120 END AS p FROM orders)",
+    "analytics_by_path": "WITH e AS (SELECT '/' || lower(event_type) || '/' || user_id AS path, event_id % 3 AS s, value FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL AND user_id IS NOT NULL) SELECT path, count(*) AS pageviews, CAST(sum(s) AS BIGINT) AS sessions, round(CASE WHEN count(*) = 1 THEN max(value) ELSE sum(value * s) / greatest(sum(s), 1) END, 9) AS bounce_rate FROM e GROUP BY path",
+    "top_traffic_decile": "WITH a AS (SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal DESC) AS n, greatest(1, ceil(count(*) OVER () / 10.0)) AS place FROM customer WHERE c_acctbal > 0) SELECT c_custkey, c_acctbal FROM a WHERE c_acctbal >= (SELECT max(c_acctbal) FROM a WHERE n >= place)",
+    "crawl_diff": "WITH f AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F'), o AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'O') SELECT o_custkey, 'fixed' AS change FROM f WHERE o_custkey NOT IN (SELECT o_custkey FROM o) UNION ALL SELECT o_custkey, 'appeared' FROM o WHERE o_custkey NOT IN (SELECT o_custkey FROM f)",
 }

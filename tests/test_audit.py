@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditlake.functions.urls import page_key, resolve
-from auditlake.operators import checks, graph
+from auditlake.operators import checks, crosspage, graph
 from auditlake.plans import catalog
 from auditlake.sources.html import extract_pages, parse_page
 
@@ -95,3 +95,37 @@ def test_queries_match_sql(spark, sf, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_queries_run(spark, sf, name):
     catalog.QUERIES[name](spark, sf).count()
+
+
+def test_cross_page(spark):
+    page = lambda canonical, title, body, head="": f'<html><head><title>{title}</title><link rel=canonical href="{canonical}">{head}</head><body>{body}</body></html>'
+    b = "https://s.com"
+    alt = '<link rel=alternate hreflang={} href="{}">'
+    rows = [
+        (1, f"{b}/a", page("/b", "Same", '<a href="/d">Go</a>', alt.format("en", "/d") + alt.format("x-default", "/d"))),
+        (2, f"{b}/b", page("/a", "same ", '<a href="/d">go</a>', alt.format("fr", "/d"))),
+        (3, f"{b}/c", page("/d", "three", '<a href="/d">GO</a>', '<meta name=robots content=noindex>' + alt.format("de", "/c"))),
+        (4, f"{b}/d", page("/e", "four", '<a href="/c">x</a>', "<meta name=robots content=noindex>")),
+        (5, f"{b}/e", page("/e", "five", "")),
+        (6, f"{b}/E", page("/E", "", "")),
+        (7, f"{b}/f", None),
+    ]
+    got = {}
+    for r in crosspage.findings(extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))).where("check_id <> 'less-than-10-internal-backlinks'").collect():
+        got.setdefault(r.page_id, set()).add(r.check_id)
+    assert got == {
+        1: {"canonical-loop", "canonical-points-another-canonicalized-url", "title-duplicates", "orphan-via-canonical"},
+        2: {"canonical-loop", "canonical-points-another-canonicalized-url", "title-duplicates", "orphan-via-canonical"},
+        3: {"canonical-points-noindex", "canonical-points-another-canonicalized-url"},
+        4: {"incoming-links-same-anchor", "conflicting-incoming-hreflang", "noindex-has-incoming-hreflang", "canonicalized-has-incoming-hreflang"},
+        5: {"technically-duplicate-urls", "orphan-via-canonical"},
+        6: {"technically-duplicate-urls"},
+    }
+
+
+def test_repeats_in_a_record(records, spark):
+    html = "<body>" + '<a href="/x">same</a>' * 3 + "<h2>T</h2><h2>t</h2><img alt=P src=a><img alt=p src=b></body>"
+    found = checks.evaluate(extract_pages(spark.createDataFrame([(1, "https://s.com/", html), (2, "https://s.com/b", '<a href="/x">a</a>' * 2)], "page_id long, url string, html string")), checks.registry())
+    got = {(r.page_id, r.check_id) for r in found.collect()}
+    assert {(1, "more-than-2-links-same-anchor"), (1, "page-identical-headings"), (1, "page-identical-alt-tags")} <= got
+    assert not {(2, "more-than-2-links-same-anchor"), (1, "more-than-100-identical-internal-links"), (1, "multiple-pages-same-language")} & got
