@@ -63,9 +63,9 @@ def encode_texts(texts: list[str], path: str | None = None) -> list[list[int]]:
     if len(known) + len(fresh) > KEEP:
         known.clear()
         fresh = list({p for parts in cut if parts for p in parts})
-    known.update(zip(fresh, (e.ids for e in library.encode_batch(fresh, add_special_tokens=False))))
+    known.update(zip(fresh, (e.ids for e in library.encode_batch_fast(fresh, add_special_tokens=False))))
     whole = [i for i, parts in enumerate(cut) if parts is None]
-    by_library = dict(zip(whole, (e.ids for e in library.encode_batch([texts[i] for i in whole], add_special_tokens=False))))
+    by_library = dict(zip(whole, (e.ids for e in library.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False))))
     get = known.__getitem__
     return [by_library[i] if parts is None else list(chain.from_iterable(map(get, parts))) for i, parts in enumerate(cut)]
 
