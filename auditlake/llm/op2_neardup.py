@@ -28,7 +28,6 @@ only: it gets its copies' component, or null and kept if there are none.
 
 from __future__ import annotations
 
-from collections import Counter
 from functools import partial
 from hashlib import blake2b
 
@@ -155,14 +154,20 @@ def _rare(most: int, rows: pa.Table) -> pa.Table:
     counts = np.diff(np.append(starts, len(h)))
     few = np.repeat(counts <= most, counts)
     has, n = np.unique(ids[owner[few]], return_counts=True)
-    seen = np.add.reduceat(odd[owner], starts) > 0
-    found: Counter = Counter()
-    for s, c in zip(starts[seen & (counts <= most) & (counts > 1)], counts[seen & (counts <= most) & (counts > 1)]):
-        group = owner[s : s + c]
-        for x in group[odd[group] > 0]:
-            found.update((min(a, b), max(a, b)) for a, b in ((int(ids[x]), int(y)) for y in ids[group[(part[group] != part[x]) & ((odd[group] == 0) | (ids[group] > ids[x]))]]))
-    a, b = zip(*found) if found else ((), ())
-    return pa.table({"a": pa.array(has.tolist() + list(a), pa.int64()), "b": pa.array([None] * len(has) + list(b), pa.int64()), "n": pa.array(n.tolist() + list(found.values()), pa.int64())})
+    owner, group = owner[few], np.repeat(np.arange(len(counts)), counts)[few]
+    keys, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for step in range(1, most):  # every pair in a list of a shingle's owners lies some step apart
+        if not (near := group[step:] == group[:-step]).any():
+            break
+        x, y = owner[:-step][near], owner[step:][near]
+        x, y = (z[(part[x] != part[y]) & ((odd[x] > 0) | (odd[y] > 0))] for z in (x, y))
+        x, y = np.where(ids[x] < ids[y], x, y).astype(np.int64), np.where(ids[x] < ids[y], y, x)
+        found, at, c = np.unique(np.concatenate((keys, x * len(ids) + y)), return_inverse=True, return_counts=True)
+        if len(keys):
+            c += np.bincount(at[: len(keys)], times - 1, len(found)).astype(np.int64)
+        keys, times = found, c
+    a, b = ids[keys // len(ids)], ids[keys % len(ids)]
+    return pa.table({"a": np.concatenate((has, a)), "b": pa.array(np.concatenate((has, b)), pa.int64(), mask=np.arange(len(has) + len(b)) < len(has)), "n": np.concatenate((n, times))})
 
 
 def _sets_of(ids: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
@@ -210,7 +215,7 @@ def _rare_counts(mixed: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFram
     who = cut(mixed.groupBy(F.col("rep").alias("id")).agg(F.max("part").alias("part"), F.max((F.col("part") != F.col("main")).cast("long")).alias("odd"), F.max("n").alias("n")))
     total = who.agg(F.sum("n")).first()[0] or 0
     sets = _sets_of(who.select(F.col("id").alias("doc_id")), reps, docs).join(who, "id").select("id", "own", "part", "odd")
-    dealt = arrow_map(sets, partial(_spread, max(4, total // 2_000_000)), "bucket long, h binary, owner binary, who binary")
+    dealt = arrow_map(sets, partial(_spread, max(12, total // 1_000_000)), "bucket long, h binary, owner binary, who binary")
     found = dealt.groupBy("bucket").applyInArrow(lambda rows: _rare(RARE, rows), "a long, b long, n long")
     return cut(found.groupBy("a", "b").agg(F.sum("n").alias("common")))
 
