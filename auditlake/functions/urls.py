@@ -56,3 +56,19 @@ def query_keys(url: Column) -> Column:
     """Keys of the query string in order, repeats kept."""
     q = F.regexp_extract(url, r"\?([^#]*)", 1)
     return F.filter(F.transform(F.split(q, "&"), lambda x: F.split(x, "=")[0]), lambda k: k != "")
+
+
+def absolute_key(url: Column) -> Column:
+    """page_key as a Column, for absolute URLs whose special characters are escaped already."""
+    u = F.regexp_replace(F.trim(url), r"#.*$", "")
+    part = lambda i: F.regexp_extract(u, r"^([a-zA-Z]+)://([^/?]*)([^?]*)(\?.+)?", i)
+    scheme, place = F.lower(part(1)), F.lower(part(2))
+    place = F.when(scheme == "http", F.regexp_replace(place, ":80$", "")).otherwise(F.regexp_replace(place, ":443$", ""))
+    way = F.when(part(3).isin("", "/"), "/").otherwise(F.regexp_replace(part(3), "/$", ""))
+    return F.when(scheme.isin(*_PORTS), F.concat(scheme, F.lit("://"), place, way, part(4))).otherwise(url)
+
+
+def analytics_path(url: Column) -> Column:
+    """Path of a URL or a bare path, as analytics rows are joined by: lower case, "/" in front and none behind, no query or fragment."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(url), r"[?#].*$", ""), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*", "")
+    return F.lower(F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(bare, "^/", ""), "/$", "")))
