@@ -1,14 +1,18 @@
-"""Line dedup by content-defined chunks of lines.
-
-A text's lines (split at newlines) are cut into chunks: a rolling hash over the hashes of
-the last WINDOW lines ends a chunk where it is 0 modulo DIVISOR, so boundaries move with the
-content when lines are put in or taken out before them; a chunk ends at MAX_LINES at the
-latest.  A chunk of two lines or more that holds a word and stands elsewhere with a smaller
-(doc_id, place) is removed, after its bytes were compared with those of that first place.
-
-Only digests are grouped at first; bodies are shuffled for repeated chunks alone, and a
-chunk that stands in a third of the documents joins one keeper row, which Spark splits.
-Texts are dealt by doc_id once and that exchange is read twice.
+"""Line dedup by windows of two lines at every place.
+
+A text's lines are split at newlines; those that hold a word are numbered, and every two
+consecutive ones are a window, whatever blank lines stand between.  Windows begin at every
+line, so a shared passage of two lines or more is found whole wherever it starts and ends.
+A window that stands elsewhere with a smaller (doc_id, place) is repeated: its lines are
+removed, after their bytes were compared with those of that first place.  Blank lines go
+with the line before them (those at the top with the first line), so an exact copy of two
+lines with words or more loses every line.  Lines that a repeated window shares with its own
+first place stay, so of a line that stands three times in a row two are left.
+
+Windows of a document that follow each other at their first places as well make one run
+(the chunk that _chunks counts).  Only digests are grouped; bodies are shuffled for runs
+alone, once, and a window that stands in a third of the documents joins one keeper row,
+which Spark splits.  Texts are dealt by doc_id once and that exchange is read twice.
 
 Defined results: a null text stays null and loses nothing; a text that loses every line
 becomes empty; rows of one doc_id count as one document; rows with a null doc_id are left
@@ -18,78 +22,96 @@ counted again for changed texts.
 
 from __future__ import annotations
 
-from hashlib import blake2b, sha256
+from hashlib import blake2b
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-
-WINDOW, DIVISOR, MAX_LINES = 2, 4, 64
-_M = (1 << 64) - 1
-
-
-def chunk_lines(text: str) -> list[tuple[int, int]]:
-    """(first line, one past the last) of every chunk."""
-    lines, out, start, before = text.split("\n"), [], 0, 0
-    for i, line in enumerate(lines):
-        own = xxhash.xxh3_64_intdigest(line)
-        rolled = (before * 0x9E3779B97F4A7C15 + own * 0xC2B2AE3D27D4EB4F) & _M
-        rolled = (rolled ^ (rolled >> 29)) * 0xBF58476D1CE4E5B9 & _M
-        before = own
-        if (rolled >> 32) % DIVISOR == 0 or i + 1 - start == MAX_LINES:
-            out.append((start, i + 1))
-            start = i + 1
-    if start < len(lines):
-        out.append((start, len(lines)))
-    return out
+from .common import cut, table
+
+_GAPS = " \t\n\x0b\x0c\r"
+
+
+def word_lines(text: str) -> list[str]:
+    """The lines that hold a word."""
+    return [x for x in text.split("\n") if x.strip(_GAPS)]
+
+
+def windows(text: str) -> list[tuple[int, bytes]]:
+    """(place, digest) of every two consecutive lines with words."""
+    own = [x.encode() for x in word_lines(text)]
+    return [(no, blake2b(a + b"\n" + b, digest_size=16).digest()) for no, (a, b) in enumerate(zip(own, own[1:]))]
+
 
+def without(text: str, gone: set[int]) -> tuple[str, int]:
+    """text without the lines with words of these numbers and the blank lines that go with them, and how many lines went."""
+    lines, kept, no = text.split("\n"), [], -1
+    for x in lines:
+        no += bool(x.strip(_GAPS))
+        if max(no, 0) not in gone:
+            kept.append(x)
+    return "\n".join(kept), len(lines) - len(kept)
 
-def bodies(text: str) -> list[tuple[int, str, bytes]]:
-    """(chunk number, body, digest) of the chunks that may be removed."""
-    lines = text.split("\n")
+
+def _lost(no: int, same: bool, first: int) -> set[int]:
+    """Lines a repeated window loses: not those of its own first place."""
+    return {no, no + 1} - ({first, first + 1} if same else set())
+
+
+def runs(found: set[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """found: (place, first doc, place there) of a document's repeated windows -> (place, lines, first doc, place there)."""
     out = []
-    for no, (a, b) in enumerate(chunk_lines(text)):
-        body = "\n".join(lines[a:b])
-        if b - a > 1 and body.encode().split():
-            out.append((no, body, blake2b(body.encode(), digest_size=16).digest()))
-    return out
+    for at, no, doc in sorted((no - first, no, doc) for no, doc, first in found):
+        if out and out[-1][2] == doc and out[-1][0] - out[-1][3] == at and out[-1][0] + out[-1][1] - 1 == no:
+            out[-1][1] += 1
+        else:
+            out.append([no, 2, doc, no - at])
+    return [tuple(x) for x in out]
 
 
 def _digests(batches):
     for batch in batches:
-        rows = [(i, no, d) for i, t in zip(*(c.to_pylist() for c in batch.columns)) if i is not None and t for no, _, d in bodies(t)]
+        rows = [(i, no, d) for i, t in zip(*(c.to_pylist() for c in batch.columns)) if i is not None and t for no, d in windows(t)]
         ids, nos, ds = zip(*rows) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int32()), pa.array(ds, pa.binary())], ["doc_id", "no", "digest"])
 
 
-def _wanted(batches):
-    """The bodies of the chunks named in the third column."""
+def _runs(batches):
+    for batch in batches:
+        rows = [(i, *run) for i, w in zip(*(c.to_pylist() for c in batch.columns)) for run in runs({(x["no"], x["doc"], x["first"]) for x in w})]
+        columns = zip(*rows) if rows else ((),) * 5
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "no", "n", "doc", "first"])
+
+
+def _bodies(batches):
+    """The lines asked for of every text, joined by newlines."""
     for batch in batches:
         rows = []
-        for i, text, want in zip(*(c.to_pylist() for c in batch.columns)):
-            names = {(w["no"], w["digest"]): w["first"] for w in want}
-            rows += [(d, i, no, body, names[no, d]) for no, body, d in bodies(text or "") if (no, d) in names]
-        d, i, no, body, first = zip(*rows) if rows else ((),) * 5
-        yield pa.RecordBatch.from_arrays([pa.array(d, pa.binary()), pa.array(i, pa.int64()), pa.array(no, pa.int32()), pa.array(body, pa.string()), pa.array(first, pa.bool_())], ["digest", "doc_id", "no", "body", "first"])
+        for i, real, text, ask in zip(*(batch.column(c).to_pylist() for c in ("_id", "_real", "_t", "_ask"))):
+            own = word_lines(text) if real and text else []
+            rows += [(i, x["first"], x["n"], "\n".join(own[x["first"] : x["first"] + x["n"]])) for x in ask]
+        columns = zip(*rows) if rows else ((),) * 4
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc", "first", "n", "body"])
 
 
 def _rebuild(batches):
     for batch in batches:
         texts, lines, chunks = [], [], []
-        for text, gone in zip(batch.column("_t").to_pylist(), batch.column("_gone").to_pylist()):
+        for i, real, text, gone in zip(*(batch.column(c).to_pylist() for c in ("_id", "_real", "_t", "_gone"))):
             n_lines = n_chunks = 0
-            if text and gone:
-                names, all_lines, kept = {(g["no"], g["digest"]) for g in gone}, text.split("\n"), []
-                away = {no: d for no, _, d in bodies(text) if (no, d) in names}
-                for no, (a, b) in enumerate(chunk_lines(text)):
-                    if no in away:
-                        n_lines, n_chunks = n_lines + b - a, n_chunks + 1
-                    else:
-                        kept += all_lines[a:b]
-                text = "\n".join(kept)
+            if real and text and gone:
+                own, away = word_lines(text), set()
+                for g in gone:
+                    there, no = g["body"].split("\n"), g["no"]
+                    # window by window, as rows of one doc_id may hold different texts
+                    hits = [j for j in range(len(there) - 1) if own[no + j : no + j + 2] == there[j : j + 2]]
+                    n_chunks += bool(hits)
+                    for j in hits:
+                        away |= _lost(no + j, g["doc"] == i, g["first"] + j)
+                text, n_lines = without(text, away)
             texts.append(text)
             lines.append(n_lines)
             chunks.append(n_chunks)
@@ -100,17 +122,19 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """docs with text shortened, and _lines and _chunks removed from each; see the module."""
     columns = docs.columns
     rest = [c for c in columns if c != "text"]
-    base = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_t"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_doc")).repartition("_id")
-    chunks = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_digests, "doc_id long, no int, digest binary")
-    repeated = chunks.groupBy("digest").agg(F.min(F.struct("doc_id", "no")).alias("keep"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = chunks.join(repeated, "digest").select("doc_id", F.struct("no", "digest", (F.struct("doc_id", "no") == F.col("keep")).alias("first")).alias("w"))
-    want = members.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("w").alias("want"))
-    found = base.join(want, "_id").select("_id", "_t", "want").mapInArrow(_wanted, "digest binary, doc_id long, no int, body string, first boolean")
-    first = found.where("first").select("digest", F.col("body").alias("first_body")).dropDuplicates(["digest"])
-    gone = found.where("not first").join(first, "digest").where(F.col("body") == F.col("first_body"))
-    gone = gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("no", "digest")).alias("_gone"))
+    # never null, so that no join filters below the exchange and both read the same one
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))
+    base = docs.select(own.alias("_id"), F.col("doc_id").isNotNull().alias("_real"), F.col("text").alias("_t"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_doc")).repartition("_id")
+    places = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_digests, "doc_id long, no int, digest binary")
+    repeated = places.groupBy("digest").agg(F.min(F.struct("doc_id", "no")).alias("keep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    members = places.join(repeated, "digest").where(F.struct("doc_id", "no") != F.col("keep"))
+    members = members.groupBy("doc_id").agg(F.collect_set(F.struct("no", F.col("keep.doc_id").alias("doc"), F.col("keep.no").alias("first"))).alias("w"))
+    found = cut(members.mapInArrow(_runs, "doc_id long, no int, n int, doc long, first int"))
+    ask = found.select("doc", "first", "n").distinct().groupBy(F.col("doc").alias("_id")).agg(F.collect_list(F.struct("first", "n")).alias("_ask"))
+    bodies = base.join(ask, "_id").mapInArrow(_bodies, "doc long, first int, n int, body string")
+    gone = found.join(bodies, ["doc", "first", "n"]).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("no", "doc", "first", "body")).alias("_gone"))
     kind = base.schema["_doc"].dataType.simpleString()
-    out = base.join(gone, "_id", "left").select("_doc", "_t", "_gone").mapInArrow(_rebuild, f"_doc {kind}, _t string, _lines long, _chunks long")
+    out = base.join(gone, "_id", "left").mapInArrow(_rebuild, f"_doc {kind}, _t string, _lines long, _chunks long")
     new = {"text": F.col("_t")}
     if "n_chars" in columns:
         new["n_chars"] = F.when(F.col("_chunks") > 0, F.length("_t")).otherwise(F.col("_doc.n_chars")).cast(docs.schema["n_chars"].dataType)
@@ -119,19 +143,16 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
 def brute(rows: list[tuple[int, str | None]]) -> dict[int, str | None]:
     """What line_dedup keeps of texts with distinct ids, one by one in the order of doc_id."""
-    seen, out = set(), {}
+    seen, out = {}, {}
     for i, text in sorted(rows):
-        away = set()
-        for no, body, _ in bodies(text or ""):
-            if body in seen:
-                away.add(no)
-            seen.add(body)
-        lines = (text or "").split("\n")
-        kept = [x for no, (a, b) in enumerate(chunk_lines(text or "")) if no not in away for x in lines[a:b]]
-        out[i] = None if text is None else "\n".join(kept)
+        own, away = word_lines(text or ""), set()
+        for no, pair in enumerate(zip(own, own[1:])):
+            doc, first = seen.setdefault(pair, (i, no))
+            if (doc, first) != (i, no):
+                away |= _lost(no, doc == i, first)
+        out[i] = None if text is None else without(text, away)[0]
     return out
 
-
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("_lines").alias("n_removed_lines"), F.col("_chunks").alias("n_removed_chunks"), F.length("text").cast("long").alias("n_chars_kept"), F.sha2("text", 256).alias("kept_sha256"))
