@@ -1,15 +1,20 @@
 """Secret scans: patterns, and a battery of randomness tests with false-discovery control.
 
 Patterns give the base spans.  Beyond them, every token of 20 or more characters of
-[A-Za-z0-9+/_=-] that has letters and digits and meets no base span is a candidate.  Its
-encoding is inferred (hex, base32, base64 in either alphabet) and tested for randomness:
+[A-Za-z0-9+/_-], with up to two '=' as trailing padding, that has letters and digits and meets
+no base span is a candidate; so the value of NAME=VALUE or of a URL's parameter is a token of
+its own.  Its encoding is inferred (hex, base32, base64 in either alphabet) and tested for
+randomness:
 
 * chi-squared uniformity of its symbols over the encoding's alphabet,
 * a runs test on letters against digits,
 * lag-1 serial correlation of the symbols' places in the alphabet;
 
 the three p-values are combined by Fisher's method; a candidate that is not consistent with
-random draws (under `least`) is dropped.  The evidence against ordinary text is the
+random draws (under `least`), or fits no alphabet, gives way to its parts of 20 or more
+characters between '/' and '+', between '-' and '_', or between any of these, whichever has the
+strongest evidence a character, at three times the p-value for the choice; without such parts
+it is dropped.  The evidence against ordinary text is the
 likelihood ratio of uniform draws to a class-persistent model of identifiers; by Markov's
 inequality exp(-log ratio) is a valid p-value and it shrinks with length by itself.
 Benjamini-Hochberg at `rate` over all candidates of all documents decides, from a histogram
@@ -35,7 +40,8 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+TOKEN = re.compile(r"[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
+PARTS = (re.compile(r"[A-Za-z0-9_=-]{20,}"), re.compile(r"[A-Za-z0-9+/=]{20,}"), re.compile(r"[A-Za-z0-9=]{20,}"))
 BINS = 600  # of -ln p / BIN_WIDTH
 BIN_WIDTH = 0.1
 ALPHABETS = {
@@ -106,14 +112,26 @@ def battery(token: str) -> tuple[float, float]:
     return p_random, p_text
 
 
+def _tested(token: str, at: int, least: float) -> list[tuple[int, int, float]]:
+    """(start, end, p) of the token that begins at `at`, or of the parts it gives way to."""
+    if not (any(c.isdigit() for c in token) and any(c.isalpha() for c in token)):
+        return []
+    p_random, p_text = battery(token)
+    if p_random >= least:
+        return [(at, at + len(token), p_text)]
+    ways = []
+    for part in PARTS:
+        found = [(m.start(), m.group()) for m in part.finditer(token) if m.group() != token]
+        ways.append([x for s, t in found for x in _tested(t, at + s, least)])
+    best = min(ways, key=lambda way: min((math.log(max(p, 1e-300)) / (e - s) for s, e, p in way), default=1.0))
+    return [(s, e, min(1.0, len(PARTS) * p)) for s, e, p in best]
+
+
 def candidates(text: str, base: list[tuple[int, int, int]], least: float = 0.001) -> list[tuple[int, int, float]]:
     out = []
     for m in TOKEN.finditer(text):
-        t = m.group()
-        if any(c.isdigit() for c in t) and any(c.isalpha() for c in t) and not any(s < m.end() and m.start() < e for s, _, e in base):
-            p_random, p_text = battery(t)
-            if p_random >= least:
-                out.append((m.start(), m.end(), p_text))
+        if not any(s < m.end() and m.start() < e for s, _, e in base):
+            out += _tested(m.group(), m.start(), least)
     return out
 
 
