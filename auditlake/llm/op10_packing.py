@@ -1,16 +1,16 @@
 """Packing into optimal length buckets.
 
 The global histogram of lengths (one aggregation) goes to a dynamic programme that chooses
-the bucket boundaries with the least padding.  Lengths are rounded up to a granularity that
-leaves at most GRID distinct ones, so the histogram has at most GRID rows whatever the
-input; up to GRID words the choice is exactly optimal.  Inside a bucket, documents in
+the bucket boundaries with the least padding, exactly: it runs on the distinct lengths up to
+the budget, at most so many rows whatever the input, as a lower hull of lines.  A document
+longer than the budget is a batch by itself, which pads nothing; all of these share one of
+the buckets, named by the longest, and stay out of the histogram.  Inside a bucket, documents in
 seeded order are cut into batches of budget // boundary rows: the rank is a count over
 65,536 hash ranges plus the place inside a range, so a bucket that holds a third of all rows
 is not sorted in one task, and only the last batch of a bucket can be short.
 
 Length: number of words (or any column).  Defined results: null text has length 0 and sits
-in the first bucket; a document longer than the budget is a batch by itself; equal and
-repeated rows each get a place.  No rows give no rows.
+in the first bucket; equal and repeated rows each get a place.  No rows give no rows.
 """
 
 from __future__ import annotations
@@ -21,25 +21,39 @@ from pyspark.sql import functions as F
 
 from .common import cut, table, word_count
 
-BUCKETS, BUDGET, GRID, SEED = 16, 65_536, 4096, 77
+BUCKETS, BUDGET, SEED = 16, 65_536, 77
 
 
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
     """Upper bounds of at most so many buckets with the least sum of counts * (bound - length); lengths ascend."""
     m = len(lengths)
-    if not m:
+    if not m or buckets < 1:
         return []
-    total = np.concatenate(([0], np.cumsum(counts, dtype=np.float64)))
-    # best[j]: least padded words of the first j lengths; a last bucket i..j costs lengths[j-1] * (total[j] - total[i])
-    best = np.concatenate(([0.0], lengths * total[1:]))
+    size, total = [int(x) for x in lengths], [0]
+    for c in counts:
+        total.append(total[-1] + int(c))
+    # best[j]: least padded words of the first j lengths; a last bucket i..j costs size[j-1] * (total[j] - total[i]),
+    # so for each j the best i has the lowest of the lines best[i] - total[i] * x at x = size[j-1].  Slopes fall with
+    # i and x rises with j: the lines wait in a hull whose front only moves on.  Whole numbers, so nothing is rounded.
+    best = [0] + [x * t for x, t in zip(size, total[1:])]
     cuts = []
     for _ in range(min(buckets, m) - 1):
-        new, at = best.copy(), np.full(m + 1, -1)
+        new, at, hull, front = best[:], [-1] * (m + 1), [], 0
         for j in range(1, m + 1):
-            cost = best[:j] + lengths[j - 1] * (total[j] - total[:j])
-            i = int(cost.argmin())
-            if cost[i] < new[j]:
-                new[j], at[j] = cost[i], i
+            k = j - 1
+            while len(hull) - front > 1:
+                a, b = hull[-2], hull[-1]
+                if (best[b] - best[a]) * (total[k] - total[b]) < (best[k] - best[b]) * (total[b] - total[a]):
+                    break
+                hull.pop()
+            hull.append(k)
+            x = size[k]
+            while front + 1 < len(hull) and best[hull[front + 1]] - total[hull[front + 1]] * x <= best[hull[front]] - total[hull[front]] * x:
+                front += 1
+            i = hull[front]
+            cost = best[i] + x * (total[j] - total[i])
+            if cost < new[j]:
+                new[j], at[j] = cost, i
         cuts.append(at)
         best = new
     out, j = [], m
@@ -56,13 +70,13 @@ def pack(docs: DataFrame, length=None, buckets: int = BUCKETS, budget: int = BUD
     """doc_id, length, bucket (its boundary), batch (number in the bucket), slot of every row; see the module."""
     rows = docs.select("doc_id", (word_count(F.col("text")) if length is None else length.cast("long")).alias("length"))
     rows = cut(rows.withColumn("length", F.coalesce("length", F.lit(0).cast("long"))).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "length")))
-    longest = rows.agg(F.max("length")).first()[0] or 1
-    step = max(1, -(-longest // GRID))
-    up = F.greatest(F.lit(1), F.ceil(F.col("length") / step)).cast("long") * step
-    histogram = sorted((r[0], r[1]) for r in rows.groupBy(up.alias("up")).count().collect())
-    bounds = boundaries(np.array([h[0] for h in histogram], np.float64), np.array([h[1] for h in histogram], np.float64), buckets)
-    if not bounds:
+    up = F.greatest(F.lit(1).cast("long"), F.col("length"))
+    longest = rows.agg(F.max(up)).first()[0]
+    if longest is None:
         return rows.select("doc_id", "length", F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("slot"))
+    over = [longest] if longest > budget else []
+    histogram = sorted((r[0], r[1]) for r in rows.where(up <= budget).groupBy(up.alias("up")).count().collect())
+    bounds = boundaries(np.array([h[0] for h in histogram], np.int64), np.array([h[1] for h in histogram], np.int64), buckets - len(over)) + over
     bucket = F.element_at(F.filter(F.array(*(F.lit(b).cast("long") for b in bounds)), lambda b: b >= up), 1)
     rows = rows.withColumn("bucket", bucket).withColumn("range", F.shiftright("h", 48).cast("int"))
     counts = rows.groupBy("bucket", "range").agg(F.count("*").alias("n"))
