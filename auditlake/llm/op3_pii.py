@@ -2,10 +2,14 @@
 
 The patterns (email, ip, card, phone) give the base spans.  The tagger (`bilstm`), trained
 in numpy on a bounded number of labelled windows, reads overlapping windows of 64 characters
-at a stride of 32 over every stretch around a digit or an @ sign; spans of these kinds hold
-one or the other, so no window elsewhere can add any.  Windows are decoded one by one; then
-the spans of a text are reconciled as a whole: spans cut by a window's edge give way to
-others, equal kinds that overlap are united, and conflicts go to the larger mean lead.
+at a stride of 32 over every stretch around a digit or an @ sign, and over the whole run of
+address characters on both sides of an @ sign; spans of these kinds hold one or the other, so
+no window elsewhere can add any.  An address that lies whole in none of these windows gets one
+of its own, if it fits in one.  Windows are decoded one by one; then the spans of a text are
+reconciled as a whole: a span of an address that is cut by a window's edge is read on to the
+end of its run, spans of one kind that overlap, or touch where an edge cut them, are united,
+what is still cut or not plausible gives way to the spans no edge cut, and conflicts go to the
+larger mean lead.
 
 A span of the tagger is added when it meets no base span, has the digits its kind needs and
 its lead reaches `lead`; so it finds written variants (spaces around the signs, phones
@@ -18,6 +22,7 @@ row gets a row.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from hashlib import sha256
 
 import numpy as np
@@ -32,6 +37,10 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TRIGGER = re.compile(r"[0-9@]|[\[(]at[\])]")
+SIGN = re.compile(r"@|[\[(]at[\])]")
+BEFORE = re.compile(r"\s?[A-Za-z0-9._%+-]*")  # of the text reversed
+AFTER = re.compile(r"\s?[A-Za-z0-9-]*(?:\s?\.\s?[A-Za-z0-9-]+)*")
+LEFT, RIGHT = re.compile(r"[A-Za-z0-9._%+-]*"), re.compile(r"[A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)*")
 STRIDE, NEAR = 32, 24
 
 
@@ -76,11 +85,18 @@ def _plausible(kind: int, s: str) -> bool:
     return bool(re.fullmatch(r"[+(]?[0-9][0-9 ().-]+[0-9]", s)) and 10 <= len(d) <= 15 and not d == s
 
 
+def addresses(text: str) -> dict[int, tuple[int, int]]:
+    """Start of every sign between the parts of an address -> the run of address characters on both sides."""
+    back = text[::-1] if SIGN.search(text) else ""
+    return {m.start(): (m.start() - len(BEFORE.match(back, len(text) - m.start()).group()), AFTER.match(text, m.end()).end()) for m in SIGN.finditer(text)}
+
+
 def windows(text: str) -> list[int]:
     """Starts of the overlapping windows that cover every stretch around a trigger."""
-    out, reached = [], -1
+    out, reached, runs = [], -1, addresses(text)
     for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - NEAR), min(len(text), m.end() + NEAR)
+        s, e = runs.get(m.start(), m.span())
+        a, b = max(0, min(s - 1, m.start() - NEAR)), min(len(text), max(e + 1, m.end() + NEAR))
         if b <= reached:
             continue
         at = a if not out or a > reached - STRIDE else out[-1] + STRIDE
@@ -90,20 +106,55 @@ def windows(text: str) -> list[int]:
             if reached >= b:
                 break
             at += STRIDE
+    own = []
+    for s, e in runs.values():
+        # the last window that begins before the run holds the most of it
+        i = bisect_left(out, max(s, 1)) - 1
+        if e - s <= WINDOW - 2 and not (i >= 0 and e < out[i] + WINDOW):
+            own.append(max(0, s - (WINDOW - (e - s)) // 2))
+    return out + own
+
+
+def _read_on(text: str, start: int, end: int, left: bool, right: bool, known: list[tuple[int, int]]) -> tuple[int, int]:
+    """start and end of an address moved to the ends of the runs that a window's edge cut; known: the text's last runs."""
+    for side in (0, 1):
+        at = (start, end)[side]
+        if not (left, right)[side]:
+            continue
+        if not known[side][0] <= at <= known[side][1]:
+            if side:
+                known[1] = (at, RIGHT.match(text, at).end())
+            else:
+                stop = LEFT.match(text, at).end()
+                at_first = at
+                while at_first > 0 and LEFT.fullmatch(text, at_first - 1, at_first):
+                    at_first -= 1
+                known[0] = (at_first, stop)
+        start, end = (start, known[1][1]) if side else (known[0][0], end)
+    return start, end
+
+
+def _united(found):
+    """found: (kind, start, end, lead, cut on the left, cut on the right) -> the same of spans of one kind that overlap, or touch where an edge cut them."""
+    out: list[list] = []
+    for k, s, e, lead, left, right in sorted(found, key=lambda f: (f[0], f[1], f[4], -f[2])):
+        u = out[-1] if out else None
+        if u and u[0] == k and (s < u[2] or s == u[2] and (left or u[5])):
+            u[5] = right if e > u[2] else u[5] and right if e == u[2] else u[5]
+            u[2], u[3] = max(e, u[2]), max(lead, u[3])
+        else:
+            out.append([k, s, e, lead, left, right])
     return out
 
 
-def reconcile(found: list[tuple[int, int, int, float, bool]], least: float) -> list[tuple[int, int, int]]:
-    """found: (kind, start, end, lead, cut by an edge) of all windows -> the text's spans (kind, start, end)."""
-    whole = sorted((f for f in found if not f[4]), key=lambda f: (f[0], f[1], -f[2]))
-    united: list[list] = []
-    for k, s, e, lead, _ in whole:
-        if united and united[-1][0] == k and s < united[-1][2]:
-            united[-1][2], united[-1][3] = max(e, united[-1][2]), max(lead, united[-1][3])
-        else:
-            united.append([k, s, e, lead])
+def reconcile(found: list[tuple[int, int, int, float, bool, bool]], least: float, fits=lambda k, s, e: True) -> list[tuple[int, int, int]]:
+    """found: (kind, start, end, lead, cut on the left, cut on the right) of all windows -> the text's spans (kind, start, end)."""
+    whole = [f for f in found if not (f[4] or f[5])]
+    joined = [u for u in _united(found) if not (u[4] or u[5]) and fits(*u[:3])] if len(whole) < len(found) else []
+    # spans no edge cut stand for themselves where nothing plausible was joined over them
+    rest = [u for u in _united(whole) if not any(u[0] == j[0] and u[1] < j[2] and j[1] < u[2] for j in joined)]
     out: list[tuple[int, int, int]] = []
-    for k, s, e, lead in sorted(united, key=lambda u: (-u[3], u[1], u[0])):
+    for k, s, e, lead, _, _ in sorted(joined + rest, key=lambda u: (-u[3], u[1], u[0])):
         if lead >= least and not any(s < b and a < e for _, a, b in out):
             out.append((k, s, e))
     return out
@@ -114,6 +165,7 @@ def tag_texts(texts: list[str], model: Tagger, least: float = 1.0, at_once: int
     where = [(i, a) for i, t in enumerate(texts) for a in windows(t)]
     codes = {i: classes(texts[i]) for i in {i for i, _ in where}}
     found: dict[int, list] = {}
+    known: dict[int, list] = {}
     for at in range(0, len(where), at_once):
         part = where[at : at + at_once]
         x = np.full((len(part), WINDOW), 5, np.uint8)
@@ -131,10 +183,14 @@ def tag_texts(texts: list[str], model: Tagger, least: float = 1.0, at_once: int
                 k, e = (row[s] - 1) // 2, s + 1
                 while e < n and row[e] == 2 + 2 * k:
                     e += 1
-                edge = (s == 0 and a > 0) or (e == WINDOW and a + WINDOW < len(codes[i]))
-                found.setdefault(i, []).append((int(k), a + s, a + e, float(lead[j, s:e].mean()), edge))
+                left, right = s == 0 and a > 0, e == WINDOW and a + WINDOW < len(codes[i])
+                b, c = a + s, a + e
+                if k == 0 and (left or right) and SIGN.search(texts[i], b, c):
+                    b, c = _read_on(texts[i], b, c, left, right, known.setdefault(i, [(0, -1), (0, -1)]))
+                    left = right = False
+                found.setdefault(i, []).append((int(k), b, c, float(lead[j, s:e].mean()), left, right))
                 s = e
-    return [reconcile(found.get(i, []), least) for i in range(len(texts))]
+    return [reconcile(found.get(i, []), least, lambda k, s, e, t=t: _plausible(k, t[s:e])) for i, t in enumerate(texts)]
 
 
 def all_spans(texts: list[str], model: Tagger) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
