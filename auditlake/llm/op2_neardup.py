@@ -148,8 +148,14 @@ def _rare(most: int, rows: pa.Table) -> pa.Table:
     ids, part, odd = np.concatenate(who, axis=1)
     h = np.concatenate([np.frombuffer(x, U64) for x in rows.column("h").to_pylist()])
     owner = np.concatenate([np.frombuffer(x, np.int32) + s for x, s in zip(rows.column("owner").to_pylist(), shift)])
-    order = np.argsort(h, kind="stable")
+    one, first, same = np.unique(ids, return_index=True, return_inverse=True)
+    if again := len(one) < len(ids):  # repeated rows have one owner, which has a shingle once
+        ids, part, odd, owner = one, part[first], odd[first], same[owner]
+    order = np.lexsort((owner, h)) if again else np.argsort(h, kind="stable")
     h, owner = h[order], owner[order]
+    if again:
+        new = np.concatenate(([True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])))
+        h, owner = h[new], owner[new]
     starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
     counts = np.diff(np.append(starts, len(h)))
     few = np.repeat(counts <= most, counts)
