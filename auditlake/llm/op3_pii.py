@@ -16,7 +16,10 @@ its lead reaches `lead`; so it finds written variants (spaces around the signs,
 without a plus) and leaves other numbers alone.
 
 Defined results: null text is empty; documents without spans have an empty string; every
-row gets a row.
+row gets a row, with a null doc_id or a repeated one too (rows do not look at each other, so
+there are no ties between them); a text of any length is read whole, in time that grows with
+its length; spans that begin alike go to the larger lead, then the smaller start; other
+columns are not read, whatever their names; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -32,8 +35,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .bilstm import KINDS, WINDOW, Tagger, classes, trained
 from .common import table
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: What may stand before an address's sign, and what must stand behind it.
+LOCAL = ".%+-_" + "".join(map(chr, (*range(48, 58), *range(65, 91), *range(97, 123))))
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+#: Whole runs of numbers between dots, four at least, so that no number is read anew from its second digit.
+DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 TRIGGER = re.compile(r"[0-9@]|[\[(]at[\])]")
@@ -56,14 +62,44 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """The leftmost non-overlapping matches of LOCAL+ @ DOMAIN, found from the signs, in one pass over the text.
+
+    LOCAL has no sign, so a match ends its first part at a sign and begins where the run before it begins.
+    """
+    out, free, at = [], 0, text.find("@")
+    while at >= 0:
+        run = text[free:at]
+        start = free + len(run.rstrip(LOCAL))
+        free = at + 1
+        if start < at and (m := DOMAIN.match(text, at + 1)):
+            out.append((start, m.end()))
+            free = m.end()
+        at = text.find("@", free)
+    return out
+
+
+def addresses_ip(text: str) -> list[tuple[int, int]]:
+    """The leftmost non-overlapping groups of four numbers between dots, each at most 255."""
+    out = []
+    for m in DOTTED.finditer(text):
+        parts, at = m.group().split("."), m.start()
+        for i in range(0, len(parts) - 3, 4):
+            four = parts[i : i + 4]
+            end = at + sum(map(len, four)) + 3
+            if all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in four):
+                out.append((at, end))
+            at = end + 1
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(kind, start, end) of the pattern spans, by kind, then start."""
+    """(kind, start, end) of the pattern spans, by kind, then start; time and memory grow with the text, not with its square."""
     out = []
     if "@" in text:
-        # the pattern's first part cannot cross other characters, so it is tried where such a run touches an @
-        out += [(0, m.start(), m.end()) for m in EMAIL.finditer(text)]
+        out += [(0, s, e) for s, e in emails(text)]
     if "." in text:
-        out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(int(x) <= 255 for x in m.group().split("."))]
+        out += [(1, s, e) for s, e in addresses_ip(text)]
     for m in CARD.finditer(text):
         d = _digits(m.group())
         if 13 <= len(d) <= 19 and luhn(d):
@@ -115,6 +151,29 @@ def windows(text: str) -> list[int]:
     return out + own
 
 
+class Spans:
+    """Disjoint intervals, to ask whether another one meets any: spans are merged as they come in order, or put between the others."""
+
+    def __init__(self, spans=()):
+        self.starts, self.ends = [], []
+        for s, e in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(e, self.ends[-1])
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def meets(self, s: int, e: int) -> bool:
+        i = bisect_left(self.starts, e) - 1
+        return i >= 0 and self.ends[i] > s
+
+    def add(self, s: int, e: int) -> None:
+        """s, e meets none of the others."""
+        i = bisect_left(self.starts, s)
+        self.starts.insert(i, s)
+        self.ends.insert(i, e)
+
+
 def _read_on(text: str, start: int, end: int, left: bool, right: bool, known: list[tuple[int, int]]) -> tuple[int, int]:
     """start and end of an address moved to the ends of the runs that a window's edge cut; known: the text's last runs."""
     for side in (0, 1):
@@ -152,10 +211,12 @@ def reconcile(found: list[tuple[int, int, int, float, bool, bool]], least: float
     whole = [f for f in found if not (f[4] or f[5])]
     joined = [u for u in _united(found) if not (u[4] or u[5]) and fits(*u[:3])] if len(whole) < len(found) else []
     # spans no edge cut stand for themselves where nothing plausible was joined over them
-    rest = [u for u in _united(whole) if not any(u[0] == j[0] and u[1] < j[2] and j[1] < u[2] for j in joined)]
-    out: list[tuple[int, int, int]] = []
+    over = {k: Spans((j[1], j[2]) for j in joined if j[0] == k) for k in {j[0] for j in joined}}
+    rest = [u for u in _united(whole) if u[0] not in over or not over[u[0]].meets(u[1], u[2])]
+    out, taken = [], Spans()
     for k, s, e, lead, _, _ in sorted(joined + rest, key=lambda u: (-u[3], u[1], u[0])):
-        if lead >= least and not any(s < b and a < e for _, a, b in out):
+        if lead >= least and not taken.meets(s, e):
+            taken.add(s, e)
             out.append((k, s, e))
     return out
 
@@ -200,7 +261,8 @@ def all_spans(texts: list[str], model: Tagger) -> list[tuple[list[tuple[int, int
     tagged = dict(zip(hits, tag_texts([texts[i] for i in hits], model)))
     for i, t in enumerate(texts):
         base = base_spans(t) if i in tagged else []
-        more = [(k, s, e) for k, s, e in tagged.get(i, []) if _plausible(k, t[s:e]) and not any(a < e and s < b for _, a, b in base)]
+        here = Spans((a, b) for _, a, b in base)
+        more = [(k, s, e) for k, s, e in tagged.get(i, []) if _plausible(k, t[s:e]) and not here.meets(s, e)]
         out.append((base, sorted(more)))
     return out
 
