@@ -104,16 +104,14 @@ def chunks_for(df: DataFrame, mb: int = 8, least: int = 12) -> int:
     return max(least, -(-plan_bytes(df) // (mb << 20)))
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder the cluster names.
 
-    spark.checkpoint.dir is read from the session; a temporary folder is used only
-    where it is unset, as in local tests.
+    parts: at most so many files (from the size of the input, so a small table is not spread
+    over as many as the shuffle before it had; never more than it has).
     """
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint()
+    shared_dir(df.sparkSession)
+    return (df.coalesce(parts) if parts else df).checkpoint()
 
 
 def small(df: DataFrame, rows: int = 10_000) -> DataFrame:
@@ -129,10 +127,19 @@ ID_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for written tables: the checkpoint folder, which driver and executors share."""
+    """The folder for checkpoints and written tables, which driver and executors share.
+
+    It is the one the session names in spark.checkpoint.dir, also where that was set after the
+    start.  Only on a local master, as in tests, is a folder of this machine used where it is unset.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            named = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -141,13 +148,27 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(F.array_remove(F.split(text, WORD_GAP), "")), F.lit(0)).cast("long")
 
 
+#: Bytes of a batch that a Python function gets at once, unless one row alone has more.
+SLICE = 8 << 20
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of SLICE bytes at most, or single rows."""
+    if batch.num_rows > 1 and batch.nbytes > SLICE:
+        half = batch.num_rows // 2
+        yield from slices(batch.slice(0, half))
+        yield from slices(batch.slice(half))
+    elif batch.num_rows:
+        yield batch
+
+
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInArrow with a function from one record batch to one; empty batches are passed over."""
+    """mapInArrow with a function from one record batch to one; batches come in slices, so memory is bounded, and empty ones are passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
+            for part in slices(batch):
+                out = fn(part)
                 if out is not None and out.num_rows:
                     yield out
 

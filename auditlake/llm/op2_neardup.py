@@ -36,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ID_ROWS, U64, arrow_map, cut, mix, rolling, small, table, text_bytes, word_hashes
-from .components import connected_components
+from .common import ID_ROWS, U64, arrow_map, chunks_for, cut, mix, rolling, small, table, text_bytes, word_hashes
+from .components import connected_components, joined_components
 
 BANDS, ROWS = 40, 5
 HASHES = BANDS * ROWS
@@ -128,14 +128,18 @@ def _linked(percent: int, batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _spread(buckets: int, batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The shingles of a batch of sets (id, own, part, odd), dealt to hash buckets as packed arrays with their owners."""
+    """The shingles of a batch of sets (id, own, part, odd), dealt to hash buckets as packed arrays, each with its owners alone."""
     own = [np.frombuffer(x, U64) for x in batch.column("own").to_pylist()]
     every, owner = np.concatenate(own), np.repeat(np.arange(len(own), dtype=np.int32), [len(x) for x in own])
     to = (every % U64(buckets)).astype(np.int64)
     order = np.argsort(to, kind="stable")
     ends = np.searchsorted(to[order], np.arange(buckets + 1))
-    who = b"".join(np.array(batch.column(c).to_pylist(), np.int64).tobytes() for c in ("id", "part", "odd"))
-    rows = [(b, every[order[x:y]].tobytes(), owner[order[x:y]].tobytes(), who) for b, (x, y) in enumerate(zip(ends[:-1], ends[1:])) if y > x]
+    who = np.array([batch.column(c).to_pylist() for c in ("id", "part", "odd")], np.int64)
+    rows = []
+    for b, (x, y) in enumerate(zip(ends[:-1], ends[1:])):
+        if y > x:
+            here, at = np.unique(owner[order[x:y]], return_inverse=True)
+            rows.append((b, every[order[x:y]].tobytes(), at.astype(np.int32).tobytes(), who[:, here].tobytes()))
     cols = list(zip(*rows)) if rows else ((),) * 4
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])], ["bucket", "h", "owner", "who"])
 
@@ -182,26 +186,22 @@ def _sets_of(ids: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     return sets.join(reps.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi").select("id", "own")  # where rows share a doc_id
 
 
-def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirm(pairs: DataFrame, reps: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
     """The pairs (a, b) of representatives that are linked, checked on signatures and then on full sets."""
     at = lambda side: reps.select(F.col("rep").alias(side), F.col("signature").alias(f"s{side}"))
-    likely = cut(arrow_map(pairs.join(at("b"), "b").join(at("a"), "a").select("a", "b", "sa", "sb"), _likely, "a long, b long"))
-    sets = _sets_of(cut(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()), reps, docs)
+    likely = cut(arrow_map(pairs.join(at("b"), "b").join(at("a"), "a").select("a", "b", "sa", "sb"), _likely, "a long, b long"), parts)
+    sets = _sets_of(cut(likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), parts), reps, docs)
     side = lambda c: sets.select(F.col("id").alias(c), F.col("own").alias(f"x{c}"))
     full = likely.join(side("b"), "b").join(side("a"), "a").select("a", "b", "xa", "xb")
-    return cut(arrow_map(full, partial(_linked, SIMILARITY), "a long, b long"))
+    return cut(arrow_map(full, partial(_linked, SIMILARITY), "a long, b long"), parts)
 
 
-def _parts(links: DataFrame) -> DataFrame:
-    return cut(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-
-
-def _mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
+def _mixed(members: DataFrame, parts: DataFrame, n: int) -> DataFrame:
     """The members (key, rep, n, ...) of buckets that still hold several components, with part and the bucket's main part."""
     named = members.join(parts, F.col("rep") == F.col("node"), "left").withColumn("part", F.coalesce("component", "rep")).drop("node", "component")
-    named = cut(named)
+    named = cut(named, n)
     mixed = named.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min_by("part", "rep").alias("main"), F.min("n").alias("least_n"))
-    return named.join(mixed.where("lo < hi").select("key", "main", "least_n"), "key")
+    return cut(named.join(mixed.where("lo < hi").select("key", "main", "least_n"), "key"), n)
 
 
 def _fits(x: str, y: str, of: str = "n") -> str:
@@ -216,14 +216,14 @@ def _fits(x: str, y: str, of: str = "n") -> str:
 RARE = 32
 
 
-def _rare_counts(mixed: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+def _rare_counts(mixed: DataFrame, reps: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
     """(a, null, common) rare shingles of every member, and (a, b, common) those that two of unlike parts have both."""
-    who = cut(mixed.groupBy(F.col("rep").alias("id")).agg(F.max("part").alias("part"), F.max((F.col("part") != F.col("main")).cast("long")).alias("odd"), F.max("n").alias("n")))
+    who = cut(mixed.groupBy(F.col("rep").alias("id")).agg(F.max("part").alias("part"), F.max((F.col("part") != F.col("main")).cast("long")).alias("odd"), F.max("n").alias("n")), parts)
     total = who.agg(F.sum("n")).first()[0] or 0
     sets = _sets_of(who.select(F.col("id").alias("doc_id")), reps, docs).join(who, "id").select("id", "own", "part", "odd")
     dealt = arrow_map(sets, partial(_spread, max(12, total // 1_000_000)), "bucket long, h binary, owner binary, who binary")
     found = dealt.groupBy("bucket").applyInArrow(lambda rows: _rare(RARE, rows), "a long, b long, n long")
-    return cut(found.groupBy("a", "b").agg(F.sum("n").alias("common")))
+    return cut(found.groupBy("a", "b").agg(F.sum("n").alias("common")), parts)
 
 
 def _shared(mixed: DataFrame, rare: DataFrame) -> DataFrame:
@@ -235,33 +235,35 @@ def _shared(mixed: DataFrame, rare: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text); see the module."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = cut(arrow_map(docs, _sign, "doc_id long, digest binary, n_shingles long, signature binary, bands array<long>"))
-    copies = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = signed.join(copies, "digest").where("doc_id = rep").dropDuplicates(["rep", "digest"]).select("rep", "digest", "n_shingles", "signature", "bands")
-    reps = cut(reps)
+    parts = chunks_for(docs)
+    signed = cut(arrow_map(docs, _sign, "doc_id long, digest binary, n_shingles long, signature binary, bands array<long>"), parts)
+    reps = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "signature", "bands"), "doc_id").alias("x"))
+    reps = cut(reps.select("rep", "digest", "x.*"), parts)
 
     banded = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("rep").alias("center"), F.max("rep").alias("last")).where("center < last").select("key", "center")
-    members = cut(banded.join(buckets, "key"))
+    members = cut(banded.join(buckets, "key"), parts)
     sizes = reps.select(F.col("rep").alias("a"), F.struct(F.col("n_shingles").alias("n")).alias("x"))
     star = members.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b"), F.struct("n").alias("y")).distinct()
-    links = _confirm(cut(star.join(sizes, "a").where(_fits("x", "y")).select("a", "b").distinct()), reps, docs)
+    links = _confirm(cut(star.join(sizes, "a").where(_fits("x", "y")).select("a", "b"), parts), reps, docs, parts)
     members = members.select("key", "rep", "n")
+    edges = lambda links: links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    named = cut(connected_components(edges(links), parts=parts), parts)
 
-    mixed = cut(_mixed(members, _parts(links)))
-    rare = _rare_counts(mixed, reps, docs)
-    mixed = cut(_shared(mixed, rare))
+    mixed = _mixed(members, named, parts)
+    mixed = cut(_shared(mixed, _rare_counts(mixed, reps, docs, parts)), parts)
 
     # every other member meets the bucket's most central one: the one with the fewest words of its own
     center = mixed.groupBy("key").agg(F.min_by(F.struct("rep", "part", "n", "shared"), F.struct(F.col("n") - F.col("shared"), F.col("rep"))).alias("c"))
     again = mixed.withColumn("m", F.struct("n", "shared")).join(center, "key").where("part <> c.part").where(_fits("m", "c"))
     again = again.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
-    links = cut(links.union(_confirm(cut(again), reps, docs)))
+    links = _confirm(cut(again, parts), reps, docs, parts)
+    named = cut(joined_components(named, edges(links), parts), parts)
 
     # what is still apart: members out of the main component meet all others they could be linked with
-    mixed = cut(_mixed(members, _parts(links)))
-    rare = _rare_counts(mixed, reps, docs)
-    mixed = cut(_shared(mixed, rare))
+    mixed = _mixed(members, named, parts)
+    rare = _rare_counts(mixed, reps, docs, parts)
+    mixed = cut(_shared(mixed, rare), parts)
     room = f"{100 + SIMILARITY} * shared >= {SIMILARITY} * (n + greatest(least_n, n * {SIMILARITY} div 100))"
     odd, other = mixed.where("part <> main").where(room).alias("o"), mixed.where(room).alias("m")
     apart = (F.col("o.key") == F.col("m.key")) & (F.col("o.part") != F.col("m.part")) & ((F.col("m.part") == F.col("m.main")) | (F.col("o.rep") < F.col("m.rep")))
@@ -270,9 +272,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     side = lambda c, r: mixed.select(F.col("rep").alias(c), F.struct("n", "shared").alias(r)).distinct()
     both = rare.where("b is not null").join(side("a", "x"), "a").join(side("b", "y"), "b")
     both = both.where(f"{100 + SIMILARITY} * (common + least(x.shared, y.shared)) >= {SIMILARITY} * (x.n + y.n)").where(_fits("x", "y")).select("a", "b")
-    parts = _parts(links.union(_confirm(cut(rest.union(both).distinct()), reps, docs)))
+    links = _confirm(cut(rest.union(both).distinct(), parts), reps, docs, parts)
+    named = joined_components(named, edges(links), parts)
 
-    out = signed.select("doc_id", "digest", "n_shingles").join(copies, "digest", "left").join(parts, F.col("rep") == F.col("node"), "left")
+    copies = reps.select("digest", "rep")
+    out = signed.select("doc_id", "digest", "n_shingles").join(copies, "digest", "left").join(named, F.col("rep") == F.col("node"), "left")
     component = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
