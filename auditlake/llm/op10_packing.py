@@ -10,7 +10,10 @@ seeded order are cut into batches of budget // boundary rows: the rank is a coun
 is not sorted in one task, and only the last batch of a bucket can be short.
 
 Length: number of words (or any column).  Defined results: null text has length 0 and sits
-in the first bucket; equal and repeated rows each get a place.  No rows give no rows.
+in the first bucket; a null doc_id is as good as another; equal and repeated rows each get a
+place (rows of equal hash and doc_id are alike but for their place); a text longer than the
+budget is a batch by itself; other columns are not read, whatever their names.  No rows give
+no rows.
 """
 
 from __future__ import annotations

@@ -13,7 +13,10 @@ is taken, the higher one on ties; with no surplus the rule is off for the stratu
 
 Nulls: a null text has no words; a null stratum is a stratum of its own; labels with a
 null id or quality are passed over.  A text with no words has figures of 0 and fails the
-base rule.  Repeated rows each get a row.  Without labels no cutoff is set.
+base rule.  Repeated rows each get a row, a null doc_id too (it has no label); a doc_id with
+several labels counts as good if one of them is.  Texts of any length are read whole.  Other
+columns pass through quality_filter whatever their names; the other functions do not read
+them.  Without labels no cutoff is set; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -66,8 +69,8 @@ def _repeat_words(w: Column) -> Column:
     return F.when(F.size(w) > 3, covered).otherwise(F.lit(0).cast("long"))
 
 
-def features(docs: DataFrame, text: str = "text", suffix: str = "") -> DataFrame:
-    """docs with n_words, the figures of NAMES, n_lines and base_failed (each + suffix), from whole texts."""
+def features(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with n_words, the figures of NAMES, n_lines and base_failed, from whole texts; docs has no columns of these names, _f or _l."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     words = F.array_remove(F.split(t, WORD_GAP), "")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -81,10 +84,9 @@ def features(docs: DataFrame, text: str = "text", suffix: str = "") -> DataFrame
     )
     line = _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     symbols = F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long")
-    out = docs.withColumns({"_f": found, "_l": line, f"n_symbols{suffix}": symbols})
-    out = out.select("*", *(F.col(f"_f.{n}").alias(n + suffix) for n in ("n_words", "word_chars", "n_repeat_words")), *(F.col(f"_l.{n}").alias(n + suffix) for n in ("n_lines", "n_dup_lines"))).drop("_f", "_l")
-    failed = (F.col("n_words" + suffix) < 50) | (100 * F.col("n_repeat_words" + suffix) > 50 * F.col("n_words" + suffix))
-    return out.withColumn("base_failed" + suffix, failed)
+    out = docs.withColumns({"_f": found, "_l": line, "n_symbols": symbols})
+    out = out.select("*", *(F.col(f"_f.{n}").alias(n) for n in ("n_words", "word_chars", "n_repeat_words")), *(F.col(f"_l.{n}").alias(n) for n in ("n_lines", "n_dup_lines"))).drop("_f", "_l")
+    return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
 def binomial_cdf(n: Column, k: Column, p: float) -> Column:
@@ -155,13 +157,12 @@ def quality_filter(docs: DataFrame, labels: DataFrame, risk: float = 0.02) -> Da
     No kept text is shuffled: figures are made beside it.  The cutoffs need those of labelled
     rows only, so the labels' ids choose the texts that are read for them.
     """
-    s = "__q"
     ids = small(cut(labels.where("doc_id is not null and quality is not null").select("doc_id").distinct()), ID_ROWS)
     marked = features(docs.select("doc_id", "text", F.col("lang").alias("stratum")).join(ids, "doc_id", "left_semi")).drop("text")
     cuts = cut(calibrate(_labelled(cut(marked), labels), risk=risk))
-    rows = features(docs, suffix=s)
-    here = rows.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col("lang").alias("stratum"), *(F.col(c).alias(c.removesuffix(s)) for c in rows.columns if c.endswith(s)))
-    return verdict(here, cuts).where("kept").select(*(F.col("_doc").getField(c).alias(c) for c in docs.columns))
+    # the document in one struct, so that no column of it can clash with a figure
+    rows = features(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), "text", F.col("lang").alias("stratum"))).drop("text")
+    return verdict(rows, cuts).where("kept").select(*(F.col("_doc").getField(c).alias(c) for c in docs.columns))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,8 +16,10 @@ which Spark splits.  Texts are dealt by doc_id once and that exchange is read tw
 
 Defined results: a null text stays null and loses nothing; a text that loses every line
 becomes empty; rows of one doc_id count as one document; rows with a null doc_id are left
-alone and remove nothing.  Other columns pass through, n_chars (where there is one) is
-counted again for changed texts.
+alone and remove nothing; of equal windows the one with the smallest (doc_id, place) stays, so
+there are no ties; a text of any length is read whole; an empty table gives no rows.  Other
+columns pass through whatever their names, n_chars (where there is one) is counted again for
+changed texts.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, word_count
 
 _GAPS = " \t\n\x0b\x0c\r"
 
@@ -118,10 +120,9 @@ def _rebuild(batches):
         yield pa.RecordBatch.from_arrays([batch.column("_doc"), pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(chunks, pa.int64())], ["_doc", "_t", "_lines", "_chunks"])
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
-    """docs with text shortened, and _lines and _chunks removed from each; see the module."""
-    columns = docs.columns
-    rest = [c for c in columns if c != "text"]
+def _deduped(docs: DataFrame) -> DataFrame:
+    """_doc (all columns of docs but text), _t (the shortened text), _lines and _chunks of every row."""
+    rest = [c for c in docs.columns if c != "text"]
     # never null, so that no join filters below the exchange and both read the same one
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))
     base = docs.select(own.alias("_id"), F.col("doc_id").isNotNull().alias("_real"), F.col("text").alias("_t"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_doc")).repartition("_id")
@@ -134,24 +135,26 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     bodies = base.join(ask, "_id").mapInArrow(_bodies, "doc long, first int, n int, body string")
     gone = found.join(bodies, ["doc", "first", "n"]).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("no", "doc", "first", "body")).alias("_gone"))
     kind = base.schema["_doc"].dataType.simpleString()
-    out = base.join(gone, "_id", "left").mapInArrow(_rebuild, f"_doc {kind}, _t string, _lines long, _chunks long")
+    return base.join(gone, "_id", "left").mapInArrow(_rebuild, f"_doc {kind}, _t string, _lines long, _chunks long")
+
+
+def _columns(docs: DataFrame, leave: tuple[str, ...] = ()) -> list:
+    """The columns of docs out of the rows of _deduped, but for those of the names to leave."""
     new = {"text": F.col("_t")}
-    if "n_chars" in columns:
+    if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("_chunks") > 0, F.length("_t")).otherwise(F.col("_doc.n_chars")).cast(docs.schema["n_chars"].dataType)
-    return out.select(*((new[c] if c in new else F.col("_doc").getField(c)).alias(c) for c in columns), "_lines", "_chunks")
-
-
-def brute(rows: list[tuple[int, str | None]]) -> dict[int, str | None]:
-    """What line_dedup keeps of texts with distinct ids, one by one in the order of doc_id."""
-    seen, out = {}, {}
-    for i, text in sorted(rows):
-        own, away = word_lines(text or ""), set()
-        for no, pair in enumerate(zip(own, own[1:])):
-            doc, first = seen.setdefault(pair, (i, no))
-            if (doc, first) != (i, no):
-                away |= _lost(no, doc == i, first)
-        out[i] = None if text is None else without(text, away)[0]
-    return out
+    return [(new[c] if c in new else F.col("_doc").getField(c)).alias(c) for c in docs.columns if c not in leave]
+
+
+def line_dedup(docs: DataFrame) -> DataFrame:
+    """docs with text shortened, and how many lines and runs each lost as _lines and _chunks (columns of docs of these names give way); see the module."""
+    return _deduped(docs).select(*_columns(docs, ("_lines", "_chunks")), "_lines", "_chunks")
+
+
+def line_filter(docs: DataFrame) -> DataFrame:
+    """The columns of docs with text shortened, without the documents that had words and are left with none."""
+    return _deduped(docs).where((F.col("_chunks") == 0) | (word_count(F.col("_t")) > 0)).select(*_columns(docs))
+
 
 def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"))

@@ -14,7 +14,9 @@ task, texts are not shuffled, and a source's taken words equal its target rounde
 
 Defined results: a null or wordless text has size 0 and is taken as often as whole
 repetitions say, with 0 words; a null source is a source of its own; rows of one doc_id in
-one source share a hash and are cut alike.  No rows give no rows.
+one source share a hash and are cut alike, those of a null doc_id too; equal hashes go by
+doc_id; a text of any length counts whole; other columns pass through whatever their names.
+No rows give no rows.
 """
 
 from __future__ import annotations
@@ -42,9 +44,18 @@ def targets(totals: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: flo
     return t.select("source", "source_size", target.cast("double").alias("target"))
 
 
+OUT = ("_size", "_source_size", "_target", "_whole", "_extra")
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: float = CAP, seed: int = SEED) -> DataFrame:
-    """docs with _size, _source_size, _target, _whole (repetitions) and _extra (words beyond them); see the module."""
-    keyed = docs.withColumn("_size", word_count(F.col("text"))).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id"))
+    """docs with _size, _source_size, _target, _whole (repetitions) and _extra (words beyond them), which replace columns of these names; see the module."""
+    return _mixed(docs, weights, budget, cap, seed).select(*(F.col("_doc").getField(c).alias(c) for c in docs.columns if c not in OUT), *OUT)
+
+
+def _mixed(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: float = CAP, seed: int = SEED) -> DataFrame:
+    """_doc (the columns of docs, as one struct so that no name can clash), text and OUT of every row."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc")
+    keyed = docs.select(whole, "doc_id", "source", "text").withColumn("_size", word_count(F.col("text"))).withColumn("_h", F.xxhash64(F.lit(seed), "doc_id"))
     keyed = keyed.withColumn("_range", F.shiftright("_h", 48).cast("int"))
     sums = cut(keyed.groupBy("source", "_range").agg(F.sum("_size").alias("n")))
     plan = targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), weights, budget, cap)
@@ -65,7 +76,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: float = C
     here = (F.col("_h") == F.col("_lh")) & F.col("doc_id").eqNullSafe(F.col("_ld"))
     earlier = (F.col("_h") < F.col("_lh")) | ((F.col("_h") == F.col("_lh")) & (F.coalesce("doc_id", F.lit(-(1 << 63))) < F.coalesce("_ld", F.lit(-(1 << 63)))))
     extra = F.when(F.col("_lh").isNull(), 0).when(here, F.floor(F.col("_part") * F.col("_size") / F.col("_of"))).when(earlier, F.col("_size")).otherwise(0).cast("long")
-    return out.select(*(docs[c] for c in docs.columns), "_size", "_source_size", "_target", F.coalesce("whole", F.lit(0)).alias("_whole"), extra.alias("_extra"))
+    return out.select("_doc", "text", "_size", "_source_size", "_target", F.coalesce("whole", F.lit(0)).alias("_whole"), extra.alias("_extra"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -73,7 +84,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     A wordless document stays once: it takes no words from any target.
     """
-    m = mix(docs)
+    m = _mixed(docs)
     full = F.col("_whole") + F.when((F.col("_extra") > 0) & (F.col("_extra") == F.col("_size")), 1).otherwise(0)
     full = F.when(F.col("_size") == 0, 1).otherwise(full).cast("int")
     part = F.array_join(F.slice(F.array_remove(F.split("text", WORD_GAP), ""), F.lit(1), F.col("_extra").cast("int")), " ")
@@ -81,8 +92,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     rows = m.withColumn("_text", F.explode(reps))
     new = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_text") == F.col("text"), F.col("n_chars")).otherwise(F.length("_text")).cast(docs.schema["n_chars"].dataType)
-    return rows.select(*((new[c] if c in new else F.col(f"`{c}`")).alias(c) for c in docs.columns))
+        new["n_chars"] = F.when(F.col("_text") == F.col("text"), F.col("_doc.n_chars")).otherwise(F.length("_text")).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*((new[c] if c in new else F.col("_doc").getField(c)).alias(c) for c in docs.columns))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

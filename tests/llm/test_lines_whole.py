@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from auditlake.llm import op5_lines
 
+from . import brute
+
 
 def make_line(r, words=9):
     return " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(words))
@@ -21,7 +23,7 @@ def test_planted_passages_go_whole(spark, n):
             want[3 * k + c] = "\n".join(a + (passage if c == 0 else []) + b)
             rows.append((3 * k + c, "\n".join(a + passage + b)))
     got = {x.doc_id: x for x in op5_lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
-    assert {d: x.text for d, x in got.items()} == want == op5_lines.brute(rows)
+    assert {d: x.text for d, x in got.items()} == want == brute.lines(rows)
     assert all((x._lines, x._chunks) == ((0, 0) if d % 3 == 0 else (n, 1)) for d, x in got.items())
 
 

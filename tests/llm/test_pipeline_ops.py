@@ -27,7 +27,7 @@ def test_line_dedup(spark, docs):
     got = op5_lines.line_dedup(docs.withColumn("no", F.lit(1)).repartition(6))
     assert got.columns == docs.columns + ["no", "_lines", "_chunks"]
     rows = got.collect()
-    want = op5_lines.brute([(r.doc_id, r.text) for r in docs.collect()])
+    want = brute.lines([(r.doc_id, r.text) for r in docs.collect()])
     assert {r.doc_id: r.text for r in rows} == want
     assert sum(r._chunks for r in rows) > 60
     assert all(r.n_chars == len(r.text) for r in rows if r._chunks)
@@ -123,7 +123,7 @@ def test_pipeline_stages_against_brute_force(spark, sf, docs):
     one = corpus_pipeline.quality(spark, docs, sf)
     assert {r.doc_id for r in one.collect()} == {r.doc_id for r in quality_table(docs, labels).where("kept").collect()}
     two = corpus_pipeline.lines(spark, one, sf)
-    want = {d: t for d, t in op5_lines.brute([(r.doc_id, r.text) for r in one.collect()]).items() if t and t.split()}
+    want = {d: t for d, t in brute.lines([(r.doc_id, r.text) for r in one.collect()]).items() if t and t.split()}
     got = {r.doc_id: r.text for r in two.collect()}
     assert got == want
     three = corpus_pipeline.near(spark, two, sf)
