@@ -14,12 +14,11 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from auditlake.llm.common import ID_ROWS, cut, shared_dir, small, table, word_count
+from auditlake.llm.common import ID_ROWS, cut, shared_dir, small, table
 from auditlake.llm.op1_quality import quality_filter
 from auditlake.llm.op2_neardup import near_duplicates
-from auditlake.llm.op5_lines import line_dedup
+from auditlake.llm.op5_lines import line_filter
 from auditlake.llm.op9_mixing import mixed_documents
 from auditlake.llm.op10_packing import pack
 
@@ -29,8 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup(docs)
-    return out.where((F.col("_chunks") == 0) | (word_count(F.col("text")) > 0)).select(*docs.columns)
+    return line_filter(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
