@@ -16,10 +16,12 @@ documents are linked when 100 * |A and B| >= 80 * |A or B|.
    shingles (that at most RARE such members have) in their bucket, which in a group of edited
    copies is the text they were made from.
 5. What is still apart is paired within its buckets where  rare shingles common to both +
-   min(other shingles of A, other shingles of B), the most that |A and B| can be, allows a
-   link; pairs with a common rare shingle come from the rare shingles' lists.  So each pair
-   that shares a bucket ends in one component, or was checked, or was proved unlinked: no
-   link is lost, and pairs stay near linear in a group of copies however large it is.
+   the sum over CELLS classes of shingles of min(other shingles of A in it, those of B), the
+   most that |A and B| can be, allows a link; pairs with a common rare shingle come from the
+   rare shingles' lists.  Copies that were edited in different places lose different classes,
+   so the sum proves nearly all of them unlinked.  So each pair that shares a bucket ends in
+   one component, or was checked, or was proved unlinked: no link is lost, and pairs stay
+   near linear in a group of copies however large it is.
 
 Defined results: null or wordless text is its own component and kept; rows of one doc_id
 count as one node, and each gets its row; a null doc_id with a text takes part as a copy
@@ -146,7 +148,7 @@ def _spread(buckets: int, batch: pa.RecordBatch) -> pa.RecordBatch:
 
 def _rare(most: int, rows: pa.Table) -> pa.Table:
     """Of the bucket's shingles that at most so many of these documents have: (a, null, how many a has), and
-    (a, b, how many a and b have both) for odd a and b of another part."""
+    (a, b, how many a and b have both) for odd a and b of another part; of the others, by class, how many a has (cells, with b null)."""
     who = [np.frombuffer(x, np.int64).reshape(3, -1) for x in rows.column("who").to_pylist()]
     shift = np.cumsum([0] + [x.shape[1] for x in who])
     ids, part, odd = np.concatenate(who, axis=1)
@@ -163,7 +165,8 @@ def _rare(most: int, rows: pa.Table) -> pa.Table:
     starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
     counts = np.diff(np.append(starts, len(h)))
     few = np.repeat(counts <= most, counts)
-    has, n = np.unique(ids[owner[few]], return_counts=True)
+    has, n = ids, np.bincount(owner[few], minlength=len(ids))
+    cells = np.bincount(owner[~few].astype(np.int64) * CELLS + ((h[~few] >> U64(40)) % U64(CELLS)).astype(np.int64), minlength=len(ids) * CELLS).astype(np.int32)
     owner, group = owner[few], np.repeat(np.arange(len(counts)), counts)[few]
     keys, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for step in range(1, most):  # every pair in a list of a shingle's owners lies some step apart
@@ -177,7 +180,9 @@ def _rare(most: int, rows: pa.Table) -> pa.Table:
             c += np.bincount(at[: len(keys)], times - 1, len(found)).astype(np.int64)
         keys, times = found, c
     a, b = ids[keys // len(ids)], ids[keys % len(ids)]
-    return pa.table({"a": np.concatenate((has, a)), "b": pa.array(np.concatenate((has, b)), pa.int64(), mask=np.arange(len(has) + len(b)) < len(has)), "n": np.concatenate((n, times))})
+    own = np.arange(len(has) + len(b)) < len(has)
+    offsets = np.minimum(np.arange(len(own) + 1), len(has)).astype(np.int32) * CELLS
+    return pa.table({"a": np.concatenate((has, a)), "b": pa.array(np.concatenate((has, b)), pa.int64(), mask=own), "n": np.concatenate((n, times)).astype(np.int64), "cells": pa.ListArray.from_arrays(offsets, pa.array(cells))})
 
 
 def _sets_of(ids: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
@@ -212,23 +217,29 @@ def _fits(x: str, y: str, of: str = "n") -> str:
     return f"{100 + s} * least({x}.shared, {y}.shared) >= {s} * ({x}.n + {y}.n)"
 
 
-#: Shingles that at most so many of the documents compared have count as rare.
-RARE = 32
+#: Shingles that at most so many of the documents compared have count as rare; classes of the others.
+RARE, CELLS = 32, 32
+
+
+def _overlap(x: str, y: str) -> str:
+    """The most shingles that are not rare that two members can have in common, by class."""
+    return "(" + " + ".join(f"least({x}.cells[{i}], {y}.cells[{i}])" for i in range(CELLS)) + ")"
 
 
 def _rare_counts(mixed: DataFrame, reps: DataFrame, docs: DataFrame, parts: int) -> DataFrame:
-    """(a, null, common) rare shingles of every member, and (a, b, common) those that two of unlike parts have both."""
+    """(a, null, common, cells) rare shingles of every member and the others by class, and (a, b, common) rare ones that two of unlike parts have both."""
     who = cut(mixed.groupBy(F.col("rep").alias("id")).agg(F.max("part").alias("part"), F.max((F.col("part") != F.col("main")).cast("long")).alias("odd"), F.max("n").alias("n")), parts)
     total = who.agg(F.sum("n")).first()[0] or 0
     sets = _sets_of(who.select(F.col("id").alias("doc_id")), reps, docs).join(who, "id").select("id", "own", "part", "odd")
     dealt = arrow_map(sets, partial(_spread, max(12, total // 1_000_000)), "bucket long, h binary, owner binary, who binary")
-    found = dealt.groupBy("bucket").applyInArrow(lambda rows: _rare(RARE, rows), "a long, b long, n long")
-    return cut(found.groupBy("a", "b").agg(F.sum("n").alias("common")), parts)
+    found = dealt.groupBy("bucket").applyInArrow(lambda rows: _rare(RARE, rows), "a long, b long, n long, cells array<int>")
+    sums = found.groupBy("a", "b").agg(F.sum("n").alias("common"), *(F.sum(F.get("cells", F.lit(i))).cast("int").alias(f"c{i}") for i in range(CELLS)))
+    return cut(sums.select("a", "b", "common", F.when(F.col("b").isNull(), F.array(*(f"c{i}" for i in range(CELLS)))).alias("cells")), parts)
 
 
 def _shared(mixed: DataFrame, rare: DataFrame) -> DataFrame:
-    """mixed with shared: how many shingles of a member are not rare."""
-    own = rare.where("b is null").select(F.col("a").alias("_a"), "common")
+    """mixed with shared: how many shingles of a member are not rare, and cells: the same by class."""
+    own = rare.where("b is null").select(F.col("a").alias("_a"), "common", "cells")
     return mixed.join(own, F.col("rep") == F.col("_a"), "left").withColumn("shared", F.col("n") - F.coalesce("common", F.lit(0))).drop("_a", "common")
 
 
@@ -267,11 +278,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     room = f"{100 + SIMILARITY} * shared >= {SIMILARITY} * (n + greatest(least_n, n * {SIMILARITY} div 100))"
     odd, other = mixed.where("part <> main").where(room).alias("o"), mixed.where(room).alias("m")
     apart = (F.col("o.key") == F.col("m.key")) & (F.col("o.part") != F.col("m.part")) & ((F.col("m.part") == F.col("m.main")) | (F.col("o.rep") < F.col("m.rep")))
-    rest = odd.join(other, apart & F.expr(_fits("o", "m")) & F.expr(_fits("o", "m", "shared")))
+    most = F.expr(f"{100 + SIMILARITY} * {_overlap('o', 'm')} >= {SIMILARITY} * (o.n + m.n)")
+    rest = odd.join(other, apart & F.expr(_fits("o", "m")) & F.expr(_fits("o", "m", "shared")) & most)
     rest = rest.select(F.least("o.rep", "m.rep").alias("a"), F.greatest("o.rep", "m.rep").alias("b"))
-    side = lambda c, r: mixed.select(F.col("rep").alias(c), F.struct("n", "shared").alias(r)).distinct()
+    side = lambda c, r: mixed.select(F.col("rep").alias(c), F.struct("n", "shared", "cells").alias(r)).distinct()
     both = rare.where("b is not null").join(side("a", "x"), "a").join(side("b", "y"), "b")
-    both = both.where(f"{100 + SIMILARITY} * (common + least(x.shared, y.shared)) >= {SIMILARITY} * (x.n + y.n)").where(_fits("x", "y")).select("a", "b")
+    both = both.where(f"{100 + SIMILARITY} * (common + {_overlap('x', 'y')}) >= {SIMILARITY} * (x.n + y.n)").where(_fits("x", "y")).select("a", "b")
     links = _confirm(cut(rest.union(both).distinct(), parts), reps, docs, parts)
     named = joined_components(named, edges(links), parts)
 
