@@ -1,16 +1,25 @@
-"""The registry of page checks: each is an identifier, a category, a severity and a Column that is true where it fails."""
+"""The registry of page checks: each is an identifier, a category, a severity, a scope and a Column that is true where it fails."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.functions.urls import bare_host, path, query_keys
+from auditlake.functions.dialect import Spark
+from auditlake.operators import predicates
+from auditlake.operators.facts import prepared
 
 #: Penalty of a failed check.
 SEVERITY = {"blocker": 120.0, "critical": 25.0, "warning": 7.0, "opportunity": 2.0, "notice": 0.5}
+#: Categories in the order of a report.
+CATEGORIES = (
+    "indexability", "content-relevance", "links", "duplicate-content", "security", "internal", "page-speed", "mobile-friendly", "redirects", "social-media", "code-validation", "xml-sitemaps", "localization", "search-traffic", "nextjs",
+)
+#: Fixed value: pages named for a check at most; the count beside them is whole.
+MOST_NAMED = 500
 
 
 @dataclass(frozen=True)
@@ -19,6 +28,8 @@ class Check:
     category: str
     severity: str
     fails: Column
+    scope: str = "true"
+    selector: tuple[tuple[str, ...], bool] | None = None
 
 
 def units(c: Column) -> Column:
@@ -26,194 +37,97 @@ def units(c: Column) -> Column:
     return F.octet_length(F.encode(c, "UTF-16LE")) / 2
 
 
-def _n(array: str, cond: str = "true") -> Column:
-    return F.expr(f"size(filter({array}, x -> {cond}))")
-
-
-def _any(array: str, cond: str) -> Column:
-    return F.expr(f"exists({array}, x -> {cond})")
-
-
 def token(name: str) -> Column:
     """A robots directive is among the page's, as a whole token."""
-    return F.expr(f"exists(meta_robots, r -> exists(split(r, '[,\\\\s]+'), t -> t = '{name}'))")
+    return F.expr(predicates.directive(Spark(), name, header=False))
 
 
-def _repeated(array: str, of: str, times: int) -> Column:
-    """Some value of an array comes more than so many times: equal neighbours at that distance once sorted."""
-    return F.expr(f"exists(transform(array(sort_array(filter(transform({array}, x -> {of}), v -> v is not null))), s -> size(filter(s, (v, i) -> v = get(s, i + {times}))) > 0), hit -> hit)")
+@cache
+def registry() -> list[Check]:
+    """All checks on one page, in order; identifiers are unique."""
+    found = [Check(i, c, s, F.expr(p), scope, predicates.SELECTORS.get(i)) for i, c, s, scope, p in predicates.page_checks(Spark())]
+    assert len({c.id for c in found}) == len(found), "check ids must be unique"
+    return found
 
 
-def _count(pattern: str) -> Column:
-    return F.regexp_count("html", F.lit(pattern))
+def _some(*ids: str) -> list[Check]:
+    by = {c.id: c for c in registry()}
+    return [by[i] for i in ids]
 
 
 def url_checks() -> list[Check]:
-    u, keys = F.col("url"), query_keys(F.col("url"))
-    named = lambda names: F.exists(keys, lambda k: F.lower(k).isin(*names))
-    c = lambda i, s, f: Check(i, "internal", s, f)
-    segments = F.filter(F.split(path(u), "/"), lambda x: x != "")
-    return [
-        c("long-urls", "notice", F.length(u) > 115),
-        c("url-uppercase", "warning", path(u).rlike("[A-Z]")),
-        c("url-underscores", "notice", F.contains(path(u), F.lit("_"))),
-        c("url-whitespace", "warning", path(u).rlike(r"%20|\+| ")),
-        c("url-repetitive-elements", "notice", F.exists(F.sequence(F.lit(1), F.greatest(F.size(segments), F.lit(1))), lambda i: F.coalesce(F.get(segments, i) == F.get(segments, i - 1), F.lit(False)))),
-        c("double-slash-in-url", "warning", F.contains(path(u), F.lit("//"))),
-        c("more-than-three-parameters", "notice", F.size(keys) > 3),
-        c("query-question-mark", "notice", F.size(keys) > 0),
-        c("query-repetitive-parameters", "warning", F.size(keys) != F.size(F.array_distinct(keys))),
-        c("query-paginated-parameters", "notice", named(["page", "p", "pg", "offset", "start"])),
-        c("query-search-filter-parameters", "notice", named(["q", "s", "search", "query", "filter", "f", "color", "size", "brand"])),
-        Check("http-urls", "security", "critical", F.startswith(u, F.lit("http://"))),
-    ]
+    """Checks on the address alone."""
+    return _some(
+        "long-urls", "url-uppercase", "url-underscores", "url-whitespace", "url-repetitive-elements", "double-slash-in-url", "more-than-three-parameters", "query-question-mark", "query-repetitive-parameters",
+        "query-paginated-parameters", "query-search-filter-parameters", "http-urls",
+    )
 
 
 def markup_checks() -> list[Check]:
-    """Checks on the raw markup, by counts of patterns in the JVM."""
-    out = []
-    for tag, missing in (("html", "critical"), ("head", "critical"), ("body", "critical")):
-        opened, closed = _count(rf"(?i)<{tag}[\s>]"), _count(rf"(?i)</{tag}\s*>")
-        out += [
-            Check(f"{tag}-tag-missing", "indexability", missing, opened == 0),
-            Check(f"{tag}-close-missing", "indexability", "warning", (opened > 0) & (closed == 0)),
-            Check(f"multiple-{tag}-tags", "indexability", "critical", opened > 1),
-        ]
-    codes = F.array_distinct(F.regexp_extract_all("html", F.lit("GTM-[A-Z0-9]{4,10}"), 0))
-    size = F.octet_length("html")
-    return out + [
-        Check("page-code-under-500", "content-relevance", "critical", size < 500),
-        Check("page-size-over-1-5mb", "page-speed", "warning", (size > 1572864) & (size <= 2097152)),
-        Check("page-size-over-2mb", "page-speed", "critical", size > 2097152),
-        Check("no-gtm-code", "internal", "notice", F.size(codes) == 0),
-        Check("multiple-gtm-codes", "internal", "warning", F.size(codes) > 1),
-        Check("http-link-w3-org", "security", "notice", _count(r"""(?i)(?:src|href)=["']http://(?:www\.)?w3\.org""") > 0),
-        Check("http-link-schema-org", "security", "notice", _count(r"""(?i)(?:src|href)=["']http://(?:www\.)?schema\.org""") > 0),
-    ]
-
-
-def record_checks() -> list[Check]:
-    """Checks on the parsed record."""
-    t, d, words, url = F.trim(F.coalesce("title", F.lit(""))), F.trim(F.coalesce("description", F.lit(""))), F.col("word_count"), F.col("url")
-    h1, noindex, nofollow, https = "filter(headings, h -> h.level = 1)", token("noindex") | token("none"), token("nofollow") | token("none"), F.startswith("url", F.lit("https://"))
-    canonical, key = F.get("canonicals", F.lit(0)), F.col("page_key")
-    ind = lambda i, s, f: Check(i, "indexability", s, f)
-    con = lambda i, s, f: Check(i, "content-relevance", s, f)
-    link = lambda i, s, f: Check(i, "links", s, f)
-    sec = lambda i, s, f: Check(i, "security", s, f)
-    speed = lambda i, s, f: Check(i, "page-speed", s, f)
-    dup = lambda i, s, f: Check(i, "duplicate-content", s, f)
-    loc = lambda i, s, f: Check(i, "localization", s, f)
-    soc = lambda i, s, f: Check(i, "social-media", s, f)
-    return [
-        ind("canonical-is-missing", "warning", F.size("canonicals") == 0),
-        ind("canonical-not-equal-url", "warning", canonical != key),
-        ind("canonical-relative-url", "warning", _any("canonical_raw", "x <> '' and not x rlike '(?i)^https?://'")),
-        ind("canonical-outside-head", "critical", (F.size("canonicals") > 0) & ~F.col("canonical_in_head")),
-        ind("multiple-canonical-tags", "warning", F.size("canonicals") > 1),
-        ind("canonicalized-url-noindex-nofollow", "critical", (canonical != key) & noindex),
-        ind("canonical-from-http-to-https", "notice", F.startswith(url, F.lit("http://")) & F.startswith(canonical, F.lit("https://"))),
-        ind("canonical-from-https-to-http", "critical", https & F.startswith(canonical, F.lit("http://"))),
-        dup("canonical-points-external-url", "critical", bare_host(canonical) != bare_host(url)),
-        dup("multiple-h1", "warning", F.expr(f"size({h1})") > 1),
-        ind("meta-noindex-pages", "critical", noindex),
-        ind("meta-nofollow-pages", "critical", nofollow),
-        ind("noindex-follow-page", "warning", noindex & ~nofollow),
-        ind("multiple-noindex-directives", "warning", _n("meta_robots", "contains(x, 'noindex')") > 1),
-        ind("meta-robots-outside-head", "critical", F.col("robots_outside_head")),
-        ind("page-contains-rel-sponsored", "notice", _any("links", "x.sponsored")),
-        ind("no-character-encoding", "critical", F.col("charset").isNull()),
-        ind("multiple-base-urls", "warning", F.size("base_hrefs") > 1),
-        ind("multiple-mismatched-base-urls", "warning", F.size(F.array_distinct("base_hrefs")) > 1),
-        ind("h1-has-other-tags-inside", "notice", _any("headings", "x.level = 1 and x.inner_tags")),
-        ind("h2-has-other-tags-inside", "notice", _any("headings", "x.level = 2 and x.inner_tags")),
-        ind("form-with-get-method", "notice", _any("forms", "x.method = 'get'")),
-        con("title-is-missing", "blocker", F.col("titles") == 0),
-        con("title-is-empty", "blocker", (F.col("titles") > 0) & (t == "")),
-        con("title-too-long", "warning", units(F.col("title")) > 60),
-        con("title-too-short", "warning", units(t).between(1, 29)),
-        con("multiple-title-tags", "warning", F.col("titles") > 1),
-        con("title-starts-lowercase", "notice", F.rlike("title", F.lit("^[a-z]"))),
-        con("description-is-missing", "warning", F.col("descriptions") == 0),
-        con("description-is-empty", "warning", (F.col("descriptions") > 0) & (d == "")),
-        con("description-too-long", "warning", units(F.col("description")) > 160),
-        con("description-too-short", "notice", units(d).between(1, 69)),
-        con("multiple-description-tags", "warning", F.col("descriptions") > 1),
-        con("description-equals-title", "warning", (t != "") & (F.lower(t) == F.lower(d))),
-        con("h1-is-missing", "critical", F.expr(f"size({h1})") == 0),
-        con("h1-is-empty", "critical", F.expr(f"size({h1}) > 0 and forall({h1}, h -> trim(h.text) = '')")),
-        con("h1-too-long", "notice", _any(h1, "length(x.text) > 70")),
-        con("h1-too-short", "notice", _any(h1, "length(trim(x.text)) between 1 and 9")),
-        con("h1-starts-lowercase", "notice", _any(h1, "x.text rlike '^[a-z]'")),
-        con("h2-is-missing", "notice", (words > 300) & ~_any("headings", "x.level = 2")),
-        con("h2-starts-lowercase", "notice", _any("headings", "x.level = 2 and x.text rlike '^[a-z]'")),
-        con("low-word-count", "warning", words < 300),
-        con("text-to-code-ratio-low", "warning", units(F.col("body_text")) / F.greatest(F.col("bytes"), F.lit(1)) < 0.10),
-        con("paragraphs-are-missing", "notice", (words > 100) & (F.col("paragraphs") == 0)),
-        con("no-list-markdown", "notice", (words > 300) & (F.col("lists") == 0)),
-        con("no-strong-importance-elements", "notice", (words > 300) & (F.col("strongs") == 0)),
-        con("html-lang-missing", "warning", F.coalesce("html_lang", F.lit("")) == ""),
-        con("missing-alt-text", "warning", _any("images", "not x.has_alt and x.src <> '' and not startswith(x.src, 'data:')")),
-        con("alt-text-one-word", "notice", _any("images", "trim(x.alt) <> '' and not contains(trim(x.alt), ' ')")),
-        con("alt-text-too-long", "notice", _any("images", "length(x.alt) > 100")),
-        con("images-present", "notice", (words > 300) & (F.size("images") == 0)),
-        con("https-page-links-http-image", "critical", https & _any("images", "startswith(x.src, 'http://')")),
-        link("page-has-no-outgoing-links", "critical", ~_any("links", "x.href is not null")),
-        link("only-one-followed-internal-link", "warning", F.expr("size(array_distinct(transform(filter(links, x -> x.internal and not x.nofollow), x -> x.key))) = 1")),
-        link("more-than-100-internal-links", "warning", _n("links", "x.internal") > 100),
-        link("more-than-100-external-links", "warning", _n("links", "x.href is not null and not x.internal") > 100),
-        link("more-than-10-external-links", "notice", _n("links", "x.href is not null and not x.internal") > 10),
-        link("more-than-100-links-before-h1", "notice", _n("links", "x.before_h1") > 100),
-        link("nofollow-outgoing-internal-links", "warning", _any("links", "x.internal and x.nofollow")),
-        link("footer-links-nofollow", "opportunity", _any("links", "x.in_footer and x.nofollow and x.internal")),
-        link("internal-link-no-anchor-text", "warning", _any("links", "x.internal and x.anchor = '' and not (x.wraps_image and coalesce(x.image_alt, '') <> '')")),
-        link("outgoing-one-word-anchor", "notice", _any("links", "x.internal and x.anchor <> '' and not contains(x.anchor, ' ')")),
-        link("anchored-image-no-alt", "warning", _any("links", "x.wraps_image and x.anchor = '' and coalesce(x.image_alt, '') = ''")),
-        link("empty-href-attribute", "warning", _any("links", "x.raw_href = ''")),
-        link("empty-links-hash", "notice", _any("links", "x.raw_href = '#'")),
-        link("link-whitespace-href", "warning", _any("links", "trim(x.raw_href) rlike '\\\\s'")),
-        link("link-non-http-protocol", "notice", _any("links", "x.raw_href rlike '(?i)^(ftp|file|gopher|telnet):'")),
-        link("http-page-links-to-https", "notice", ~https & _any("links", "x.internal and startswith(x.href, 'https://')")),
-        link("more-than-100-identical-internal-links", "warning", _repeated("links", "if(x.internal, x.key, null)", 100)),
-        link("more-than-2-links-same-anchor", "notice", _repeated("links", "if(x.anchor <> '', concat(x.key, ' ', lower(x.anchor)), null)", 2)),
-        dup("page-identical-headings", "notice", _repeated("headings", "if(trim(x.text) <> '', lower(x.text), null)", 1)),
-        dup("page-identical-alt-tags", "notice", _repeated("images", "if(trim(x.alt) <> '', lower(trim(x.alt)), null)", 1)),
-        loc("multiple-pages-same-language", "critical", F.expr("size(array_distinct(transform(hreflang, x -> concat_ws(' ', x.lang, x.key)))) > size(array_distinct(transform(hreflang, x -> x.lang)))")),
-        loc("page-referenced-multiple-languages", "critical", F.expr("size(array_distinct(transform(filter(hreflang, x -> x.lang <> 'x-default'), x -> concat_ws(' ', x.key, x.lang)))) > size(array_distinct(transform(filter(hreflang, x -> x.lang <> 'x-default'), x -> x.key)))")),
-        Check("link-localhost", "internal", "critical", _any("links", "x.raw_href rlike '(?i)localhost|127[.]0[.]0[.]1'")),
-        Check("empty-src-attributes", "internal", "warning", F.col("empty_src") > 0),
-        Check("http-url-password-field", "internal", "blocker", ~https & _any("forms", "x.has_password")),
-        sec("https-page-internal-links-http", "critical", https & _any("links", "x.internal and startswith(x.href, 'http://')")),
-        sec("https-links-http-css", "critical", https & _any("stylesheets", "startswith(x, 'http://')")),
-        sec("https-links-http-javascript", "critical", https & _any("scripts", "startswith(x, 'http://')")),
-        sec("https-form-posts-to-http", "critical", https & _any("forms", "startswith(x.action, 'http://')")),
-        speed("defer-offscreen-images", "opportunity", F.expr("exists(sequence(0, size(images)), i -> i > 2 and coalesce(get(images, i).loading, '') <> 'lazy' and i < size(images))")),
-        speed("add-dimensions-to-images", "warning", _any("images", "(x.width is null or x.height is null) and not startswith(x.src, 'data:')")),
-        speed("serve-images-next-gen", "opportunity", _any("images", "x.src rlike '(?i)[.](jpe?g|png|bmp|tiff?)($|[?])'")),
-        speed("use-video-for-animated", "opportunity", _any("images", "x.src rlike '(?i)[.]gif($|[?])'")),
-        loc("hreflang-without-self", "warning", (F.size("hreflang") > 0) & ~F.exists("hreflang", lambda x: x["key"] == F.col("page_key"))),
-        soc("open-graph-incomplete", "notice", F.size(F.array_except(F.array(*map(F.lit, ("og:title", "og:type", "og:image", "og:url"))), F.map_keys("og"))) > 0),
-        soc("twitter-card-missing", "notice", ~F.map_contains_key("twitter", "twitter:card")),
-        Check("viewport-missing", "mobile-friendly", "critical", F.col("viewport").isNull()),
-    ]
+    """Checks on the raw markup alone, in the JVM."""
+    tags = [f"{t}-{what}-missing" for t in ("html", "head", "body") for what in ("tag", "close")] + [f"multiple-{t}-tags" for t in ("html", "head", "body")]
+    return _some(*tags, "page-code-under-500", "page-size-over-1-5mb", "page-size-over-2mb", "no-gtm-code", "multiple-gtm-codes", "http-link-w3-org", "http-link-schema-org")
 
 
-def registry() -> list[Check]:
-    found = url_checks() + markup_checks() + record_checks()
-    assert len({c.id for c in found}) == len(found), "check ids must be unique"
-    return found
+def ready(pages: DataFrame) -> DataFrame:
+    """pages with all that checks read, unless they have it already."""
+    return pages if "strategy" in pages.columns else prepared(pages)
 
 
 def evaluate(pages: DataFrame, checks: list[Check], keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """keep, check_id, category, severity of every failed check, from one pass over the pages; unknown counts as passed."""
-    rows = [F.struct(F.lit(c.id).alias("check_id"), F.lit(c.category).alias("category"), F.lit(c.severity).alias("severity"), F.coalesce(c.fails, F.lit(False)).alias("failed")) for c in checks]
-    return pages.select(*keep, F.inline(F.filter(F.array(*rows), lambda x: x["failed"]))).drop("failed")
-
-
-def outcomes(pages: DataFrame, checks: list[Check]) -> DataFrame:
-    """check_id, category, severity, affected, applicable: one row per check, also where nothing fails."""
-    rows = [F.struct(F.lit(c.id).alias("check_id"), F.lit(c.category).alias("category"), F.lit(c.severity).alias("severity"), F.coalesce(c.fails, F.lit(False)).cast("long").alias("f")) for c in checks]
-    return pages.select(F.inline(F.array(*rows))).groupBy("check_id", "category", "severity").agg(F.sum("f").alias("affected"), F.count("*").alias("applicable"))
+    """keep, check_id, category, severity of every failed check in its scope, from one pass over the pages; unknown counts as passed."""
+    rows = [F.struct(F.lit(c.id).alias("check_id"), F.lit(c.category).alias("category"), F.lit(c.severity).alias("severity"), F.coalesce(F.expr(c.scope) & c.fails, F.lit(False)).alias("failed")) for c in checks]
+    # outer, as Spark would otherwise filter on the list's size below the derived names and repeat all their expressions there
+    return ready(pages).select(*keep, F.inline_outer(F.filter(F.array(*rows), lambda x: x["failed"]))).where("check_id is not null").drop("failed")
+
+
+def marks(pages: DataFrame, checks: list[Check]) -> DataFrame:
+    """page_id, crawl_order, scopes and failed (places of scopes and checks in their lists) of every page: one pass, a few numbers a row."""
+    scopes = _scopes(checks)
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    places = lambda conditions: F.filter(F.array(*(F.when(sure(c), F.lit(i)) for i, c in enumerate(conditions))), lambda x: x.isNotNull())
+    return ready(pages).select("page_id", F.col("crawl_order").cast("long").alias("crawl_order"), places(F.expr(s) for s in scopes).alias("scopes"), places(F.expr(c.scope) & c.fails for c in checks).alias("failed"))
+
+
+def _scopes(checks: list[Check]) -> list[str]:
+    return sorted({c.scope for c in checks})
+
+
+def outcomes(pages: DataFrame, checks: list[Check], ignored: tuple[str, ...] = (), platforms: tuple[str, ...] | None = None, next_site: bool | None = None) -> DataFrame:
+    """check_id, category, severity, verdict, reason, affected, applicable, pages: one row per check, in the order of the registry (column place).
+
+    verdict: failed, passed or skipped; reason says why one was skipped: it was ignored, the site is known not to be
+    of its framework (next_site false) or platform (platforms: names and kinds found on the site; None: not known), or
+    no page is in its scope.  pages names the first MOST_NAMED affected ones in crawl order; affected counts all.
+    pages: records, or rows of `marks`, which may be cut off with a checkpoint and used again.
+    """
+    marked, spark = pages if "failed" in pages.columns else marks(pages, checks), pages.sparkSession
+    why, scopes = [], _scopes(checks)
+    for c in checks:
+        reason = "ignored" if c.id in ignored else "framework" if c.scope == predicates.NEXT and next_site is False else None
+        if reason is None and c.selector and platforms is not None and c.selector[1] != bool(set(c.selector[0]) & set(platforms)):
+            reason = "platform"
+        why.append(reason)
+    catalog = spark.createDataFrame([(n, c.id, c.category, c.severity, scopes.index(c.scope), r) for n, (c, r) in enumerate(zip(checks, why))], "place int, check_id string, category string, severity string, scope int, reason string")
+    counts = marked.select(F.explode_outer("scopes").alias("scope")).groupBy("scope").agg(F.count("*").alias("applicable"))
+    found = marked.select("page_id", "crawl_order", F.explode_outer("failed").alias("place")).where("place is not null")
+    first = Window.partitionBy("place").orderBy("crawl_order", "page_id")
+    named = found.withColumn("n", F.row_number().over(first)).where(F.col("n") <= MOST_NAMED)  # limited before the shuffle
+    named = named.groupBy("place").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "page_id"))), lambda x: x["page_id"]).alias("pages"))
+    sums = found.groupBy("place").agg(F.count("*").alias("affected")).join(named, "place")
+    out = catalog.join(counts, "scope", "left").join(sums, "place", "left").na.fill(0, ["applicable", "affected"])
+    reason = F.coalesce("reason", F.when(F.col("applicable") == 0, "no page in scope"))
+    out = out.withColumn("reason", reason)
+    run = F.col("reason").isNull()
+    verdict = F.when(~run, "skipped").when(F.col("affected") > 0, "failed").otherwise("passed")
+    none = F.array().cast("array<long>")
+    return out.select("place", "check_id", "category", "severity", verdict.alias("verdict"), "reason", F.when(run, F.col("affected")).otherwise(0).cast("long").alias("affected"), F.col("applicable").cast("long"), F.coalesce(F.when(run, F.col("pages")), none).alias("pages"))
+
+
+def capped(findings: DataFrame) -> DataFrame:
+    """findings (page_id, crawl_order, check_id, ...) of the first MOST_NAMED pages of each check, those that a report's page scores are made of."""
+    first = Window.partitionBy("check_id").orderBy("crawl_order", "page_id")
+    return findings.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= MOST_NAMED).drop("_n")
 
 
 def page_scores(findings: DataFrame, pages: DataFrame) -> DataFrame:
@@ -222,3 +136,26 @@ def page_scores(findings: DataFrame, pages: DataFrame) -> DataFrame:
     sums = findings.groupBy("page_id").agg(F.sum(weight).alias("penalty"), F.count("*").alias("issues"))
     out = pages.select("page_id", "url").join(sums, "page_id", "left").na.fill(0, ["penalty", "issues"])
     return out.withColumn("score", F.round(100 * F.exp(-F.col("penalty") / 100), 6))
+
+
+def scored(pages: DataFrame, checks: list[Check]) -> DataFrame:
+    """page_id, url, penalty, issues, score of every page from its own failures, in one pass without a shuffle."""
+    failed = [F.coalesce(F.expr(c.scope) & c.fails, F.lit(False)) for c in checks]
+    own = F.filter(F.array(*(F.when(f, F.lit(SEVERITY[c.severity])) for f, c in zip(failed, checks))), lambda x: x.isNotNull())
+    out = ready(pages).select("page_id", "url", own.alias("_own"))
+    penalty = F.aggregate("_own", F.lit(0.0), lambda a, x: a + x)
+    return out.select("page_id", "url", penalty.alias("penalty"), F.size("_own").cast("long").alias("issues"), F.round(100 * F.exp(-penalty / 100), 6).alias("score"))
+
+
+def category_summary(pages: DataFrame, checks: list[Check]) -> DataFrame:
+    """place, category, failed, passed, skipped, touched, share of every category with checks; touched pages count once, share is their part of all. pages: as of outcomes, used more than once."""
+    marked = pages if "failed" in pages.columns else marks(pages, checks)
+    order = F.create_map(*(F.lit(x) for i, c in enumerate(CATEGORIES) for x in (c, i)))
+    of = lambda v: F.count_if(F.col("verdict") == v).alias(v)
+    rows = outcomes(marked, checks).groupBy("category").agg(of("failed"), of("passed"), of("skipped"))
+    names = sorted({c.category for c in checks})
+    own = F.array(*(F.lit(names.index(c.category)) for c in checks))
+    touched = marked.select(F.explode_outer(F.array_distinct(F.transform("failed", lambda i: F.get(own, i)))).alias("c")).groupBy("c").agg(F.count("*").alias("touched"))
+    touched = touched.select(F.get(F.array(*map(F.lit, names)), F.col("c")).alias("category"), "touched")
+    out = rows.join(touched, "category", "left").na.fill(0, ["touched"]).join(F.broadcast(marked.agg(F.greatest(F.count("*"), F.lit(1)).alias("all"))))  # one row
+    return out.select(order[F.col("category")].alias("place"), "category", "failed", "passed", "skipped", "touched", F.round(F.col("touched") / F.col("all"), 6).alias("share"))

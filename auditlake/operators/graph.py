@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
+from tempfile import mkdtemp
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def _cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a checkpoint in the folder the session names; only a local master, as in tests, may do without that setting."""
     sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
 
@@ -28,15 +32,16 @@ def edges(records: DataFrame) -> DataFrame:
 
 
 def inbound(records: DataFrame) -> DataFrame:
-    """page_key, links, sources, followed of pages that others link to."""
-    found = link_rows(records).where("internal and key is not null and key <> src")
+    """page_key, links, sources, followed of pages that are linked to, by themselves too; links to a place on the same page do not count."""
+    found = link_rows(records).where("internal and key is not null and not startswith(raw_href, '#')")
     return found.groupBy(F.col("key").alias("page_key")).agg(F.count("*").alias("links"), F.count_distinct("src").alias("sources"), F.count_if(~F.col("nofollow")).alias("followed"))
 
 
 def orphans(records: DataFrame) -> DataFrame:
-    """Pages other than home pages that no page links to."""
+    """HTML pages answered with 200 (where that is known), other than home pages, that no such page links to."""
     home = F.regexp_count("page_key", F.lit("^https?://[^/]+/?$")) > 0
-    return records.where(~home).join(inbound(records).select("page_key"), "page_key", "left_anti").select("page_id", "page_key")
+    live = records.where("is_html and status = 200") if {"is_html", "status"} <= set(records.columns) else records
+    return live.where(~home).join(inbound(live).select("page_key"), "page_key", "left_anti").select("page_id", "page_key")
 
 
 def pagerank(nodes: DataFrame, links: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, most: int = 100) -> DataFrame:
@@ -69,3 +74,10 @@ def duplicates(records: DataFrame, key, name: str) -> DataFrame:
     keyed = records.select("page_id", F.xxhash64(key).alias("h"), key.alias("k")).where("k <> ''")
     sizes = keyed.groupBy("h", "k").agg(F.count("*").alias("group_size")).where("group_size > 1")
     return keyed.join(sizes, ["h", "k"]).select("page_id", F.lit(name).alias("kind"), "group_size")
+
+
+def shared(keyed: DataFrame) -> DataFrame:
+    """page_id, kind, group_size of the rows (page_id, kind, k) whose k other rows of the kind have; keyed is cut, as it is read twice."""
+    hashed = keyed.withColumn("h", F.xxhash64("k"))
+    sizes = hashed.groupBy("kind", "h", "k").agg(F.count("*").alias("group_size")).where("group_size > 1")
+    return hashed.join(sizes, ["kind", "h", "k"]).select("page_id", "kind", "group_size")

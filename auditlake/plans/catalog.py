@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.urls import bare_host
 from auditlake.operators import checks, crosspage, graph, history, locations, scoring
+from auditlake.plans import sql, standins
 from auditlake.sources.html import extract_pages
 
 
@@ -24,17 +25,50 @@ def _records(spark, sf_dir):
 
 def page_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's penalty, number of failed checks and score."""
-    records = _records(spark, sf_dir)
-    return checks.page_scores(checks.evaluate(records, checks.registry()), _t(spark, sf_dir, "pages"))
+    return checks.scored(_records(spark, sf_dir), checks.registry())
+
+
+def _marks(spark, sf_dir):
+    """Pages parsed and checked once; what is left are a few numbers a page."""
+    return graph._cut(checks.marks(_records(spark, sf_dir), checks.registry()))
+
+
+def _named(outcomes: DataFrame) -> DataFrame:
+    return outcomes.withColumn("pages", F.array_join("pages", ","))
 
 
 def check_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.outcomes(_records(spark, sf_dir), checks.registry())
+    return _named(checks.outcomes(_marks(spark, sf_dir), checks.registry()))
 
 
 def category_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = checks.evaluate(_records(spark, sf_dir), checks.registry())
-    return found.groupBy("category").agg(F.count_distinct("check_id").alias("failed_checks"), F.count_distinct("page_id").alias("touched_pages"))
+    return checks.category_summary(_marks(spark, sf_dir), checks.registry())
+
+
+def record_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All checks on one page, over stand-in records."""
+    return checks.evaluate(standins.rows(_t(spark, sf_dir, "pages")), checks.registry())
+
+
+def record_cross_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All checks across pages, over stand-in records."""
+    return crosspage.findings(standins.rows(_t(spark, sf_dir, "pages")))
+
+
+def record_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _named(checks.outcomes(graph._cut(checks.marks(standins.rows(_t(spark, sf_dir, "pages")), checks.registry())), checks.registry()))
+
+
+def record_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.category_summary(graph._cut(checks.marks(standins.rows(_t(spark, sf_dir, "pages")), checks.registry())), checks.registry())
+
+
+def record_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.scored(standins.rows(_t(spark, sf_dir, "pages")), checks.registry()).drop("url")
+
+
+def record_pillars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.pillars(record_outcomes(spark, sf_dir))
 
 
 def url_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,19 +92,25 @@ def orphan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.orphans(_records(spark, sf_dir))
 
 
+def _slim(spark, sf_dir):
+    """Keys and links of the pages, parsed once."""
+    links = F.transform("links", lambda x: F.struct(*(x[c].alias(c) for c in ("key", "internal", "nofollow", "raw_href"))))
+    return graph._cut(_records(spark, sf_dir).select("page_id", "url", "page_key", links.alias("links")))
+
+
 def page_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = _records(spark, sf_dir).select("page_id", "page_key", "links")
+    records = _slim(spark, sf_dir)
     return graph.pagerank(records.select(F.col("page_key").alias("node")), graph.edges(records))
 
 
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = _records(spark, sf_dir).select("page_id", "title", "description", "headings", "body_text")
+    """Pages parsed once, one row for each text that could be shared, one aggregation joined back."""
     clean = lambda c: F.trim(F.lower(F.coalesce(c, F.lit(""))))
     body = F.when(F.length("body_text") > 200, F.substring(F.trim(F.regexp_replace(F.lower("body_text"), r"(?U)\s+", " ")), 1, 2000)).otherwise("")
     h1 = F.get(F.filter("headings", lambda h: h["level"] == 1), F.lit(0))["text"]
     kinds = (("title", clean(F.col("title"))), ("description", clean(F.col("description"))), ("h1", clean(h1)), ("content", body))
-    out = [graph.duplicates(records, key, name) for name, key in kinds]
-    return out[0].union(out[1]).union(out[2]).union(out[3])
+    texts = F.inline(F.array(*(F.struct(F.lit(name).alias("kind"), key.alias("k")) for name, key in kinds)))
+    return graph.shared(graph._cut(_records(spark, sf_dir).select("page_id", texts).where("k <> ''")))
 
 
 def uptime(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,8 +158,8 @@ def top_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def never_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without an order: the anti join of analytics URLs never crawled."""
-    return _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    """Customers without a pending order: the anti join of analytics URLs never crawled."""
+    return _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "orders").where("o_orderstatus = 'P'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 def daily_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,10 +172,11 @@ def cross_page_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def site_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score of every host; pages weigh by PageRank."""
-    records = _records(spark, sf_dir).select("page_id", F.col("page_key").alias("node"))
+    """Score of every host; pages weigh by PageRank.  Pages are parsed once for their scores and once for their links."""
+    records = _slim(spark, sf_dir)
+    ranks = graph.pagerank(records.select(F.col("page_key").alias("node")), graph.edges(records)).withColumnRenamed("rank", "page_rank")
     audit = page_audit(spark, sf_dir).select("page_id", "score", bare_host(F.col("url")).alias("site"))
-    return scoring.site_scores(audit.join(records, "page_id").join(page_rank(spark, sf_dir).withColumnRenamed("rank", "page_rank"), "node", "left"))
+    return scoring.site_scores(audit.join(records.select("page_id", F.col("page_key").alias("node")), "page_id").join(ranks, "node", "left"))
 
 
 def pillar_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +211,7 @@ def rank_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def analytics_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _t(spark, sf_dir, "events").where("value is not null")
+    e = _t(spark, sf_dir, "events").withColumn("value", F.coalesce("value", F.lit(0.0)))
     at = F.concat(F.lit("/"), F.upper("event_type"), F.lit("/"), F.col("user_id"), F.when(F.col("event_id") % 2 == 0, "/").otherwise("?q=1"))
     rows = e.select(at.alias("path"), F.lit(1).cast("long").alias("pageviews"), (F.col("event_id") % 3).alias("sessions"), F.col("value").alias("bounce_rate"), (F.col("value") * 2).alias("avg_duration_sec"))
     return history.by_path(rows).select("path", "pageviews", "sessions", F.round("bounce_rate", 9).alias("bounce_rate"))
@@ -187,7 +228,7 @@ def crawl_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FLAGSHIP = "page_audit"
-QUERIES = {f.__name__: f for f in (page_audit, check_outcomes, category_summary, url_findings, markup_findings, link_summary, inbound_links, orphan_pages, page_rank, duplicate_groups, uptime, incidents, latest_and_previous, first_and_last, monthly_quota, status_counts, top_landing, never_seen, daily_events, cross_page_findings, site_score, pillar_rollup, location_coverage, quota_ledger, uptime_transitions, content_changes, rank_kpis, analytics_by_path, top_traffic_decile, crawl_diff)}
+QUERIES = {f.__name__: f for f in (record_findings, record_cross_page, record_outcomes, record_summary, record_scores, record_pillars, page_audit, check_outcomes, category_summary, url_findings, markup_findings, link_summary, inbound_links, orphan_pages, page_rank, duplicate_groups, uptime, incidents, latest_and_previous, first_and_last, monthly_quota, status_counts, top_landing, never_seen, daily_events, cross_page_findings, site_score, pillar_rollup, location_coverage, quota_ledger, uptime_transitions, content_changes, rank_kpis, analytics_by_path, top_traffic_decile, crawl_diff)}
 
 _MARKUP = " UNION ALL ".join(
     f"SELECT page_id, '{t}-tag-missing' AS check_id, 'critical' AS severity FROM m WHERE {t}_o = 0 UNION ALL SELECT page_id, '{t}-close-missing', 'warning' FROM m WHERE {t}_o > 0 AND {t}_c = 0 UNION ALL SELECT page_id, 'multiple-{t}-tags', 'critical' FROM m WHERE {t}_o > 1"
@@ -229,13 +270,19 @@ UNION ALL SELECT page_id, 'http-link-w3-org', 'notice' FROM m WHERE w3 > 0 UNION
     "monthly_quota": "SELECT event_type AS provider, strftime(ts, '%Y-%m') AS period, count(*) AS used FROM events GROUP BY 1, 2",
     "status_counts": "SELECT count(*) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS status_f, count(*) FILTER (WHERE o_orderstatus = 'O') AS status_o, count(*) FILTER (WHERE o_orderstatus = 'P') AS status_p, count(DISTINCT o_custkey) AS hosts FROM orders",
     "top_landing": "SELECT o_custkey, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1 ORDER BY total DESC, o_custkey LIMIT 25",
-    "never_seen": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)",
+    "never_seen": "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')",
     "daily_events": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2",
     "quota_ledger": "WITH e AS (SELECT event_id AS id, event_type AS provider, strftime(ts, '%Y-%m') AS period, ts FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY provider, period ORDER BY ts, id) AS n FROM e) SELECT id, provider, period, n, n <= 100 AS allowed FROM r",
     "uptime_transitions": "WITH e AS (SELECT user_id AS site, ts, event_id AS id, coalesce(value <= 50, false) AS ok FROM events), r AS (SELECT *, coalesce(lag(ok) OVER (PARTITION BY site ORDER BY ts, id), true) AS was FROM e) SELECT site, id, CASE WHEN ok AND was THEN 'none' WHEN ok THEN 'recovered' WHEN was THEN 'went-down' ELSE 'still-down' END AS transition FROM r",
     "content_changes": "WITH r AS (SELECT user_id AS site, event_id AS id, event_type AS body_hash, lag(event_type) OVER w AS previous, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT site, id, body_hash, previous FROM r WHERE n > 1 AND previous IS DISTINCT FROM body_hash",
     "rank_kpis": "SELECT count(*) AS keywords, count(p) AS ranked, count(*) FILTER (WHERE p <= 10) AS top_10, round(avg(p), 4) AS mean_position FROM (SELECT CASE WHEN o_orderkey % 120 <= 100 THEN o_orderkey % 120 END AS p FROM orders)",
-    "analytics_by_path": "WITH e AS (SELECT '/' || lower(event_type) || '/' || user_id AS path, event_id % 3 AS s, value FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL AND user_id IS NOT NULL) SELECT path, count(*) AS pageviews, CAST(sum(s) AS BIGINT) AS sessions, round(CASE WHEN count(*) = 1 THEN max(value) ELSE sum(value * s) / greatest(sum(s), 1) END, 9) AS bounce_rate FROM e GROUP BY path",
+    "analytics_by_path": "WITH e AS (SELECT '/' || lower(event_type) || '/' || user_id AS path, event_id % 3 AS s, coalesce(value, 0) AS value FROM events WHERE event_type IS NOT NULL AND user_id IS NOT NULL) SELECT path, count(*) AS pageviews, CAST(sum(s) AS BIGINT) AS sessions, round(CASE WHEN count(*) = 1 THEN max(value) ELSE sum(value * s) / greatest(sum(s), 1) END, 9) AS bounce_rate FROM e GROUP BY path",
     "top_traffic_decile": "WITH a AS (SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal DESC) AS n, greatest(1, ceil(count(*) OVER () / 10.0)) AS place FROM customer WHERE c_acctbal > 0) SELECT c_custkey, c_acctbal FROM a WHERE c_acctbal >= (SELECT max(c_acctbal) FROM a WHERE n >= place)",
     "crawl_diff": "WITH f AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F'), o AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'O') SELECT o_custkey, 'fixed' AS change FROM f WHERE o_custkey NOT IN (SELECT o_custkey FROM o) UNION ALL SELECT o_custkey, 'appeared' FROM o WHERE o_custkey NOT IN (SELECT o_custkey FROM f)",
+    "record_findings": sql.record_findings(),
+    "record_cross_page": sql.cross_page(crosspage.SEVERITIES),
+    "record_outcomes": sql.outcomes(),
+    "record_summary": sql.summary(),
+    "record_scores": sql.scores(),
+    "record_pillars": sql.pillars(scoring.PILLARS),
 }

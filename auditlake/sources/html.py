@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,43 +13,134 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.urls import page_key, resolve
 
-LINK = "struct<pos:int,raw_href:string,href:string,key:string,anchor:string,nofollow:boolean,sponsored:boolean,internal:boolean,in_footer:boolean,in_nav:boolean,wraps_image:boolean,image_alt:string,before_h1:boolean>"
-IMAGE = "struct<src:string,alt:string,has_alt:boolean,loading:string,width:string,height:string>"
+LINK = (
+    "struct<pos:int,raw_href:string,href:string,key:string,anchor:string,nofollow:boolean,sponsored:boolean,ugc:boolean,internal:boolean,external:boolean,in_footer:boolean,in_nav:boolean,"
+    "wraps_image:boolean,image_alt:string,onclick:string,before_h1:boolean>"
+)
+IMAGE = "struct<raw_src:string,src:string,key:string,alt:string,has_alt:boolean,loading:string,width:double,height:double,next:boolean,in_link:boolean>"
 HEADING = "struct<level:int,text:string,inner_tags:boolean>"
-FORM = "struct<method:string,action:string,has_password:boolean>"
-LANG = "struct<lang:string,href:string,key:string>"
+FORM = "struct<method:string,action:string,has_password:boolean,posts_to_http:boolean>"
+LANG = "struct<lang:string,href:string,key:string,raw_href:string>"
+SCRIPT = "struct<url:string,key:string,is_async:boolean,is_defer:boolean,in_head:boolean>"
+STYLE = "struct<url:string,key:string>"
+TABLE = "struct<caption:boolean,th:boolean>"
 SCHEMA = (
-    "page_id long, url string, page_key string, title string, titles int, description string, descriptions int, html_lang string, charset string, viewport string,"
-    f" canonicals array<string>, canonical_raw array<string>, canonical_in_head boolean, meta_robots array<string>, robots_outside_head boolean, base_hrefs array<string>,"
-    f" headings array<{HEADING}>, links array<{LINK}>, images array<{IMAGE}>, scripts array<string>, scripts_blocking int, stylesheets array<string>, forms array<{FORM}>,"
-    f" hreflang array<{LANG}>, og map<string,string>, twitter map<string,string>, json_ld array<string>, body_text string, word_count int, paragraphs int, lists int, strongs int,"
-    " iframes int, dom_nodes int, dom_depth int, empty_src int, inline_style_bytes int, bytes int"
+    "page_id long, url string, page_key string, title string, titles int, description string, descriptions int, html_lang string, charset string, viewports array<string>,"
+    f" canonicals array<string>, canonical_raw array<string>, canonical_in_head boolean, meta_robots array<string>, robots_outside_head boolean, base_hrefs array<string>, favicon string, noscript_bad boolean,"
+    f" headings array<{HEADING}>, links array<{LINK}>, images array<{IMAGE}>, scripts array<{SCRIPT}>, stylesheets array<{STYLE}>, forms array<{FORM}>, tables array<{TABLE}>,"
+    f" hreflang array<{LANG}>, og map<string,string>, twitter map<string,string>, json_ld array<string>, formats array<string>, body_text string, word_count int, paragraphs int, lists int, strongs int,"
+    " iframes int, dom_nodes int, dom_depth int, dom_width int, ids array<string>, duplicate_ids array<string>, empty_src int, style_attrs int, maps int, plugins int, bytes int"
 )
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _SILENT = {"script", "style", "noscript", "template", "svg"}
+_HEAD = {"base", "link", "meta", "noscript", "script", "style", "template", "title"}
+_PLAIN = {"b", "i", "em", "strong", "span", "br"}
+_BLOCKS = set("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
+#: A start tag -> (the open elements it ends, those that keep it from looking further up).
+_ENDS = {
+    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist", "optgroup"}), "optgroup": ({"option", "optgroup"}, {"select"}),
+    "tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
+    "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "thead": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}),
+}
+_SCHEME = re.compile(r"(?i)[a-z][a-z0-9+.-]*:")
+_KEYS: dict[str | None, str | None] = {}
+
+
+def _key(url: str | None) -> str | None:
+    """page_key, remembered: a site's pages link to the same addresses."""
+    if url not in _KEYS:
+        if len(_KEYS) >= 1 << 16:
+            _KEYS.clear()
+        _KEYS[url] = page_key(url)
+    return _KEYS[url]
+
+
+def _number(text: str | None) -> float | None:
+    """A dimension: none where it is missing or no number, 0 where it is empty."""
+    if text is None:
+        return None
+    try:
+        return float(text.strip() or 0)
+    except ValueError:
+        return None
 
 
 class _Page(HTMLParser):
+    """Elements as they open and close.  Elements whose end tag may be left out end where another one begins; head and body
+    need no tags; which ancestors are open is counted, so a page takes time in proportion to its length however deep it is."""
+
     def __init__(self, url: str):
         super().__init__(convert_charrefs=True)
-        self.url, self.stack = url, []
-        self.row = dict(title=None, titles=0, description=None, descriptions=0, html_lang=None, charset=None, viewport=None, canonicals=[], canonical_raw=[], canonical_in_head=True, meta_robots=[], robots_outside_head=False, base_hrefs=[], headings=[], links=[], images=[], scripts=[], scripts_blocking=0, stylesheets=[], forms=[], hreflang=[], og={}, twitter={}, json_ld=[], paragraphs=0, lists=0, strongs=0, iframes=0, dom_nodes=0, dom_depth=0, empty_src=0, inline_style_bytes=0)
-        self.text, self.title_text, self.heading, self.link, self.ld, self.seen_h1 = [], None, None, None, None, False
+        self.url, self.stack, self.children, self.open = url, [], [0], Counter()
+        self.site = re.sub(r"^www\.", "", urlsplit(_key(url) or "").netloc) if "://" in url else ""
+        self.row = dict(title=None, titles=0, description=None, descriptions=0, html_lang=None, charset=None, viewports=[], canonicals=[], canonical_raw=[], canonical_in_head=True, meta_robots=[], robots_outside_head=False, base_hrefs=[], favicon=None, noscript_bad=False, headings=[], links=[], images=[], scripts=[], stylesheets=[], forms=[], tables=[], hreflang=[], og={}, twitter={}, json_ld=[], formats=[], paragraphs=0, lists=0, strongs=0, iframes=0, dom_nodes=0, dom_depth=0, dom_width=0, empty_src=0, style_attrs=0, maps=0, plugins=0)
+        self.text, self.title_text, self.heading, self.link, self.ld, self.in_body, self.ids, self.names, self.tables, self.formats, self.h1_at = [], None, None, None, None, False, Counter(), set(), [], set(), None
+
+    def full(self, href: str) -> str | None:
+        """The absolute address, on this page's own address whatever a base element says; other schemes as they are."""
+        found = resolve(self.url, href)
+        return found if found or not _SCHEME.match(href) or re.match("(?i)https?:", href) else href
+
+    def push(self, tag, marks):
+        self.stack.append((tag, marks))
+        self.children.append(0)
+        self.open.update((tag, *marks))
+
+    def pop(self) -> str:
+        tag, marks = self.stack.pop()
+        self.children.pop()
+        self.open.subtract((tag, *marks))
+        if tag == "table":
+            self.tables.pop()
+        return tag
+
+    def pop_to(self, tag):
+        while self.pop() != tag:
+            pass
+
+    def implied(self, tag):
+        """Close what this start tag ends."""
+        if tag in _BLOCKS and self.open["p"] > 0:
+            self.pop_to("p")
+        if tag in _ENDS:
+            ends, stops = _ENDS[tag]
+            if any(self.open[x] > 0 for x in ends):
+                for own, _ in reversed(self.stack):
+                    if own in stops:
+                        break
+                    if own in ends:
+                        self.pop_to(own)
+                        break
 
     def handle_starttag(self, tag, attrs):
         r, a = self.row, {}
         for k, v in attrs:
             a.setdefault(k, v or "")
+        r["style_attrs"] += "style" in a
+        r["empty_src"] += a.get("src") == ""
+        if "id" in a:
+            self.ids[a["id"]] += 1
+        if "name" in a:
+            self.names.add(a["name"])
+        self.formats.update(f for f, of in (("microdata", ("itemscope",)), ("rdfa", ("typeof", "vocab"))) if any(x in a for x in of))
+        if tag in ("html", "head", "body"):
+            if tag == "html":
+                r["html_lang"] = r["html_lang"] or a.get("lang")
+            self.in_body |= tag == "body"
+            return
+        if not self.in_body and self.open["noscript"] > 0:
+            r["noscript_bad"] |= tag not in ("link", "style", "meta")
+        elif tag not in _HEAD:
+            self.in_body = True
+        head = not self.in_body
+        self.implied(tag)
         r["dom_nodes"] += 1
-        if self.heading is not None:
+        self.children[-1] += 1
+        r["dom_width"] = max(r["dom_width"], self.children[-1])
+        r["dom_depth"] = max(r["dom_depth"], len(self.stack) + 3)
+        if self.heading is not None and tag not in _PLAIN:
             self.heading["inner_tags"] = True
-        head = "body" not in self.stack and tag != "body"
-        if "src" in a and not a["src"].strip():
-            r["empty_src"] += 1
-        r["inline_style_bytes"] += len(a.get("style", "").encode())
-        if tag == "html":
-            r["html_lang"] = r["html_lang"] or a.get("lang")
-        elif tag == "title" and "svg" not in self.stack:
+        if tag == "title":
             r["titles"] += 1
             self.title_text = [] if r["titles"] == 1 else None
         elif tag == "meta":
@@ -57,105 +150,157 @@ class _Page(HTMLParser):
         elif tag == "link":
             self.relation(a, head)
         elif tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            self.end_heading()
             self.heading = dict(level=int(tag[1]), text="", inner_tags=False)
-            self.seen_h1 |= tag == "h1"
-        elif tag == "a" and "href" in a:
-            rel = a.get("rel", "").lower().split()
-            full = resolve(self.base(), a["href"])
-            mine = re.sub(r"^www\.", "", (page_key(self.url) or "").split("/")[2] if "://" in self.url else "")
-            there = re.sub(r"^www\.", "", page_key(full).split("/")[2]) if full else None
-            self.link = dict(pos=len(r["links"]), raw_href=a["href"], href=full, key=page_key(full), anchor="", nofollow="nofollow" in rel, sponsored="sponsored" in rel, internal=there == mine, in_footer="footer" in self.stack, in_nav="nav" in self.stack, wraps_image=False, image_alt=None, before_h1=not self.seen_h1)
-            r["links"].append(self.link)
+            if tag == "h1" and self.h1_at is None:
+                self.h1_at = len(r["links"])
+        elif tag == "a":
+            self.anchor(a)
         elif tag == "img":
-            r["images"].append(dict(src=a.get("src", ""), alt=a.get("alt"), has_alt="alt" in a, loading=a.get("loading"), width=a.get("width"), height=a.get("height")))
-            if self.link is not None:
+            raw = a.get("src", "").strip()
+            src = self.full(raw) or raw
+            r["images"].append(dict(raw_src=raw, src=src, key=_key(src), alt=a.get("alt"), has_alt="alt" in a, loading=a.get("loading"), width=_number(a.get("width")), height=_number(a.get("height")), next="data-nimg" in a or "/_next/image?" in raw, in_link=self.open["a"] > 0))
+            if self.link is not None and not self.link["wraps_image"]:
                 self.link |= dict(wraps_image=True, image_alt=a.get("alt"))
         elif tag == "script":
-            if a.get("src", "").strip():
-                r["scripts"].append(a["src"])
-                r["scripts_blocking"] += head and not ({"async", "defer"} & set(a)) and a.get("type") != "module"
-            elif a.get("type", "").lower() == "application/ld+json":
+            raw = a.get("src", "").strip()
+            src = self.full(raw) or raw if raw else ""
+            r["scripts"].append(dict(url=src, key=_key(src) if src else None, is_async="async" in a, is_defer="defer" in a, in_head=head))
+            if a.get("type") == "application/ld+json":
+                self.formats.add("json-ld")
                 self.ld = []
         elif tag == "form":
-            r["forms"].append(dict(method=(a.get("method") or "get").lower(), action=a.get("action"), has_password=False))
+            r["forms"].append(dict(method=(a.get("method") or "get").lower(), action=a.get("action"), has_password=False, posts_to_http=((a.get("action") and self.full(a["action"])) or "").startswith("http://")))
         elif tag == "input" and a.get("type", "").lower() == "password" and r["forms"]:
             r["forms"][-1]["has_password"] = True
-        for name, tags in (("paragraphs", ("p",)), ("lists", ("ul", "ol")), ("strongs", ("strong", "b")), ("iframes", ("iframe",))):
+        elif tag == "table":
+            r["tables"].append(dict(caption=False, th=False))
+        elif tag in ("caption", "th"):
+            for t in self.tables:
+                t[tag] = True
+        for name, tags in (("paragraphs", ("p",)), ("lists", ("ul", "ol", "dl")), ("strongs", ("strong", "b")), ("iframes", ("iframe",)), ("maps", ("map",))):
             r[name] += tag in tags
+        r["plugins"] += tag in ("applet", "embed") or tag == "object" and "classid" in a
         if tag not in _VOID:
-            self.stack.append(tag)
-            r["dom_depth"] = max(r["dom_depth"], len(self.stack))
+            classes, marks = a.get("class", "").split(), []
+            if tag == "footer" or a.get("role") == "contentinfo" or "footer" in classes or a.get("id") == "footer":
+                marks.append("*footer")
+            if tag in ("nav", "header") or a.get("role") == "navigation":
+                marks.append("*nav")
+            if tag in _SILENT:
+                marks.append("*silent")
+            self.push(tag, marks)
+            if tag == "table":
+                self.tables.append(r["tables"][-1])
 
-    def base(self):
-        return resolve(self.url, self.row["base_hrefs"][0]) or self.url if self.row["base_hrefs"] else self.url
+    def anchor(self, a):
+        raw, rel = a.get("href", "").strip(), a.get("rel", "").lower().split()
+        full = self.full(raw) if raw and not raw.startswith("javascript:") else None
+        web = bool(full) and bool(re.match("(?i)https?:", full))
+        key = _key(full) if web else full
+        there = re.sub(r"^www\.", "", urlsplit(key).netloc) if web else None
+        self.link = dict(pos=len(self.row["links"]), raw_href=raw, href=full, key=key, anchor="", nofollow="nofollow" in rel, sponsored="sponsored" in rel, ugc="ugc" in rel, internal=web and there == self.site, external=web and there != self.site, in_footer=self.open["*footer"] > 0, in_nav=self.open["*nav"] > 0, wraps_image=False, image_alt=None, onclick=a.get("onclick"), before_h1=False)
+        self.row["links"].append(self.link)
 
     def meta(self, a, head):
         r, name, content = self.row, a.get("name", "").lower(), a.get("content", "")
-        r["charset"] = r["charset"] or a.get("charset") or (m[1] if a.get("http-equiv", "").lower() == "content-type" and (m := re.search(r"charset=([\w-]+)", content)) else None)
+        if "charset" in a:
+            r["charset"] = r["charset"] or a["charset"]
+        elif a.get("http-equiv", "").lower() == "content-type" and (m := re.search(r"(?i)charset=([\w-]+)", content)):
+            r["charset"] = r["charset"] or m[1]
         if name == "description":
             r["descriptions"] += 1
-            r["description"] = content if r["description"] is None else r["description"]
+            r["description"] = content.strip() if r["description"] is None else r["description"]
         elif name in ("robots", "googlebot"):
             r["meta_robots"].append(content.lower())
             r["robots_outside_head"] |= not head
         elif name == "viewport":
-            r["viewport"] = content
+            r["viewports"].append(content)
         elif name.startswith("twitter:"):
             r["twitter"].setdefault(name, content)
         if a.get("property", "").lower().startswith("og:"):
             r["og"].setdefault(a["property"].lower(), content)
 
     def relation(self, a, head):
-        r, rel, href = self.row, a.get("rel", "").lower().split(), a.get("href", "")
-        if "canonical" in rel:
+        r, rel, href = self.row, a.get("rel", "").lower().strip(), a.get("href", "").strip()
+        if rel == "canonical":
             r["canonical_raw"].append(href)
-            r["canonicals"].append(page_key(resolve(self.base(), href)) or href)
+            r["canonicals"].append(_key(resolve(self.url, href)) or href)
             r["canonical_in_head"] &= head
-        elif "stylesheet" in rel:
-            r["stylesheets"].append(href)
-        elif "alternate" in rel and "hreflang" in a:
-            full = resolve(self.base(), href)
-            r["hreflang"].append(dict(lang=a["hreflang"].lower(), href=full, key=page_key(full)))
+        elif rel == "stylesheet":
+            full = self.full(href) or href
+            r["stylesheets"].append(dict(url=full, key=_key(full)))
+        elif rel == "alternate" and "hreflang" in a:
+            full = resolve(self.url, href)
+            r["hreflang"].append(dict(lang=a["hreflang"].strip(), href=full, key=_key(full), raw_href=href))
+        if "icon" in rel.split() and r["favicon"] is None:
+            r["favicon"] = href
 
-    def handle_endtag(self, tag):
-        if tag == "title" and self.title_text is not None:
-            self.row["title"], self.title_text = " ".join("".join(self.title_text).split()), None
-        elif self.heading is not None and tag == f"h{self.heading['level']}":
+    def end_heading(self):
+        if self.heading is not None:
             self.heading["text"] = " ".join(self.heading["text"].split())
             self.row["headings"].append(self.heading)
             self.heading = None
-        elif tag == "a" and self.link is not None:
+
+    def end_link(self):
+        if self.link is not None:
             self.link["anchor"] = " ".join(self.link["anchor"].split())
             self.link = None
+
+    def handle_endtag(self, tag):
+        if tag == "title" and self.title_text is not None:
+            self.row["title"], self.title_text = " ".join("".join(self.title_text).split()), None
+        elif self.heading is not None and tag == f"h{self.heading['level']}":
+            self.end_heading()
+        elif tag == "a":
+            self.end_link()
         elif tag == "script" and self.ld is not None:
             self.row["json_ld"].append("".join(self.ld))
             self.ld = None
-        if tag in self.stack:
-            while self.stack.pop() != tag:
-                pass
+        if self.open[tag] > 0:
+            self.pop_to(tag)
 
     def handle_data(self, data):
         if self.title_text is not None:
             self.title_text.append(data)
+            return
         if self.ld is not None:
             self.ld.append(data)
         if self.heading is not None:
             self.heading["text"] += data
         if self.link is not None:
             self.link["anchor"] += data
-        if "body" in self.stack and not _SILENT & set(self.stack):
-            self.text.append(data)
+        if self.open["*silent"] <= 0:
+            self.in_body |= not data.isspace()
+            if self.in_body:
+                self.text.append(data)
+
+    def record(self) -> dict:
+        r = self.row
+        if self.title_text is not None:
+            r["title"] = " ".join("".join(self.title_text).split())
+        self.end_heading()
+        self.end_link()
+        for link in r["links"][: self.h1_at or 0]:
+            link["before_h1"] = True
+        known = list(dict.fromkeys((*self.ids, *sorted(self.names))))
+        return r | dict(ids=known, duplicate_ids=[x for x, n in self.ids.items() if n > 1], formats=sorted(self.formats))
 
 
 def parse_page(url: str | None, html: str | None) -> dict:
-    """The record of one page; broken markup never raises."""
+    """The record of one page; broken markup never raises, a page without markup has an empty record."""
     p = _Page(url or "")
-    p.feed(html or "")
-    p.close()
-    if p.title_text is not None:
-        p.row["title"] = " ".join("".join(p.title_text).split())
+    try:
+        # marked sections are no part of HTML: browsers read them as comments up to the next ">"
+        p.feed(re.sub(r"<!\[[^>]*>", "", html or ""))
+        p.close()
+    except AssertionError:  # what the standard parser has no answer to ends the page there
+        pass
+    r = p.record()
+    if html:
+        r["dom_nodes"], r["dom_depth"], r["dom_width"] = r["dom_nodes"] + 3, max(2, r["dom_depth"]), max(2, r["dom_width"])
     text = " ".join("".join(p.text).split())
-    return p.row | dict(body_text=text, word_count=len(text.split()), bytes=len((html or "").encode()))
+    return r | dict(body_text=text, word_count=len(text.split()), bytes=len((html or "").encode()))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
