@@ -35,8 +35,8 @@ class CorruptBlock(ValueError):
 
 class _Model:
     def __init__(self, lanes: int):
-        self.s1, self.k1 = np.zeros(lanes << _T1, np.uint32), np.zeros(lanes << _T1, np.int8)
-        self.s2, self.k2 = np.zeros(lanes << _T2, np.uint32), np.zeros(lanes << _T2, np.int8)
+        # a follower and how sure it is (0 to 3) in one number, so a context is one place in memory
+        self.s1, self.s2 = np.zeros(lanes << _T1, np.uint32), np.zeros(lanes << _T2, np.uint32)
         self.n, self.h1, self.h2 = (np.full(lanes << 5, v, np.int32) for v in (8, 1, 1))
         self.lane = np.arange(lanes, dtype=np.int64)
         self.p1 = self.p2 = np.zeros(lanes, np.uint32)
@@ -46,9 +46,9 @@ class _Model:
         p1, p2, lane = self.p1[:n], self.p2[:n], self.lane[:n]
         self.i1 = (lane << _T1) + ((p1 * np.uint32(2654435761)) >> np.uint32(32 - _T1))
         self.i2 = (lane << _T2) + ((p1 * np.uint32(2654435761) ^ p2 * np.uint32(2246822519)) >> np.uint32(32 - _T2))
-        self.c1, self.c2 = self.s1[self.i1], self.s2[self.i2]
-        self.q1, self.q2 = self.k1[self.i1], self.k2[self.i2]
-        self.w = (lane << 5) + (self.q2 * 4 + self.q1 + 16 * (self.c1 == self.c2))
+        x1, x2 = self.s1[self.i1], self.s2[self.i2]
+        self.c1, self.c2, self.q1, self.q2 = x1 >> np.uint32(2), x2 >> np.uint32(2), x1 & np.uint32(3), x2 & np.uint32(3)
+        self.w = (lane << 5) + (self.q2 * np.uint32(4) + self.q1 + np.uint32(16) * (self.c1 == self.c2))
         total = self.n[self.w]
         return self.c1, self.c2, self.h1[self.w] * 60 // total, self.h2[self.w] * 60 // total
 
@@ -57,9 +57,9 @@ class _Model:
         self.n[self.w] += 1
         self.h2[self.w] += hit2
         self.h1[self.w] += hit1 & ~hit2
-        for sym, conf, i, c, q, hit in ((self.s1, self.k1, self.i1, self.c1, self.q1, hit1), (self.s2, self.k2, self.i2, self.c2, self.q2, hit2)):
-            sym[i] = np.where(hit | (q > 0), c, s)
-            conf[i] = np.where(hit, np.minimum(q + 1, 3), np.maximum(q - 1, 0))
+        for known, i, c, q, hit in ((self.s1, self.i1, self.c1, self.q1, hit1), (self.s2, self.i2, self.c2, self.q2, hit2)):
+            keep = hit | (q > 0)
+            known[i] = (np.where(keep, c, s) << np.uint32(2)) | np.where(hit, np.minimum(q + np.uint32(1), np.uint32(3)), q - (q > 0))
         self.p2 = self.p1[:n]
         self.p1 = s
 
@@ -130,8 +130,8 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     return b"".join(parts)
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The ids of a file; raises CorruptBlock where a block's checksum fails."""
+def decode(data: bytes, only: int | None = None) -> np.ndarray:
+    """The ids of a file, or of one of its blocks alone; raises CorruptBlock where a block's checksum fails."""
     if data[:4] != MAGIC:
         raise CorruptBlock("not a file of this format")
     n, block, size = struct.unpack_from("<QII", data, 4)
@@ -147,6 +147,8 @@ def decode(data: bytes) -> np.ndarray:
         heads.append(struct.unpack_from("<III", data, at))
         payload.append(np.frombuffer(data, "<u4", heads[-1][1], at + 12))
         at += 12 + 4 * heads[-1][1]
+    if only is not None:  # every block starts from the same state
+        heads, payload, lanes, n = [heads[only]], [payload[only]], 1, heads[only][0]
     source = np.zeros((lanes, max(map(len, payload)) + 1), U64)
     for i, x in enumerate(payload):
         source[i, : len(x)] = x

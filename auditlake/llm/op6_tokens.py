@@ -7,9 +7,8 @@ documents' ids and lengths, and blocks as in `codec`.  The files are rows of a P
 table (file, part, payload), so any store Spark writes to can hold them, and readers get
 them through Spark.
 
-Words repeat, so a task encodes each distinct stretch of text once: a text is cut before
-single spaces that follow a visible character, where this tokenizer always begins a new
-piece; a text with other white space before a space is encoded whole.
+Words repeat, so a task encodes each distinct piece of its texts once: a text is cut before
+white space that follows a visible character, where this tokenizer always begins a new piece.
 
 Defined results: null text is empty and has the end id alone; a null doc_id sorts first;
 rows of one doc_id follow each other in the order of their texts.  No rows give no files.
@@ -17,11 +16,9 @@ rows of one doc_id follow each other in the order of their texts.  No rows give
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +29,11 @@ from pyspark.sql import functions as F
 from . import codec
 from .common import chunks_for, shared_dir, table, worker_store
 
-END, FILE_IDS, KEEP = 2, 12_000_000, 400_000
-_ODD = re.compile(r"[\s\x1c-\x1f\x85\x00] |\x00")
+END, FILE_IDS, SLICE = 2, 12_000_000, 16 << 20
 
 
 def tokenizer(path: str | None):
-    """The tokenizer of a file (None: the public byte-level BPE), loaded once a worker."""
+    """The tokenizer of a file (None: the public byte-level BPE), loaded once a worker, and which of its tokens open with ASCII white space."""
     kept = worker_store()
     if ("tokenizer", path) not in kept:
         import os
@@ -51,23 +47,75 @@ def tokenizer(path: str | None):
             path_ = public_tokenizers.path("byte_bpe_50k.json")
         else:
             path_ = path
-        kept["tokenizer", path] = Tokenizer.from_file(path_), {}
+        library = Tokenizer.from_file(path_)
+        opens = np.zeros(library.get_vocab_size(), bool)
+        # white space as this byte-level vocabulary writes it: U+0100 more for control signs, U+0120 for the space
+        opens[[i for t, i in library.get_vocab().items() if t and 0x109 <= ord(t[0]) <= 0x10D or t[:1] == "\u0120"]] = True
+        kept["tokenizer", path] = library, opens
     return kept["tokenizer", path]
 
 
-def encode_texts(texts: list[str], path: str | None = None) -> list[list[int]]:
-    """The ids of every text, as the library gives them for whole texts without special tokens."""
-    library, known = tokenizer(path)
-    cut = [None if _ODD.search(t) else t.replace(" ", "\0 ").split("\0") for t in texts]
-    fresh = list({p for parts in cut if parts for p in parts if p not in known})
-    if len(known) + len(fresh) > KEEP:
-        known.clear()
-        fresh = list({p for parts in cut if parts for p in parts})
-    known.update(zip(fresh, (e.ids for e in library.encode_batch_fast(fresh, add_special_tokens=False))))
-    whole = [i for i, parts in enumerate(cut) if parts is None]
-    by_library = dict(zip(whole, (e.ids for e in library.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False))))
-    get = known.__getitem__
-    return [by_library[i] if parts is None else list(chain.from_iterable(map(get, parts))) for i, parts in enumerate(cut)]
+_GAP = np.zeros(256, bool)
+_GAP[[9, 10, 11, 12, 13, 32]] = True
+_SEEN = np.zeros(256, bool)  # ASCII signs that are surely visible
+_SEEN[0x21:0x7F] = True
+JOINED = 2000
+
+
+def _pieces(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where pieces begin: texts, and ASCII white space after a character that is surely visible, where this tokenizer begins a new piece whatever stands around.
+
+    Surely visible are ASCII signs and characters of two bytes from U+00C0 on.
+    """
+    gap, begin = _GAP[raw], np.zeros(len(raw), bool)
+    begin[1:] = gap[1:] & _SEEN[raw[:-1]]
+    begin[2:] |= gap[2:] & (raw[:-2] >= 0xC3) & (raw[:-2] <= 0xDF) & (raw[1:-1] >= 0x80) & (raw[1:-1] < 0xC0)
+    begin[starts] = True
+    return np.flatnonzero(begin)
+
+
+def _encode_pieces(library, opens: np.ndarray, pieces: list[str]) -> list[list[int] | np.ndarray]:
+    """The ids of every piece.  Pieces of one white space and visible ASCII signs are encoded many at a time, joined: their ids fall apart before each token that opens with white space."""
+    out: list = [None] * len(pieces)
+    plain = [i for i, p in enumerate(pieces) if p[0] in "\t\n\x0b\x0c\r " and len(p) > 1 and p.isascii() and p[1:].isprintable() and " " not in p[1:]]
+    for at in range(0, len(plain), JOINED * 16):
+        part = [plain[i : i + JOINED] for i in range(at, min(at + JOINED * 16, len(plain)), JOINED)]
+        for own, e in zip(part, library.encode_batch_fast(["".join(map(pieces.__getitem__, x)) for x in part], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            cuts = np.flatnonzero(opens[ids])
+            if len(cuts) == len(own) and (not len(cuts) or cuts[0] == 0):
+                for i, x in zip(own, np.split(ids, cuts[1:])):
+                    out[i] = x
+    rest = [i for i, x in enumerate(out) if x is None]
+    for i, e in zip(rest, library.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)):
+        out[i] = e.ids
+    return out
+
+
+def encode_texts(texts: list[str], path: str | None = None, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, as the library gives them for whole texts without special tokens, each with the end id if given; and how many each has.
+
+    Each distinct piece is encoded once, whatever number of texts hold it; pieces are compared as bytes.
+    """
+    library, opens = tokenizer(path)
+    data = [t.encode() for t in texts]
+    sizes = np.array([len(x) for x in data], np.int64)
+    raw = np.frombuffer(b"".join(data), np.uint8)
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    at = _pieces(raw, first[:-1][sizes > 0])
+    found = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(raw)).astype(np.int64)), pa.py_buffer(raw)]).dictionary_encode()
+    known = _encode_pieces(library, opens, [x.decode() for x in found.dictionary.to_pylist()])
+    ids = np.concatenate([np.asarray(x, np.uint32) for x in known] + [np.array([] if end is None else [end], np.uint32)])
+    lengths = np.array([len(x) for x in known] + [end is not None], np.int64)
+    begin = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    which = found.indices.to_numpy().astype(np.int64)
+    ends = np.searchsorted(at, first[1:])  # of each text's pieces
+    if end is not None:
+        which, ends = np.insert(which, ends, len(known)), ends + np.arange(1, len(texts) + 1)
+    own = lengths[which]
+    upto = np.cumsum(own)
+    flat = ids[np.repeat(begin[which] - (upto - own), own) + np.arange(upto[-1] if len(upto) else 0)]
+    return flat, np.diff(np.concatenate(([0], upto))[np.concatenate(([0], ends))])
 
 
 def pack_file(docs: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
@@ -95,18 +143,30 @@ def _write(path: str | None, end: int):
             data = pack_file(docs, lengths, np.concatenate(ids) if ids else np.zeros(0, np.uint32))
             return pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([part], pa.int64()), pa.array([len(docs)], pa.int64()), pa.array([held], pa.int64()), pa.array([data], pa.binary())], ["file", "part", "n_docs", "n_ids", "payload"])
 
+        def batches_of(names, texts):
+            """Slices of about SLICE characters."""
+            at, size = 0, 0
+            for i, t in enumerate(texts):
+                size += len(t)
+                if size >= SLICE:
+                    yield names[at : i + 1], texts[at : i + 1]
+                    at, size = i + 1, 0
+            if at < len(texts):
+                yield names[at:], texts[at:]
+
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 512):
-                for name, own in zip(names[at : at + 512], encode_texts([t or "" for t in texts[at : at + 512]], path)):
-                    own.append(end)
-                    if held and held + len(own) > FILE_IDS:
+            for names, texts in batches_of(batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]):
+                flat, counts = encode_texts(texts, path, end)
+                taken = begin = 0
+                for i, n in enumerate(counts.tolist()):
+                    if held and held + n > FILE_IDS:
+                        ids.append(flat[begin:taken])
                         yield out()
-                        part, docs, lengths, ids, held = part + 1, [], [], [], 0
-                    docs.append(name)
-                    lengths.append(len(own))
-                    ids.append(np.array(own, np.uint32))
-                    held += len(own)
+                        part, docs, lengths, ids, held, begin = part + 1, [], [], [], 0, taken
+                    docs.append(names[i])
+                    lengths.append(n)
+                    held, taken = held + n, taken + n
+                ids.append(flat[begin:taken])
         if docs:
             yield out()
 
