@@ -113,10 +113,14 @@ class _Block:
 
 def _search(k: int):
     def run(batches):
+        last, block = None, None
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                block, queries = _Block(r["ids"], r["kind"], r["m"]), _Block(r["q_ids"], r["q_kind"], r["q_m"])
+            for i in range(batch.num_rows):
+                r = {c: batch.column(c)[i].as_py() for c in batch.schema.names if c not in ("ids", "m")}
+                if r["block"] != last:  # rows come by block, which is built once
+                    last, block = r["block"], _Block(batch.column("ids")[i].as_py(), r["kind"], batch.column("m")[i].as_py())
+                queries = _Block(r["q_ids"], r["q_kind"], r["q_m"])
                 least = np.frombuffer(r["least"], "<f8") if r["least"] else np.full(len(queries.ids), -np.inf)
                 for i in range(len(queries.ids)):
                     out += [(int(queries.ids[i]), v, s) for s, v in block.search(queries.m[i].astype(np.int64), queries.norm[i], queries.ids[i], least[i], k)]
@@ -173,13 +177,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int) -> DataFrame:
     asked = cut(asked.select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("kind").alias("q_kind"), F.col("m").alias("q_m")))
     search, least = _search(k), _least(k)
     result = "query_id long, vec_id long, score long"
-    wide = ["ids", "kind", "m", "q_ids", "q_kind", "q_m", "least"]
-    start = asked.select("*", F.lit(0).cast("long").alias("block"), F.lit(None).cast("binary").alias("least")).join(blocks, "block").select(*wide)
+    wide = ["block", "ids", "kind", "m", "q_ids", "q_kind", "q_m", "least"]
+    first_block = F.broadcast(blocks.where("block = 0"))  # BLOCK vectors at most
+    start = asked.select("*", F.lit(None).cast("binary").alias("least"), F.expr("q_block - q_block").alias("block")).join(first_block, "block").select(*wide)
     early = _best(start.mapInArrow(search, result), k)
     early = early.where(F.col("rank") == k).select(F.pmod(F.xxhash64(F.lit(1), "query_id"), F.lit(n_q)).alias("q_block"), "query_id", "score")
-    ready = asked.join(early, "q_block", "left").groupBy("q_block").applyInArrow(lambda rows: least(rows), "q_block long, q_ids binary, q_kind string, q_m binary, least binary, need double")
-    pairs = cut(ready).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(at - 1).cast("long"))))
-    pairs = pairs.join(blocks, "block").where("longest >= need").select(*wide).repartition(max(12, 2 * at))
+    ready = cut(asked.join(early, "q_block", "left").groupBy("q_block").applyInArrow(lambda rows: least(rows), "q_block long, q_ids binary, q_kind string, q_m binary, least binary, need double"))
+    # which query block meets which block is settled by numbers; then queries travel to the blocks, each of which stays where it is
+    pairs = ready.select("q_block", "need", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(at - 1).cast("long"))).alias("block"))
+    pairs = pairs.join(blocks.select("block", "longest"), "block").where("longest >= need").select("q_block", "block")
+    pairs = pairs.join(ready.drop("need"), "q_block").join(blocks, "block").select(*wide).sortWithinPartitions("block")
     return _best(pairs.mapInArrow(search, result), k).select("query_id", "rank", "vec_id", "score")
 
 
