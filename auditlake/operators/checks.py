@@ -70,8 +70,8 @@ def markup_checks() -> list[Check]:
 
 
 def ready(pages: DataFrame) -> DataFrame:
-    """pages with all that checks read, unless they have it already."""
-    return pages if "strategy" in pages.columns else prepared(pages)
+    """pages with all that checks read, unless they have it already (rows with traffic have what the checks on traffic read)."""
+    return pages if {"strategy", "_known"} & set(pages.columns) else prepared(pages)
 
 
 def evaluate(pages: DataFrame, checks: list[Check], keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
