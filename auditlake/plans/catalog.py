@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.urls import bare_host
-from auditlake.operators import checks, crosspage, graph, history, locations, scoring
+from auditlake.operators import checks, crosspage, graph, history, locations, scoring, sitechecks
 from auditlake.plans import sql, standins
 from auditlake.sources.html import extract_pages
 
@@ -67,6 +67,11 @@ def record_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.scored(standins.rows(_t(spark, sf_dir, "pages")), checks.registry()).drop("url")
 
 
+def site_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checks of a site, over stand-in facts of one site a customer."""
+    return sitechecks.findings(_t(spark, sf_dir, "customer").selectExpr(*(f"{e} as {c}" for c, e in standins.SITE.items())))
+
+
 def record_pillars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.pillars(record_outcomes(spark, sf_dir))
 
@@ -228,7 +233,7 @@ def crawl_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FLAGSHIP = "page_audit"
-QUERIES = {f.__name__: f for f in (record_findings, record_cross_page, record_outcomes, record_summary, record_scores, record_pillars, page_audit, check_outcomes, category_summary, url_findings, markup_findings, link_summary, inbound_links, orphan_pages, page_rank, duplicate_groups, uptime, incidents, latest_and_previous, first_and_last, monthly_quota, status_counts, top_landing, never_seen, daily_events, cross_page_findings, site_score, pillar_rollup, location_coverage, quota_ledger, uptime_transitions, content_changes, rank_kpis, analytics_by_path, top_traffic_decile, crawl_diff)}
+QUERIES = {f.__name__: f for f in (record_findings, record_cross_page, record_outcomes, record_summary, record_scores, record_pillars, site_findings, page_audit, check_outcomes, category_summary, url_findings, markup_findings, link_summary, inbound_links, orphan_pages, page_rank, duplicate_groups, uptime, incidents, latest_and_previous, first_and_last, monthly_quota, status_counts, top_landing, never_seen, daily_events, cross_page_findings, site_score, pillar_rollup, location_coverage, quota_ledger, uptime_transitions, content_changes, rank_kpis, analytics_by_path, top_traffic_decile, crawl_diff)}
 
 _MARKUP = " UNION ALL ".join(
     f"SELECT page_id, '{t}-tag-missing' AS check_id, 'critical' AS severity FROM m WHERE {t}_o = 0 UNION ALL SELECT page_id, '{t}-close-missing', 'warning' FROM m WHERE {t}_o > 0 AND {t}_c = 0 UNION ALL SELECT page_id, 'multiple-{t}-tags', 'critical' FROM m WHERE {t}_o > 1"
@@ -280,6 +285,7 @@ UNION ALL SELECT page_id, 'http-link-w3-org', 'notice' FROM m WHERE w3 > 0 UNION
     "top_traffic_decile": "WITH a AS (SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal DESC) AS n, greatest(1, ceil(count(*) OVER () / 10.0)) AS place FROM customer WHERE c_acctbal > 0) SELECT c_custkey, c_acctbal FROM a WHERE c_acctbal >= (SELECT max(c_acctbal) FROM a WHERE n >= place)",
     "crawl_diff": "WITH f AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F'), o AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'O') SELECT o_custkey, 'fixed' AS change FROM f WHERE o_custkey NOT IN (SELECT o_custkey FROM o) UNION ALL SELECT o_custkey, 'appeared' FROM o WHERE o_custkey NOT IN (SELECT o_custkey FROM f)",
     "record_findings": sql.record_findings(),
+    "site_findings": sql.site_findings(),
     "record_cross_page": sql.cross_page(crosspage.SEVERITIES),
     "record_outcomes": sql.outcomes(),
     "record_summary": sql.summary(),

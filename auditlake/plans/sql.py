@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from auditlake.functions.dialect import Duck
-from auditlake.operators import predicates
+from auditlake.operators import predicates, sitechecks
 from auditlake.operators.checks import CATEGORIES, SEVERITY
 from auditlake.plans import standins
 
@@ -132,3 +132,9 @@ def pillars(of: dict[str, tuple[str, ...]]) -> str:
 q AS (SELECT pillar, verdict, {weight} + 1 AS w FROM o JOIN p ON p.category = o.category WHERE verdict <> 'skipped')
 SELECT x.pillar, CAST(coalesce(floor(100 * (1 - sum(w) FILTER (WHERE verdict = 'failed') / sum(w)) + 0.5), 100) AS BIGINT) AS score, count(*) FILTER (WHERE verdict = 'failed') AS failed, count(*) FILTER (WHERE verdict = 'passed') AS passed
 FROM (SELECT DISTINCT pillar FROM p) x LEFT JOIN q ON q.pillar = x.pillar GROUP BY x.pillar"""
+
+
+def site_findings() -> str:
+    facts = ", ".join(f"{e} AS {c}" for c, e in standins.SITE.items())
+    found = " UNION ALL ".join(f"SELECT site, '{i}' AS check_id, '{c}' AS category, '{s}' AS severity FROM s WHERE coalesce({p.replace('regexp_like(', 'regexp_matches(')}, false)" for i, c, s, p in sitechecks.CHECKS)
+    return f"WITH s AS MATERIALIZED (SELECT {facts} FROM customer) {found}"

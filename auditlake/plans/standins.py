@@ -76,6 +76,20 @@ def columns(d) -> list[tuple[str, str]]:
     ]
 
 
+_CLASS = "case (c_custkey + {}) % 5 when 0 then 'GOOD' when 1 then 'POOR' when 2 then 'NEEDS_IMPROVEMENT' when 3 then 'GOOD' end"
+#: Facts of a site, of a customer's key; spelled alike in both engines.
+SITE = {
+    "site": "c_custkey", "not_found_status": "case c_custkey % 3 when 0 then 404 when 1 then 200 end", "home_allowed": "c_custkey % 11 <> 0", "home_indexable": "c_custkey % 7 <> 0", "favicon": "c_custkey % 4 <> 1",
+    "home_title": "case c_custkey % 5 when 0 then ' Home ' when 1 then 'HOMEPAGE' when 2 then 'A site' end", "https_redirect": "c_custkey % 6 <> 2", "host_redirect": "c_custkey % 6 <> 3", "ssl_valid": "c_custkey % 9 <> 4", "ssl_days": "c_custkey % 100",
+    "csp": "case c_custkey % 4 when 0 then 'frame-ancestors x' when 1 then 'default-src x' when 2 then '' end", "x_xss": "case when c_custkey % 3 = 0 then '1' end", "x_frame": "case when c_custkey % 5 = 0 then 'DENY' end", "x_content_type": "case c_custkey % 3 when 0 then 'NoSniff' when 1 then 'x' end",
+    "server": "case c_custkey % 4 when 0 then 'nginx' when 1 then 'a/1.25' end", "powered_by": "case when c_custkey % 13 = 2 then 'lang/8.1' end", "set_cookie": "case c_custkey % 3 when 0 then 'a=b' when 1 then '' end", "off_site_redirects": "c_custkey % 8", "home_known": "c_custkey % 10 <> 0", "home_social": "c_custkey % 2 = 0",
+    "lcp": _CLASS.format(0), "cls": _CLASS.format(1), "inp": _CLASS.format(2), "tbt": _CLASS.format(3), "pagespeed": "case c_custkey % 3 when 0 then true when 1 then false end", "mobile_score": "case when c_custkey % 4 <> 0 then (c_custkey * 7) % 101 end", "desktop_score": "(c_custkey * 3) % 101", "first_score": "(c_custkey * 11) % 101",
+    "robots_found": "c_custkey % 5 <> 0", "robots_sitemaps": "c_custkey % 3", "sitemap_errors": "c_custkey % 4", "sitemap_entries": "c_custkey * 1000", "sitemap_bytes": "case when c_custkey % 6 = 5 then 60000000 else 1 end",
+    "has_search": "case c_custkey % 3 when 0 then true when 1 then false end", "search_error": "case when c_custkey % 12 = 5 then 'e' end", "has_analytics": "c_custkey % 2 = 1", "analytics_error": "case when c_custkey % 15 = 5 then 'e' end", "missing_paths": "c_custkey % 3",
+    "build_ids": "c_custkey % 3", "app_pages": "c_custkey % 2", "router_pages": "c_custkey % 5", "hybrid_pages": "case when c_custkey % 17 = 0 then 1 else 0 end", "next_pages": "c_custkey % 6", "ssr_pages": "c_custkey % 4",
+}
+
+
 def rows(pages: DataFrame) -> DataFrame:
     """The stand-in records of pages (page_id) with the derived names; nothing but page_id is read."""
     out = pages.select(F.col("page_id").cast("bigint").alias("i"))
