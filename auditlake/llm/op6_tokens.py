@@ -74,22 +74,31 @@ def _pieces(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
-def _encode_pieces(library, opens: np.ndarray, pieces: list[str]) -> list[list[int] | np.ndarray]:
-    """The ids of every piece.  Pieces of one white space and visible ASCII signs are encoded many at a time, joined: their ids fall apart before each token that opens with white space."""
-    out: list = [None] * len(pieces)
-    plain = [i for i, p in enumerate(pieces) if p[0] in "\t\n\x0b\x0c\r " and len(p) > 1 and p.isascii() and p[1:].isprintable() and " " not in p[1:]]
+def _encode_pieces(library, opens: np.ndarray, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ids, and where each piece's begin and how many it has.  Pieces of one white space and visible ASCII signs are encoded many at a time, joined: their ids fall apart before each token that opens with white space."""
+    order, flat, counts, rest = [], [np.zeros(0, np.uint32)], [], []
+    plain = [p[0] in "\t\n\x0b\x0c\r " and len(p) > 1 and p.isascii() and p[1:].isprintable() and " " not in p[1:] for p in pieces]
+    rest = [i for i, x in enumerate(plain) if not x]
+    plain = [i for i, x in enumerate(plain) if x]
     for at in range(0, len(plain), JOINED * 16):
         part = [plain[i : i + JOINED] for i in range(at, min(at + JOINED * 16, len(plain)), JOINED)]
         for own, e in zip(part, library.encode_batch_fast(["".join(map(pieces.__getitem__, x)) for x in part], add_special_tokens=False)):
             ids = np.array(e.ids, np.uint32)
             cuts = np.flatnonzero(opens[ids])
-            if len(cuts) == len(own) and (not len(cuts) or cuts[0] == 0):
-                for i, x in zip(own, np.split(ids, cuts[1:])):
-                    out[i] = x
-    rest = [i for i, x in enumerate(out) if x is None]
-    for i, e in zip(rest, library.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)):
-        out[i] = e.ids
-    return out
+            if len(cuts) == len(own) and cuts[0] == 0:
+                order.append(np.array(own, np.int64))
+                flat.append(ids)
+                counts.append(np.diff(cuts, append=len(ids)))
+            else:
+                rest += own
+    alone = [e.ids for e in library.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)]
+    order.append(np.array(rest, np.int64))
+    flat.append(np.array([i for x in alone for i in x], np.uint32))
+    counts.append(np.array([len(x) for x in alone], np.int64))
+    number, have = np.concatenate(order), np.concatenate(counts).astype(np.int64)
+    begin, lengths = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+    begin[number], lengths[number] = np.cumsum(have) - have, have
+    return np.concatenate(flat), begin, lengths
 
 
 def encode_texts(texts: list[str], path: str | None = None, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -104,14 +113,14 @@ def encode_texts(texts: list[str], path: str | None = None, end: int | None = No
     first = np.concatenate(([0], np.cumsum(sizes)))
     at = _pieces(raw, first[:-1][sizes > 0])
     found = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(raw)).astype(np.int64)), pa.py_buffer(raw)]).dictionary_encode()
-    known = _encode_pieces(library, opens, [x.decode() for x in found.dictionary.to_pylist()])
-    ids = np.concatenate([np.asarray(x, np.uint32) for x in known] + [np.array([] if end is None else [end], np.uint32)])
-    lengths = np.array([len(x) for x in known] + [end is not None], np.int64)
-    begin = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    ids, begin, lengths = _encode_pieces(library, opens, [x.decode() for x in found.dictionary.to_pylist()])
+    known = len(begin)
+    if end is not None:
+        ids, begin, lengths = np.append(ids, np.uint32(end)), np.append(begin, len(ids)), np.append(lengths, 1)
     which = found.indices.to_numpy().astype(np.int64)
     ends = np.searchsorted(at, first[1:])  # of each text's pieces
     if end is not None:
-        which, ends = np.insert(which, ends, len(known)), ends + np.arange(1, len(texts) + 1)
+        which, ends = np.insert(which, ends, known), ends + np.arange(1, len(texts) + 1)
     own = lengths[which]
     upto = np.cumsum(own)
     flat = ids[np.repeat(begin[which] - (upto - own), own) + np.arange(upto[-1] if len(upto) else 0)]
