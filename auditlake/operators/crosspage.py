@@ -62,6 +62,8 @@ CHECKS = {
 SEVERITIES = {i: s for i, (_, s, _) in CHECKS.items()}
 #: Checks whose scope is pages with languages, whatever their status.
 LANG_SCOPE = ("missing-reciprocal-hreflang", "hreflang-to-broken-url", "hreflang-to-redirect", "hreflang-to-noindex", "hreflang-to-disallowed", "hreflang-non-canonical", "hreflang-group-not-crawled")
+#: Checks whose scope is every page.
+EVERY_SCOPE = ("missing-hreflang-annotations",)
 #: Bytes an asset may have.
 LARGE = {"img": 102_400, "css": 15_360, "js": 25_600}
 
@@ -139,5 +141,5 @@ def findings(records: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
     for side in (inbound, orphan, tongues, by_canonical, by_redirect):
         wide = wide.join(side, "key", "left")
     wide = wide.join(twins, "plain", "left").join(open_http, "http_key", "left")
-    rows = F.array(*(F.struct(F.lit(i).alias("check_id"), F.lit(s).alias("severity"), F.coalesce(F.expr(f"({'lang_keys > 0' if i in LANG_SCOPE else 'live'}) and ({e})"), F.lit(False)).alias("failed")) for i, (_, s, e) in CHECKS.items()))
+    rows = F.array(*(F.struct(F.lit(i).alias("check_id"), F.lit(s).alias("severity"), F.coalesce(F.expr(f"({'lang_keys > 0' if i in LANG_SCOPE else 'true' if i in EVERY_SCOPE else 'live'}) and ({e})"), F.lit(False)).alias("failed")) for i, (_, s, e) in CHECKS.items()))
     return wide.select("page_id", F.inline(F.filter(rows, lambda x: x["failed"]))).drop("failed").distinct()

@@ -69,6 +69,22 @@ def raw_text(d, html: str = "html") -> str:
     return f"trim({t})"
 
 
+#: Fixed value: where a quoted id or name stands that a link to a place on the page may mean.
+MARK = r"""\s{}=["']([^"']+)["']"""
+
+
+def same_address(d, url: str) -> str:
+    """An absolute address as addresses are compared: scheme and host in lower case, no fragment, no default port, no slash at the end of a longer path."""
+    whole = d.sub(f"trim({url})", "#.*$", "")
+    part = lambda i: d.part(whole, r"^([a-zA-Z]+)://([^/?]*)([^?]*)(\?.+)?", i)
+    place = d.sub(d.sub(f"concat(lower({part(1)}), '://', lower({part(2)}))", "^(http://[^/]*):80$", D1[type(d).__name__]), "^(https://[^/]*):443$", D1[type(d).__name__])
+    return f"case when {d.like(whole, '(?i)^https?://')} then concat({place}, coalesce(nullif({d.sub(part(3), '/$', '')}, ''), '/'), {part(4)}) else {url} end"
+
+
+#: How each engine names the first group in a replacement.
+D1 = {"Spark": "$1", "Duck": r"\1"}
+
+
 def derived(d) -> list[list[tuple[str, str]]]:
     """Layers of (name, expression); each may use those before it."""
     clean = lambda c: f"lower(trim(coalesce({c}, '')))"
@@ -90,7 +106,8 @@ def derived(d) -> list[list[tuple[str, str]]]:
         ("text_units", d.units("coalesce(body_text, '')")),
         ("comments", d.total(d.each(d.pick(d.all("html", r"(?s)<!--.*?-->"), f"not ({d.like('x', r'^<!--(\[if|\$|/\$)')})"), f"cast({d.units('x')} as bigint)"))),
         ("scale", f"concat(',', lower({d.sub(d.first('viewports'), r'\s+', '')}), ',')"),
-        ("anchors", d.sort(d.each(d.pick("links", "x.key is not null and x.anchor <> ''"), "concat(x.key, ' ', lower(x.anchor))"))),
+        ("anchors", d.sort(d.each(d.pick("links", "x.internal and x.key is not null and x.anchor <> ''"), "concat(x.key, ' ', lower(x.anchor))"))),
+        ("marked", f"concat({d.all('html', MARK.format('id'), 1)}, {d.all('html', MARK.format('name'), 1)})"),
         ("targets", d.sort(d.each(d.pick("links", "x.internal"), "x.key"))),
         ("head_texts", d.each(d.pick("headings", "trim(x.text) <> ''"), "lower(x.text)")),
         ("alts", d.each(d.pick("images", "trim(x.alt) <> ''"), "lower(trim(x.alt))")),
@@ -246,7 +263,7 @@ def page_checks(d) -> list[tuple[str, str, str, str, str]]:
     plain = ", ".join(d.text(a) for a in EMPTY_ANCHORS)
     c("outgoing-non-descriptive-anchor", "notice", any_("links", f"not x.nofollow and trim({d.sub('lower(trim(x.anchor))', '[.!:>»→]+$', '')}) in ({plain})"))
     c("anchored-image-no-alt", "warning", any_("links", "x.wraps_image and x.anchor = '' and coalesce(x.image_alt, '') = ''"))
-    c("broken-jump-link", "warning", any_("links", f"{like('x.raw_href', '^#.')} and not {d.among('ids', d.decode('substr(x.raw_href, 2)'))}"))
+    c("broken-jump-link", "warning", any_("links", f"{like('x.raw_href', '^#.')} and not {d.among('marked', d.decode('substr(x.raw_href, 2)'))}"))
     c("empty-href-attribute", "warning", any_("links", "x.raw_href = ''"))
     c("empty-links-hash", "notice", any_("links", "x.raw_href = '#'"))
     c("malformed-href-data", "warning", any_("links", f"x.raw_href <> '' and x.href is null and not ({like('x.raw_href', '(?i)^(#|(javascript|mailto|tel|sms):)')})"))
@@ -342,7 +359,8 @@ def page_checks(d) -> list[tuple[str, str, str, str, str]]:
     c("open-graph-tags-missing", "warning", f"{d.keys('og')} = 0")
     lacking = lambda m, names: " or ".join(blank(d.value(m, x)) for x in names)
     c("open-graph-tags-incomplete", "notice", f"{d.keys('og')} > 0 and ({lacking('og', ('og:title', 'og:description', 'og:image', 'og:url'))})")
-    c("open-graph-url-not-canonical", "notice", f"{d.sub(d.value('og', 'og:url'), '/$', '')} <> {d.sub('canon', '/$', '')}")
+    shared = d.value("og", "og:url")
+    c("open-graph-url-not-canonical", "notice", f"not ({blank(shared)}) and not ({blank('canon')}) and {same_address(d, shared)} <> {same_address(d, 'canon')}")
     c("og-image-relative", "warning", f"{d.value('og', 'og:image')} <> '' and {relative(d.value('og', 'og:image'))}")
     c("twitter-card-missing", "notice", f"{d.keys('twitter')} = 0")
     c("twitter-card-incomplete", "notice", f"{d.keys('twitter')} > 0 and ({lacking('twitter', ('twitter:card', 'twitter:title'))})")

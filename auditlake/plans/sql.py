@@ -86,7 +86,7 @@ LANG_SCOPE = ("missing-reciprocal-hreflang", "hreflang-to-broken-url", "hreflang
 
 
 def cross_page(severities: dict[str, str]) -> str:
-    found = " UNION ALL ".join(f"SELECT page_id, '{i}' AS check_id, '{severities[i]}' AS severity FROM pg p WHERE {'p.has_langs' if i in LANG_SCOPE else 'p.live'} AND coalesce({q}, false)" for i, q in CROSS.items())
+    found = " UNION ALL ".join(f"SELECT page_id, '{i}' AS check_id, '{severities[i]}' AS severity FROM pg p WHERE {'p.has_langs' if i in LANG_SCOPE else 'true' if i == 'missing-hreflang-annotations' else 'p.live'} AND coalesce({q}, false)" for i, q in CROSS.items())
     return f"WITH {standins.sql()}, {_TABLES} {found}"
 
 

@@ -217,9 +217,9 @@ class _Page(HTMLParser):
         elif name == "viewport":
             r["viewports"].append(content)
         elif name.startswith("twitter:"):
-            r["twitter"].setdefault(name, content)
+            r["twitter"].setdefault(name, content.strip())
         if a.get("property", "").lower().startswith("og:"):
-            r["og"].setdefault(a["property"].lower(), content)
+            r["og"].setdefault(a["property"].lower(), content.strip())
 
     def relation(self, a, head):
         r, rel, href = self.row, a.get("rel", "").lower().strip(), a.get("href", "").strip()

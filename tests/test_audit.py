@@ -72,7 +72,8 @@ def test_graph(spark, records):
     assert all(abs(got[k] - v / top) < 1e-4 for k, v in rank.items())
     seen = {r.page_key: (r.links, r.sources, r.followed) for r in graph.inbound(records).collect()}
     assert seen["https://www.site.com/a"] == (2, 1, 1)
-    assert {r.page_id for r in graph.orphans(records).collect()} >= {2, 4, 5}
+    # page 2 has a link to /a#f, its own address: a link to itself counts, as only hrefs that begin with "#" do not
+    assert {r.page_id for r in graph.orphans(records).collect()} == {4, 5}
     dup = graph.duplicates(records, F.coalesce("title", F.lit("")), "title").collect()
     assert {(r.page_id, r.group_size) for r in dup} == {(1, 2), (2, 2)}
 
@@ -115,12 +116,13 @@ def test_cross_page(spark):
     for r in crosspage.findings(extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))).where("check_id <> 'less-than-10-internal-backlinks'").collect():
         got.setdefault(r.page_id, set()).add(r.check_id)
     assert got == {
-        1: {"canonical-loop", "canonical-points-another-canonicalized-url", "title-duplicates", "orphan-via-canonical"},
-        2: {"canonical-loop", "canonical-points-another-canonicalized-url", "title-duplicates", "orphan-via-canonical"},
-        3: {"canonical-points-noindex", "canonical-points-another-canonicalized-url"},
-        4: {"incoming-links-same-anchor", "conflicting-incoming-hreflang", "noindex-has-incoming-hreflang", "canonicalized-has-incoming-hreflang"},
-        5: {"technically-duplicate-urls", "orphan-via-canonical"},
-        6: {"technically-duplicate-urls"},
+        1: {"canonical-loop", "canonical-points-another-canonicalized-url", "title-duplicates", "orphan-via-canonical", "hreflang-to-noindex", "hreflang-non-canonical", "missing-reciprocal-hreflang"},
+        2: {"canonical-loop", "canonical-points-another-canonicalized-url", "title-duplicates", "orphan-via-canonical", "hreflang-to-noindex", "hreflang-non-canonical", "missing-reciprocal-hreflang"},
+        3: {"canonical-points-noindex", "canonical-points-another-canonicalized-url", "hreflang-to-noindex", "hreflang-non-canonical"},  # its language names itself
+        4: {"incoming-links-same-anchor", "conflicting-incoming-hreflang", "noindex-has-incoming-hreflang", "canonicalized-has-incoming-hreflang", "missing-hreflang-annotations"},
+        5: {"technically-duplicate-urls", "orphan-via-canonical", "missing-hreflang-annotations"},
+        6: {"technically-duplicate-urls", "missing-hreflang-annotations"},
+        7: {"missing-hreflang-annotations"},  # every page of a site that names languages, also one without markup
     }
 
 
@@ -130,3 +132,20 @@ def test_repeats_in_a_record(records, spark):
     got = {(r.page_id, r.check_id) for r in found.collect()}
     assert {(1, "more-than-2-links-same-anchor"), (1, "page-identical-headings"), (1, "page-identical-alt-tags")} <= got
     assert not {(2, "more-than-2-links-same-anchor"), (1, "more-than-100-identical-internal-links"), (1, "multiple-pages-same-language")} & got
+
+
+def test_checks_by_their_rules(spark):
+    """Links to other sites share no anchors, an empty og:url says nothing, addresses are compared as addresses, quoted ids and names are places."""
+    head = '<link rel=canonical href="https://S.com/a/"><meta property="og:url" content="{}">'
+    bodies = {
+        1: head.format("") + '<a href="https://else.org/x">same</a>' * 3,
+        2: head.format(" https://s.com:443/a#f "),
+        3: head.format("https://s.com/b") + '<a href="/x">same</a>' * 3,
+        4: '<p id="one">x</p><a name=two>t</a><a href="#one">a</a>',
+        5: '<p id=one>x</p><a href="#one">a</a>',
+    }
+    pages = extract_pages(spark.createDataFrame([(i, f"https://s.com/{i}", b) for i, b in bodies.items()], "page_id long, url string, html string"))
+    got = {}
+    for r in checks.evaluate(pages, checks._some("more-than-2-links-same-anchor", "open-graph-url-not-canonical", "broken-jump-link")).collect():
+        got.setdefault(r.check_id, set()).add(r.page_id)
+    assert got == {"more-than-2-links-same-anchor": {3}, "open-graph-url-not-canonical": {3}, "broken-jump-link": {5}}
