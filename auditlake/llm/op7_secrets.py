@@ -35,7 +35,7 @@ import math
 import random
 import re
 from bisect import bisect_left
-from functools import cache, partial
+from functools import partial
 from hashlib import sha256
 
 import pyarrow as pa
@@ -145,7 +145,6 @@ def ordinary(n: int, r: random.Random, name: str) -> str:
     return out.upper() if name == "HEX" else out
 
 
-@cache
 def reference() -> dict[str, tuple[tuple[float, float], ...]]:
     """By encoding and LENGTHS: mean and deviation of the logarithm of the battery's figure over ordinary tokens; a few numbers, made once on the driver."""
     out = {}
@@ -187,9 +186,9 @@ def _tested(token: str, at: int, least: float, known: dict) -> list[tuple[int, i
     return [(s, e, min(1.0, len(PARTS) * p)) for s, e, p in ways[best]]
 
 
-def candidates(text: str, base: list[tuple[int, int, int]], least: float = 0.001, known: dict | None = None) -> list[tuple[int, int, float]]:
+def candidates(text: str, base: list[tuple[int, int, int]], known: dict, least: float = 0.001) -> list[tuple[int, int, float]]:
     """(start, end, p) of the tokens that meet no base span; base comes by start, so one look ahead in it does."""
-    out, known, i, reached = [], known or reference(), 0, -1
+    out, i, reached = [], 0, -1
     for m in TOKEN.finditer(text):
         while i < len(base) and base[i][0] < m.end():
             reached, i = max(reached, base[i][2]), i + 1
@@ -205,7 +204,7 @@ def _scan(known: dict, batches):
         rows = []
         for text in batch.column(1).to_pylist():
             base = base_spans(text) if text else []
-            found = candidates(text, base, known=known) if text else []
+            found = candidates(text, base, known) if text else []
             rows.append(([dict(start=s, kind=k, end=e) for s, k, e in base], [dict(start=s, end=e, bin=min(BINS, int(-math.log(max(p, 1e-300)) / BIN_WIDTH))) for s, e, p in found], sha256(",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in base).encode()).hexdigest()))
         a, b, c = zip(*rows) if rows else ((),) * 3
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.list_(span)), pa.array(b, pa.list_(more)), pa.array(c, pa.string())], ["doc_id", "base", "more", "base_sha256"])

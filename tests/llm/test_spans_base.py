@@ -76,7 +76,7 @@ def test_long_runs_take_linear_time(text):
     began = time.time()
     op3_pii.base_spans(text)
     op3_pii.windows(text)
-    op7_secrets.candidates(text, op7_secrets.base_spans(text))
+    op7_secrets.candidates(text, op7_secrets.base_spans(text), op7_secrets.reference())
     assert time.time() - began < 20
 
 
@@ -84,7 +84,7 @@ def test_many_spans_beside_many_candidates():
     text = "token=abcdefghijkl1 k3fQzbM7mXa0TRr4hWpe " * 20_000
     began = time.time()
     base = op7_secrets.base_spans(text)
-    found = op7_secrets.candidates(text, base)
+    found = op7_secrets.candidates(text, base, op7_secrets.reference())
     assert len(base) == 20_000 and len(found) == 20_000
     spans = op3_pii.Spans((s, e) for s, _, e in base)
     assert not any(spans.meets(s, e) for s, e, _ in found) and spans.meets(3, 4) and not spans.meets(19, 21)
