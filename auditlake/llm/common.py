@@ -93,6 +93,11 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def letter_table() -> bytes:
+    """Of every byte: itself, capitals of ASCII in lower case, if it is a digit, a letter or beyond ASCII, else a space."""
+    return bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+
+
 def plan_bytes(df: DataFrame, row: int = 4096) -> int:
     """Spark's own estimate of the rows' size, from file sizes where it reads files; else counted rows."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, small, table, text_bytes
+from .common import arrow_map, cut, letter_table, small, table, text_bytes
 
 LONGEST, BUCKETS, SEED, PERCENT, LEAST_WORDS = 1, 10_000, 2024, 10, 20
 #: Scores are counted in steps of so many thousandths, to find from where on rows must be ordered.
@@ -45,11 +45,6 @@ STEP = 64
 RANGE_ROWS = 1 << 20
 
 
-def word_table() -> bytes:
-    """Of every byte: itself, in lower case, if it belongs to a word (digits, letters, all of U+0080 and above), else a space."""
-    return bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-
-
 def _runs(words: list[bytes], longest: int) -> list[bytes]:
     out = list(words)
     for n in range(2, longest + 1):
@@ -82,7 +77,7 @@ def _blocks(letters: bytes, longest: int, batch: pa.RecordBatch) -> pa.RecordBat
 def blocks(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
     """block, docs (packed), features, counts: one row for every few MB of texts."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return arrow_map(rows, partial(_blocks, word_table(), longest), "block long, docs binary, features array<string>, counts array<long>")
+    return arrow_map(rows, partial(_blocks, letter_table(), longest), "block long, docs binary, features array<string>, counts array<long>")
 
 
 def _unpacked(raw: bytes) -> tuple[np.ndarray, ...]:

@@ -7,7 +7,7 @@ brute force.
 
 from __future__ import annotations
 
-from . import op2_neardup, op4_topk, op8_substring, op11_resample
+from . import op2_neardup, op4_topk, op8_substring, op11_resample, op12_search
 from .op1_quality import op1_quality
 from .op3_pii import op3_pii
 from .op5_lines import op5_lines
@@ -28,10 +28,12 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_packing": op10_packing,
     "op11_resample": op11_resample.op11_resample,
+    "op12_search": op12_search.op12_search,
 }
 ORACLES = {
     "op2_near_duplicates": op2_neardup.ORACLE,
     "op4_topk": op4_topk.ORACLE,
     "op8_substring": op8_substring.ORACLE,
     "op11_resample": op11_resample.ORACLE,
+    "op12_search": op12_search.ORACLE,
 }
