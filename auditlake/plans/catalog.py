@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.urls import bare_host
 from auditlake.operators import checks, crosspage, graph, history, locations, scoring, sitechecks
-from auditlake.plans import sql, standins
+from auditlake.plans import evidence, sql, standins
 from auditlake.sources.html import extract_pages
 
 
@@ -292,3 +292,6 @@ UNION ALL SELECT page_id, 'http-link-w3-org', 'notice' FROM m WHERE w3 > 0 UNION
     "record_scores": sql.scores(),
     "record_pillars": sql.pillars(scoring.PILLARS),
 }
+
+QUERIES |= evidence.QUERIES
+ORACLES |= evidence.ORACLES
