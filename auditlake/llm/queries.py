@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL, for the entry module.
 
 No SQL: op1 (its cutoffs), op3, op6, op7 (spans of code points and models), op5 (rolling
-hashes), op9 (the seeded order), op10 (the dynamic programme); tests hold them against
-brute force.
+hashes), op9 (the seeded order), op10 (the dynamic programme), op13 (its model); tests hold them
+against brute force, op13 against held-out languages.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from .op6_tokens import op6_tokens
 from .op7_secrets import op7_secrets
 from .op9_mixing import op9_mixing
 from .op10_packing import op10_packing
+from .op13_language import op13_language
 
 QUERIES = {
     "op1_quality": op1_quality,
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_resample": op11_resample.op11_resample,
     "op12_search": op12_search.op12_search,
+    "op13_language": op13_language,
 }
 ORACLES = {
     "op2_near_duplicates": op2_neardup.ORACLE,
