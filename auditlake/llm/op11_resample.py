@@ -36,11 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, letter_table, small, table, text_bytes
+from .common import arrow_map, cut, letter_table, slices, small, table, text_bytes
 
 LONGEST, BUCKETS, SEED, PERCENT, LEAST_WORDS = 1, 10_000, 2024, 10, 20
 #: Scores are counted in steps of so many thousandths, to find from where on rows must be ordered.
 STEP = 64
+#: Bytes of texts that share a block's dictionary: more of them repeat more words.
+BLOCK = 32 << 20
 #: Rows that one range of the ranking holds, about.
 RANGE_ROWS = 1 << 20
 
@@ -52,32 +54,55 @@ def _runs(words: list[bytes], longest: int) -> list[bytes]:
     return out
 
 
-def _blocks(letters: bytes, longest: int, batch: pa.RecordBatch) -> pa.RecordBatch:
-    """One block of the batch's documents; its packed part is read by `_weights`."""
-    from collections import Counter
-
-    ids, place, places, counts, sizes, n_words = batch.column("doc_id"), {}, [], [], [], []
-    for text in text_bytes(batch.column("text")):
-        words = text.translate(letters).split()
-        n_words.append(len(words))
-        own = Counter(words if longest == 1 else _runs(words, longest))
-        places.extend([place.setdefault(w, len(place)) for w in own])
-        counts.extend(own.values())
-        sizes.append(len(own))
-    at, n = np.array(places, "<u4"), np.array(counts, "<u4")
-    total = np.bincount(at, n, len(place)).astype(np.int64) if len(at) else np.zeros(0, np.int64)
-    head = np.array([len(sizes), len(at)], "<i8").tobytes()
-    null = np.array([not x.is_valid for x in ids], "u1")
-    parts = (np.array(ids.fill_null(0), "<i8"), null, np.array(n_words, "<i8"), np.array(sizes, "<i8"), at, n)
-    packed = zlib.compress(head + b"".join(x.tobytes() for x in parts), 1)
-    features = pa.array([list(place)], pa.list_(pa.binary())).cast(pa.list_(pa.string()))
-    return pa.RecordBatch.from_arrays([batch.column("row").slice(0, 1), pa.array([packed], pa.binary()), features, pa.array([total], pa.list_(pa.int64()))], ["block", "docs", "features", "counts"])
+class _Block:
+    """Documents of a few slices: one dictionary for all, and each document's places and counts in it."""
+
+    def __init__(self, row):
+        self.row, self.place, self.parts, self.size = row, {}, [], 0
+
+    def add(self, batch: pa.RecordBatch, letters: bytes, longest: int) -> None:
+        from collections import Counter
+
+        ids, place, places, counts, sizes, n_words = batch.column("doc_id"), self.place, [], [], [], []
+        for text in text_bytes(batch.column("text")):
+            words = text.translate(letters).split()
+            n_words.append(len(words))
+            own = Counter(words if longest == 1 else _runs(words, longest))
+            places.extend([place.setdefault(w, len(place)) for w in own])
+            counts.extend(own.values())
+            sizes.append(len(own))
+        null = np.array([not x.is_valid for x in ids], "u1")
+        self.parts.append((np.array(ids.fill_null(0), "<i8"), null, np.array(n_words, "<i8"), np.array(sizes, "<i8"), np.array(places, "<u4"), np.array(counts, "<u4")))
+        self.size += batch.nbytes
+
+    def packed(self) -> pa.RecordBatch:
+        """The block as a row; its packed part is read by `_unpacked`."""
+        parts = [np.concatenate(x) for x in zip(*self.parts)]
+        at, n = parts[4:]
+        total = np.bincount(at, n, len(self.place)).astype(np.int64)
+        head = np.array([len(parts[0]), len(at)], "<i8").tobytes()
+        docs = zlib.compress(head + b"".join(x.tobytes() for x in parts), 1)
+        features = pa.array([list(self.place)], pa.list_(pa.binary())).cast(pa.list_(pa.string()))
+        return pa.RecordBatch.from_arrays([self.row, pa.array([docs], pa.binary()), features, pa.array([total], pa.list_(pa.int64()))], ["block", "docs", "features", "counts"])
+
+
+def _blocks(letters: bytes, longest: int, batches):
+    block = None
+    for whole in batches:
+        for batch in slices(whole):
+            block = block or _Block(batch.column("row").slice(0, 1))
+            block.add(batch, letters, longest)
+            if block.size >= BLOCK:
+                yield block.packed()
+                block = None
+    if block:
+        yield block.packed()
 
 
 def blocks(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """block, docs (packed), features, counts: one row for every few MB of texts."""
+    """block, docs (packed), features, counts: one row for every BLOCK bytes of texts, as far as a task has them."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return arrow_map(rows, partial(_blocks, letter_table(), longest), "block long, docs binary, features array<string>, counts array<long>")
+    return rows.mapInArrow(partial(_blocks, letter_table(), longest), "block long, docs binary, features array<string>, counts array<long>")
 
 
 def _unpacked(raw: bytes) -> tuple[np.ndarray, ...]:
