@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions.urls import bare_host
-from auditlake.operators import platform, predicates
+from auditlake.operators import checks, places, platform, predicates
 from auditlake.operators.facts import prepared
 
 _GENERATORS = list(dict.fromkeys(x for *_, signals in platform.rules() for _, places in signals for place, x in places if place == "generator"))
@@ -114,3 +114,105 @@ ORACLES = {
     "platform_gates": f"WITH {_SITE} "
     + " UNION ALL ".join(f"SELECT site, '{i}' AS check_id, '{'does not apply to ' if only else 'normal on '}' || label AS reason FROM st WHERE present IS NOT NULL AND list_has_any(present, [{', '.join(map(_q, names))}]) <> {only}" for i, (names, only) in predicates.SELECTORS.items()),
 }
+
+
+#: Faulty markup that stands at the beginning of a page's body, and what replaces something else in a page.
+FAULTS = [
+    "<title>two</title>", '<meta name="description" content="a">', "<meta name='description' content='a'><META NAME=\"description\" x>", '<link rel="canonical" href="/x">', "<link href=a rel='canonical'><link rel='canonical' href=b>", '<meta name="robots" content="noindex"><meta name="robots">',
+    '<meta name="viewport" content="x"><meta name="viewport">', "<h1>more\nlines</h1><h2>t</h2>", "<base href='a'><base href='b'><noscript>n</noscript>", "<map name=m>", "<object data=x>", "<img src=a><img alt='x' src=b>", '<img src="http://a.b/c.jpg" alt="Word" width=1>', f"<img alt='{'long ' * 25}' src='a.gif'>",
+    '<img data-nimg="fill" sizes=1><img data-nimg="fill">', '<img src="/_next/image?x"><img src="/_NEXT/image?x">', '<script src=""></script>', '<a href="">x</a><a href="#">y</a>', "<a onclick=go href='http://localhost:1/'>x</a>", '<a href="a b" rel="x nofollow">x</a>', "<a href='q'> \n </a><a rel='sponsored'>s</a>",
+    '<meta property="og:url" content="u"><meta property="og:image" content="i">', "<meta name='twitter:description' content='d'>", '<p style="x">é😀 y</p><table></table>', "Warning: it broke in /a.php on line 3", "Lorem  ipsum dolor", "<meta http-equiv=refresh content=1>", '<form action="http://x.y/"><input type="password"></form>',
+    '<link rel=x href="http://a.b/c.css"><script src="http://a.b/c.js"></script>', "<script async src=a></script><script src=b></script>", "<link href='https://fonts.googleapis.com/css'>", '<i a="http://www.w3.org/x" b="http://schema.org/y" c=\'http://ogp.me/z\'></i>', "<script>self.__next_f . push([1])</script>",
+    '<script id="__NEXT_DATA__" type=x>{}</script><template id="B:1"></template>', '<div class=x id="root"> </div>', "GTM-ABCDEF1 and GTM-2", "</html> tail </HTML> after it", "<html lang=x><head><body></head></body></head></body></html>",
+]
+
+
+def faulty(pages: DataFrame) -> DataFrame:
+    """page_id, html: pages with a fault in the body of each; one of five without its doctype, one of seven without its head's start tag, one of 13 with something after its end, one of three by lines."""
+    i = F.col("page_id")
+    html = F.replace("html", F.lit("<body>"), F.concat(F.lit("<body>"), F.get(F.array(*map(F.lit, FAULTS)), (i % len(FAULTS)).cast("int"))))
+    html = F.when(i % 5 == 2, F.replace(html, F.lit("<!DOCTYPE html>"), F.lit(""))).otherwise(html)
+    html = F.when(i % 7 == 3, F.replace(html, F.lit("<head>"), F.lit("x <!doctype y>"))).otherwise(html)
+    html = F.when(i % 13 == 6, F.concat(html, F.lit(" tail of it"))).otherwise(html)
+    html = F.when(i % 3 == 1, F.replace(html, F.lit("><"), F.lit(">\n<"))).otherwise(html)
+    return pages.select("page_id", html.alias("html"))
+
+
+def finding_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place that a finding could have on each page."""
+    return places.finding_places(faulty(_pages(spark, sf_dir)))
+
+
+def finding_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = faulty(_pages(spark, sf_dir))
+    return places.finding_lines(rows, places.finding_places(rows))
+
+
+def finding_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines around the findings of the checks on markup, on pages as they are."""
+    rows = _pages(spark, sf_dir)
+    found = checks.evaluate(rows, checks.markup_checks())
+    return places.finding_snippets(rows, places.finding_places(rows, found.select("page_id", "check_id"))).withColumn("lines", F.array_join("lines", "\n"))
+
+
+def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return places.source_lines(faulty(_pages(spark, sf_dir)))
+
+
+def _units(s: str) -> str:
+    """UTF-16 units: characters, and one more for each beyond U+FFFF."""
+    return f"(length({s}) + length(regexp_replace({s}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))"
+
+
+#: Patterns that look ahead, as tags that have or lack something else.
+_LACKS = {
+    "image without alt": (r"<img\b[^>]*>", r"NOT regexp_matches(x, '(?i)\salt\s*=')"),
+    "image without width": (r"<img\b[^>]*>", r"NOT regexp_matches(x, '(?i)\swidth\s*=')"),
+    "image that fills": (r"<img[^>]*>", r"""regexp_matches(x, '(?i)data-nimg=["'']fill["'']') AND NOT regexp_matches(x, '(?i)\ssizes=')"""),
+    "plain image": (r"<img\b[^>]*>", "NOT regexp_matches(x, '(?i)data-nimg') AND NOT contains(x, '/_next/image?')"),
+    "blocking script": (r"<script[^>]+src=[^>]*>", r"NOT regexp_matches(x, '(?i)\b(?:async|defer)\b')"),
+}
+
+
+def _place_sql(name: str) -> str:
+    """The text of an element's match and the characters before it."""
+    if " else " in name:
+        one, two = name.split(" else ")
+        return f"coalesce({_place_sql(one)}, {_place_sql(two)})"
+    n = 2 if name.endswith(" 2") else 1
+    element = name.removesuffix(" 2")
+    pattern, keep = _LACKS.get(element, (places.ELEMENTS[element], ""))
+    all_ = f"regexp_extract_all(html, {_q('(?i)' + pattern)})"
+    all_ = f"list_filter({all_}, lambda x: {keep})" if keep else all_
+    if n == 1:
+        return f"(SELECT CASE WHEN m IS NOT NULL THEN {{'at': instr(html, m) - 1, 'm': m}} END FROM (SELECT {all_}[1] AS m))"
+    return f"(SELECT CASE WHEN b IS NOT NULL THEN {{'at': instr(html, a) + length(a) - 1 + instr(substring(html, instr(html, a) + length(a)), b) - 1, 'm': b}} END FROM (SELECT l[1] AS a, l[2] AS b FROM (SELECT {all_} AS l)))"
+
+
+_WHOLE_SQL = {
+    "no-doctype": "(0, least(60, n))", "html-tag-missing": "(0, least(80, n))", "html-close-missing": "(greatest(0, n - 120), 120)", "body-close-missing": "(greatest(0, n - 120), 120)",
+    "content-before-doctype": "(0, greatest(1, instr(lower(html), '<!doctype') - 1))",
+    "content-after-html": f"(CASE WHEN contains(lower(html), '</html>') THEN n - {_units('list_last(string_split(lower(html), $$</html>$$))')} END, least(120, {_units('list_last(string_split(lower(html), $$</html>$$))')}))",
+    "gtm-in-body": f"(CASE WHEN instr(lower(html), '<body') > 0 AND contains(substring(html, instr(lower(html), '<body')), 'GTM-') THEN {_units('substring(html, 1, instr(lower(html), $$<body$$) - 1)')} + {_units('string_split(substring(html, instr(lower(html), $$<body$$)), $$GTM-$$)[1]')} END, 14)",
+}
+_FAULTY = f"""
+fl AS (SELECT [{', '.join(map(_q, FAULTS))}] AS faults),
+f0 AS (SELECT page_id, replace(html, '<body>', '<body>' || faults[page_id % {len(FAULTS)} + 1]) AS html FROM pages, fl),
+f1 AS (SELECT page_id, CASE WHEN page_id % 5 = 2 THEN replace(html, '<!DOCTYPE html>', '') ELSE html END AS html FROM f0),
+f2 AS (SELECT page_id, CASE WHEN page_id % 7 = 3 THEN replace(html, '<head>', 'x <!doctype y>') ELSE html END AS html FROM f1),
+f3 AS (SELECT page_id, CASE WHEN page_id % 13 = 6 THEN html || ' tail of it' ELSE html END AS html FROM f2),
+f AS MATERIALIZED (SELECT *, {_units('html')} AS n FROM (SELECT page_id, CASE WHEN page_id % 3 = 1 THEN replace(html, '><', '>' || chr(10) || '<') ELSE html END AS html FROM f3) WHERE html <> '')"""
+_PLACES_SQL = (
+    f"WITH {_FAULTY}, pl AS MATERIALIZED ("
+    + " UNION ALL ".join(f"SELECT page_id, html, n, unnest([{', '.join(map(_q, ids.split()))}]) AS check_id, {_units('substring(html, 1, p.at)')} AS o, {_units('p.m')} AS l, {_q(name.removesuffix(' 2'))} AS label FROM (SELECT *, {_place_sql(name)} AS p FROM f) WHERE p IS NOT NULL" for name, ids in places.AT.items())
+    + "".join(f" UNION ALL SELECT page_id, html, n, '{i}', p[1], p[2], 'document' FROM (SELECT *, {e} AS p FROM f) WHERE p[1] IS NOT NULL" for i, e in _WHOLE_SQL.items())
+    + "), ok AS (SELECT * FROM pl WHERE o >= 0 AND o < n)"
+)
+# places begin after whole characters; those beyond U+FFFF before a place are two units
+_BEFORE = "list_first(list_filter(range(greatest(0, o - 40), o + 1), lambda k: {} = o))".format(_units("substring(html, 1, k)"))
+QUERIES |= {f.__name__: f for f in (finding_places, finding_lines, finding_snippets, source_lines)}
+ORACLES |= {
+    "finding_places": f"{_PLACES_SQL} SELECT page_id, check_id, CAST(o AS INTEGER) AS offset, CAST(greatest(1, least(2000, l)) AS INTEGER) AS length, label FROM ok",
+    "finding_lines": f"{_PLACES_SQL}, b AS (SELECT page_id, check_id, string_split(substring(html, 1, {_BEFORE}), chr(10)) AS s FROM ok) SELECT page_id, check_id, CAST(len(s) AS BIGINT) AS line, {_units('list_last(s)')} + 1 AS column FROM b",
+    "source_lines": f"WITH {_FAULTY} SELECT page_id, n AS units, CAST(len(string_split(html, chr(10))) AS BIGINT) AS lines, n >= 2000 AND len(string_split(html, chr(10))) - 1 <= n / 200.0 AS flat FROM f",
+}
