@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tempfile import mkdtemp
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -81,3 +81,19 @@ def shared(keyed: DataFrame) -> DataFrame:
     hashed = keyed.withColumn("h", F.xxhash64("k"))
     sizes = hashed.groupBy("kind", "h", "k").agg(F.count("*").alias("group_size")).where("group_size > 1")
     return hashed.join(sizes, ["kind", "h", "k"]).select("page_id", "kind", "group_size")
+
+
+#: Fixed value: nodes that a picture of the link graph has at most.
+PICTURED = 300
+
+
+def top_graph(nodes: DataFrame, links: DataFrame, most: int = PICTURED) -> DataFrame:
+    """The links among the `most` nodes of highest rank, each once and none to itself: from_at, to_at (places by rank, from 0), src, dst.
+
+    nodes: node, rank; links: src, dst.  Equal ranks go by name.  The chosen nodes are broadcast, so links are
+    read once and only those with both ends chosen are shuffled, to be told apart.
+    """
+    top = nodes.select("node", "rank").orderBy(F.desc("rank"), "node").limit(most)
+    top = F.broadcast(top.select("node", (F.row_number().over(Window.orderBy(F.desc("rank"), "node")) - 1).alias("at")))  # `most` rows
+    ends = links.where("src <> dst").join(top.select(F.col("node").alias("src"), F.col("at").alias("from_at")), "src").join(top.select(F.col("node").alias("dst"), F.col("at").alias("to_at")), "dst")
+    return ends.select("from_at", "to_at", "src", "dst").distinct()

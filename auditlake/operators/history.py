@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditlake.operators import slots
+
 
 def running_number(rows: DataFrame, group: list[str], slot: Column, *order: str) -> DataFrame:
     """rows with n, the running number of a row in its group by (slot, order), in two levels.
@@ -30,16 +32,22 @@ def quota_ledger(calls: DataFrame, limit: int) -> DataFrame:
 
 def uptime_transitions(polls: DataFrame) -> DataFrame:
     """polls (site, at, id, ok) with transition: none, went-down, still-down or recovered.  Null ok counts as down."""
-    ok = F.coalesce("ok", F.lit(False))
-    before = F.coalesce(F.lag(ok).over(Window.partitionBy("site").orderBy("at", "id")), F.lit(True))
-    return polls.withColumn("transition", F.when(ok & before, "none").when(ok, "recovered").when(before, "went-down").otherwise("still-down"))
+    rows = slots.previous(polls, ["site"], F.date_trunc("day", "at"), ["at", "id"], F.coalesce("ok", F.lit(False)), "_was")
+    ok, before = F.coalesce("ok", F.lit(False)), F.coalesce("_was.value", F.lit(True))
+    return rows.withColumn("transition", F.when(ok & before, "none").when(ok, "recovered").when(before, "went-down").otherwise("still-down")).drop("_was")
 
 
 def content_changes(polls: DataFrame) -> DataFrame:
     """The polls (site, at, id, body_hash) whose body differs from the one before of the site; null equals null."""
-    before = Window.partitionBy("site").orderBy("at", "id")
-    rows = polls.withColumns({"previous": F.lag("body_hash").over(before), "_n": F.row_number().over(before)})
-    return rows.where((F.col("_n") > 1) & ~F.col("previous").eqNullSafe(F.col("body_hash"))).drop("_n")
+    rows = slots.previous(polls, ["site"], F.date_trunc("day", "at"), ["at", "id"], F.col("body_hash"), "_was").where("_was is not null")
+    return rows.withColumn("previous", F.col("_was.value")).drop("_was").where(~F.col("previous").eqNullSafe(F.col("body_hash")))
+
+
+def incidents(polls: DataFrame) -> DataFrame:
+    """site, island, started_at, last_at, failure_count of every run of polls (site, at, id, bad) that are bad: the runs are told apart by how many good polls came before."""
+    good = F.when(F.col("bad"), 0).otherwise(1)
+    runs = slots.running_sum(polls, ["site"], F.date_trunc("day", "at"), ["at", "id"], good, "island").where("bad")
+    return runs.groupBy("site", "island").agg(F.min("at").alias("started_at"), F.max("at").alias("last_at"), F.count("*").alias("failure_count"))
 
 
 def rank_kpis(latest: DataFrame) -> DataFrame:

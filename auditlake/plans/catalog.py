@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.urls import bare_host
 from auditlake.operators import checks, crosspage, graph, history, locations, scoring, sitechecks
-from auditlake.plans import evidence, sql, standins
+from auditlake.plans import evidence, ledgers, sql, standins
 from auditlake.sources.html import extract_pages
 
 
@@ -127,17 +127,17 @@ def uptime(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of consecutive slow polls (value over 50) of a site: gaps and islands by a running count of good polls."""
-    e = _t(spark, sf_dir, "events").withColumn("bad", F.coalesce(F.col("value") > 50, F.lit(True)))
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    runs = e.withColumn("island", F.sum(F.when(F.col("bad"), 0).otherwise(1)).over(order)).where("bad")
-    return runs.groupBy("user_id", "island").agg(F.min("ts").alias("started_at"), F.max("ts").alias("last_at"), F.count("*").alias("failure_count"))
+    e = _t(spark, sf_dir, "events").select(F.col("user_id").alias("site"), F.col("ts").alias("at"), F.col("event_id").alias("id"), F.coalesce(F.col("value") > 50, F.lit(True)).alias("bad"))
+    return history.incidents(e).withColumnRenamed("site", "user_id")
 
 
 def latest_and_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest and previous snapshot of every customer and the movement between them."""
+    # two rows a customer are kept before the shuffle, however many it has
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
-    o = _t(spark, sf_dir, "orders").withColumn("previous", F.lead("o_totalprice").over(w)).withColumn("rn", F.row_number().over(w)).where("rn = 1")
-    return o.select("o_custkey", F.col("o_totalprice").alias("latest"), "previous", F.round(F.col("previous") - F.col("o_totalprice"), 4).alias("movement"))
+    o = _t(spark, sf_dir, "orders").select("o_custkey", "o_totalprice", F.row_number().over(w).alias("rn")).where("rn <= 2")
+    o = o.groupBy("o_custkey").agg(F.max(F.when(F.col("rn") == 1, F.col("o_totalprice"))).alias("latest"), F.max(F.when(F.col("rn") == 2, F.col("o_totalprice"))).alias("previous"))
+    return o.withColumn("movement", F.round(F.col("previous") - F.col("latest"), 4))
 
 
 def first_and_last(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,5 +293,5 @@ UNION ALL SELECT page_id, 'http-link-w3-org', 'notice' FROM m WHERE w3 > 0 UNION
     "record_pillars": sql.pillars(scoring.PILLARS),
 }
 
-QUERIES |= evidence.QUERIES
-ORACLES |= evidence.ORACLES
+QUERIES |= evidence.QUERIES | ledgers.QUERIES
+ORACLES |= evidence.ORACLES | ledgers.ORACLES
