@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import codec
-from .common import chunks_for, shared_dir, table, worker_store
+from .common import chunks_for, shared_dir, slices, table, worker_store
 
 END, FILE_IDS, SLICE = 2, 12_000_000, 16 << 20
 
@@ -152,37 +152,39 @@ def _write(path: str | None, end: int):
             data = pack_file(docs, lengths, np.concatenate(ids) if ids else np.zeros(0, np.uint32))
             return pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([part], pa.int64()), pa.array([len(docs)], pa.int64()), pa.array([held], pa.int64()), pa.array([data], pa.binary())], ["file", "part", "n_docs", "n_ids", "payload"])
 
-        def batches_of(names, texts):
-            """Slices of about SLICE characters."""
-            at, size = 0, 0
-            for i, t in enumerate(texts):
-                size += len(t)
-                if size >= SLICE:
-                    yield names[at : i + 1], texts[at : i + 1]
-                    at, size = i + 1, 0
-            if at < len(texts):
-                yield names[at:], texts[at:]
-
-        for batch in batches:
-            for names, texts in batches_of(batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]):
-                flat, counts = encode_texts(texts, path, end)
-                taken = begin = 0
-                for i, n in enumerate(counts.tolist()):
-                    if held and held + n > FILE_IDS:
-                        ids.append(flat[begin:taken])
-                        yield out()
-                        part, docs, lengths, ids, held, begin = part + 1, [], [], [], 0, taken
-                    docs.append(names[i])
-                    lengths.append(n)
-                    held, taken = held + n, taken + n
-                ids.append(flat[begin:taken])
+        def gathered():
+            """Names and texts of slices of the batches, about SLICE characters at a time."""
+            names, texts, size = [], [], 0
+            for whole in batches:
+                for batch in slices(whole):
+                    names += batch.column(0).to_pylist()
+                    texts += [t or "" for t in batch.column(1).to_pylist()]
+                    size += batch.nbytes
+                    if size >= SLICE:
+                        yield names, texts
+                        names, texts, size = [], [], 0
+            if names:
+                yield names, texts
+
+        for names, texts in gathered():
+            flat, counts = encode_texts(texts, path, end)
+            taken = begin = 0
+            for i, n in enumerate(counts.tolist()):
+                if held and held + n > FILE_IDS:
+                    ids.append(flat[begin:taken])
+                    yield out()
+                    part, docs, lengths, ids, held, begin = part + 1, [], [], [], 0, taken
+                docs.append(names[i])
+                lengths.append(n)
+                held, taken = held + n, taken + n
+            ids.append(flat[begin:taken])
         if docs:
             yield out()
 
     return run
 
 
-def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end: int = END, mb: int = 6) -> None:
+def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end: int = END, mb: int = 14) -> None:
     """Write the files of docs (doc_id, text) in ascending doc_id as the Parquet table at folder."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange(chunks_for(rows, mb), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
@@ -202,8 +204,11 @@ def _read(batches):
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files; checksums are verified."""
     files = spark.read.parquet(folder)
-    order = Window.orderBy("file", "part")  # a row a file: a few hundred bytes for millions of ids
-    starts = files.select("file", "part", "n_ids").withColumn("first", F.coalesce(F.sum("n_ids").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # a row a file, summed up in ranges of files, and the ranges' sums before them
+    sizes = files.select("file", "part", "n_ids").withColumn("range", F.expr("file div 1024"))
+    before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = sizes.groupBy("range").agg(F.sum("n_ids").alias("n_ids")).select("range", before(Window.orderBy("range")).alias("base"))
+    starts = sizes.withColumn("own", before(Window.partitionBy("range").orderBy("file", "part"))).join(ranges, "range").select("file", "part", (F.col("base") + F.col("own")).alias("first"))
     found = files.select("file", "part", "payload").mapInArrow(_read, "file long, part long, doc_id long, at long, n_tokens long, ids_crc32 long")
     return found.join(starts, ["file", "part"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
