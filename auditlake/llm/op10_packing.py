@@ -7,7 +7,8 @@ longer than the budget is a batch by itself, which pads nothing; all of these sh
 the buckets, named by the longest, and stay out of the histogram.  Inside a bucket, documents in
 seeded order are cut into batches of budget // boundary rows: the rank is a count over
 65,536 hash ranges plus the place inside a range, so a bucket that holds a third of all rows
-is not sorted in one task, and only the last batch of a bucket can be short.
+is not sorted in one task, and only the last batch of a bucket can be short.  Rows of one id and
+length (all that have no id, say) have one hash; where they fill a range, it is dealt into parts.
 
 Length: number of words (or any column).  Defined results: null text has length 0 and sits
 in the first bucket; a null doc_id is as good as another; equal and repeated rows each get a
@@ -22,9 +23,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table, word_count
+from .common import cut, small, table, word_count
 
 BUCKETS, BUDGET, SEED = 16, 65_536, 77
+#: Rows of one range of hashes that are put in order together; a range with more has rows of equal hash, and is dealt into parts.
+RANGE_ROWS = 1 << 19
 
 
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> list[int]:
@@ -72,7 +75,8 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS)
 def pack(docs: DataFrame, length=None, buckets: int = BUCKETS, budget: int = BUDGET, seed: int = SEED) -> DataFrame:
     """doc_id, length, bucket (its boundary), batch (number in the bucket), slot of every row; see the module."""
     rows = docs.select("doc_id", (word_count(F.col("text")) if length is None else length.cast("long")).alias("length"))
-    rows = cut(rows.withColumn("length", F.coalesce("length", F.lit(0).cast("long"))).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "length")))
+    rows = rows.withColumn("length", F.coalesce("length", F.lit(0).cast("long"))).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "length"))
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
     up = F.greatest(F.lit(1).cast("long"), F.col("length"))
     longest = rows.agg(F.max(up)).first()[0]
     if longest is None:
@@ -82,9 +86,12 @@ def pack(docs: DataFrame, length=None, buckets: int = BUCKETS, budget: int = BUD
     bounds = boundaries(np.array([h[0] for h in histogram], np.int64), np.array([h[1] for h in histogram], np.int64), buckets - len(over)) + over
     bucket = F.element_at(F.filter(F.array(*(F.lit(b).cast("long") for b in bounds)), lambda b: b >= up), 1)
     rows = rows.withColumn("bucket", bucket).withColumn("range", F.shiftright("h", 48).cast("int"))
-    counts = rows.groupBy("bucket", "range").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("bucket").orderBy("range")) - F.col("n")).drop("n")
-    ranked = rows.join(before, ["bucket", "range"]).withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy("bucket", "range").orderBy("h", "doc_id")) - 1)
+    # as many rows of one id and length as a range should hold at most are dealt out by their place in the input
+    full = rows.groupBy("bucket", "range").agg(F.count("*").alias("n")).where(F.col("n") > RANGE_ROWS).select("bucket", "range", F.ceil(F.col("n") / RANGE_ROWS).cast("int").alias("parts"))
+    rows = rows.join(small(cut(full)), ["bucket", "range"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")), F.lit(0)).cast("int"))
+    counts = rows.groupBy("bucket", "range", "part").agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("bucket").orderBy("range", "part")) - F.col("n")).drop("n")
+    ranked = rows.join(before, ["bucket", "range", "part"]).withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy("bucket", "range", "part").orderBy("h", "doc_id")) - 1)
     fit = F.greatest(F.lit(1).cast("long"), F.expr(f"{int(budget)} div bucket"))
     return ranked.withColumn("fit", fit).select("doc_id", "length", "bucket", F.expr("place div fit").alias("batch"), F.expr("place % fit").alias("slot"))
 

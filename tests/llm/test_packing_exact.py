@@ -38,3 +38,19 @@ def test_more_distinct_lengths_than_the_grid_had(spark):
     assert op10_packing.boundaries(lengths, np.ones(6), 3) == [2, 9_001, 40_001]
     got = op10_packing.pack(spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "doc_id long, n long"), length=F.col("n"), buckets=3).collect()
     assert sorted({x.bucket for x in got}) == [2, 9_001, 40_001]
+
+
+def test_rows_without_an_id_are_dealt_into_parts(spark, monkeypatch):
+    """Rows of one hash fill a range: their places are still each taken once, and every bucket's batches are full but the last."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(op10_packing, "RANGE_ROWS", 50)
+    docs = spark.range(900).select(F.when(F.col("id") % 3 == 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 2 == 0, "a b c").otherwise("d e").alias("text")).repartition(5)
+    rows = op10_packing.pack(docs, buckets=2, budget=30).collect()
+    assert len(rows) == 900
+    by = {}
+    for r in rows:
+        by.setdefault(r.bucket, []).append((r.batch, r.slot))
+    for bucket, places in by.items():
+        fit = 30 // bucket
+        assert sorted(places) == [(n // fit, n % fit) for n in range(len(places))]
