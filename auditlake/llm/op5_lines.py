@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, word_count
+from .common import cut, slices, table, word_count
 
 _GAPS = " \t\n\x0b\x0c\r"
 
@@ -72,8 +72,13 @@ def runs(found: set[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     return [tuple(x) for x in out]
 
 
-def _digests(batches):
+def _sliced(batches):
     for batch in batches:
+        yield from slices(batch)
+
+
+def _digests(batches):
+    for batch in _sliced(batches):
         rows = [(i, no, d) for i, t in zip(*(c.to_pylist() for c in batch.columns)) if i is not None and t for no, d in windows(t)]
         ids, nos, ds = zip(*rows) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int32()), pa.array(ds, pa.binary())], ["doc_id", "no", "digest"])
@@ -89,7 +94,7 @@ def _runs(batches):
 
 def _bodies(batches):
     """The lines asked for of every text, joined by newlines."""
-    for batch in batches:
+    for batch in _sliced(batches):
         rows = []
         for i, real, text, ask in zip(*(batch.column(c).to_pylist() for c in ("_id", "_real", "_t", "_ask"))):
             own = word_lines(text) if real and text else []
@@ -100,7 +105,7 @@ def _bodies(batches):
 
 
 def _rebuild(batches):
-    for batch in batches:
+    for batch in _sliced(batches):
         texts, lines, chunks = [], [], []
         for i, real, text, gone in zip(*(batch.column(c).to_pylist() for c in ("_id", "_real", "_t", "_gone"))):
             n_lines = n_chunks = 0
@@ -123,8 +128,8 @@ def _rebuild(batches):
 def _deduped(docs: DataFrame) -> DataFrame:
     """_doc (all columns of docs but text), _t (the shortened text), _lines and _chunks of every row."""
     rest = [c for c in docs.columns if c != "text"]
-    # never null, so that no join filters below the exchange and both read the same one
-    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))
+    # never null, so that no join filters below the exchange and both read the same one; rows without an id meet nothing and are spread
+    own = F.coalesce(F.col("doc_id").cast("long"), F.monotonically_increasing_id())
     base = docs.select(own.alias("_id"), F.col("doc_id").isNotNull().alias("_real"), F.col("text").alias("_t"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_doc")).repartition("_id")
     places = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_digests, "doc_id long, no int, digest binary")
     repeated = places.groupBy("digest").agg(F.min(F.struct("doc_id", "no")).alias("keep"), F.count("*").alias("n")).where("n > 1").drop("n")
