@@ -1,15 +1,21 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame functions only.
 
 Each rule is a per-document figure in thousandths; a document is rejected when the
-figure exceeds the cutoff of its stratum.  Cutoffs come from labelled holdout rows:
-for n good documents of a stratum of which k lie above a cutoff, the cutoff is
-admissible when the exact binomial tail P(Bin(n, a) <= k) is at most d, which is the
-same as the one-sided Clopper-Pearson upper bound at level d being at most a.  The
-allowed false rejection `risk` is shared over the rules of a stratum (union bound) and
-the error probability `delta` over all strata, rules and cutoffs tried (Bonferroni), so
-with probability 1 - delta no stratum loses more than `risk` of its good documents.
-Among admissible cutoffs the one with the largest surplus of bad over good rejections
-is taken, the higher one on ties; with no surplus the rule is off for the stratum.
+figure exceeds the cutoff of its stratum.  The cutoffs of all rules move along one path
+that is fixed beforehand (PATH): from none, one rule after another is lowered step by step
+to its floor, and each step rejects what the one before rejects and maybe more.  Labelled
+holdout rows say how far a stratum may go: of n good documents that pass the base rules, k
+are rejected at a step, and the step is admissible when the exact binomial tail
+P(Bin(n, risk) <= k) is at most delta / m, which is the same as the one-sided
+Clopper-Pearson upper bound at that level being at most risk.  As steps are tested in their
+fixed order and a stratum stops at the first one that fails, no correction over rules or steps
+is needed; the strata are corrected for by Bonferroni, over those that have labels enough to
+pass at all: the m largest, for the largest m of which each has
+log(delta / m) / log(1 - risk) good labels (149 for one stratum, 217 for four).  So with
+probability 1 - delta no stratum's rules reject more than `risk` of the good documents that the
+base rules let pass.
+Among admissible steps the one with the largest surplus of bad over good rejections is
+taken, the loosest on ties; with no surplus no rule is on in the stratum.
 
 Nulls: a null text has no words; a null stratum is a stratum of its own; labels with a
 null id or quality are passed over.  A text with no words has figures of 0 and fails the
@@ -21,7 +27,7 @@ them.  Without labels no cutoff is set; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ID_ROWS, WORD_GAP, cut, small, table
@@ -33,7 +39,8 @@ RULES = {
     "repeats": lambda: F.expr("1000 * n_repeat_words div greatest(n_words, 1)"),
     "short": lambda: F.expr("1000 * 50 div greatest(n_words, 1)"),
 }
-STEPS = (*range(0, 50, 5), *range(50, 200, 10), *range(200, 1001, 50))
+#: Cutoffs of the rules in the order of the path, from the loosest to the floor of each.
+PATH = {"symbols": (*range(1000, 200, -50), *range(200, 49, -10)), "dup_lines": (*range(1000, 200, -50), *range(200, 99, -10)), "repeats": (*range(1000, 200, -50), *range(200, 99, -10)), "short": tuple(range(1000, 499, -50))}
 NAMES = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -103,27 +110,43 @@ def binomial_cdf(n: Column, k: Column, p: float) -> Column:
     return F.exp(first) * rest
 
 
+def first_step() -> Column:
+    """The first step of the path (from 1) that rejects a row by its figures; null if none does."""
+    out, at = [], 1
+    for rule, cuts in PATH.items():
+        steps = F.array(*(F.struct(F.lit(c).alias("cut"), F.lit(at + i).alias("step")) for i, c in enumerate(cuts)))
+        out.append(F.get(F.filter(steps, lambda x: x["cut"] < RULES[rule]()), F.lit(0))["step"])
+        at += len(cuts)
+    return F.least(*out)
+
+
+def cut_at(step: Column, rule: str) -> Column:
+    """The cutoff of a rule at a step of the path; null where the path has not come to the rule."""
+    at = sum(len(PATH[r]) for r in list(PATH)[: list(PATH).index(rule)])
+    cuts = F.array(*map(F.lit, PATH[rule]))
+    return F.when(step > at, F.element_at(cuts, F.least(step - at, F.lit(len(PATH[rule]))).cast("int")))
+
+
 def calibrate(labelled: DataFrame, stratum: str = "stratum", risk: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """(stratum, cut_<rule>...) from rows with the figures, good (boolean) and the stratum; see the module.
+    """(stratum, cut_<rule>...) from rows with the figures, base_failed, good (boolean) and the stratum; see the module.
 
-    A histogram of each rule's figure over STEPS is all that is shuffled; it has as many
-    rows as strata x rules x steps.
+    A histogram of the step that rejects a row is all that is shuffled; it has as many rows as
+    strata x steps.
     """
-    each = risk / len(RULES)
-    steps = F.array(*map(F.lit, STEPS))
-    level = lambda x: F.size(F.filter(steps, lambda c: c < x))  # noqa: E731  cutoffs that the figure exceeds
-    rules = F.array(*(F.struct(F.lit(name).alias("rule"), level(rule()).alias("above")) for name, rule in RULES.items()))
-    counts = labelled.where("good is not null").select(F.col(stratum).alias("stratum"), "good", F.inline(rules))
-    counts = counts.groupBy("stratum", "rule", "above").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
-    curve = counts.groupBy("stratum", "rule").agg(F.sum("good").alias("n"), F.collect_list(F.struct("above", "good", "bad")).alias("h"))
-    over = lambda name: lambda c: F.aggregate(F.filter("h", lambda x: x["above"] > c), F.lit(0).cast("long"), lambda a, x: a + x[name])
-    tried = curve.select("stratum", "rule", "n", "h", F.posexplode(steps).alias("i", "step"))
-    tried = tried.withColumns({"k": over("good")(F.col("i")), "caught": over("bad")(F.col("i"))}).drop("h")
-    strata = counts.select("stratum").distinct().agg(F.count("*").alias("strata"))
-    tried = tried.where((F.col("k") < F.col("n") * each) & (F.col("caught") > F.col("k"))).join(F.broadcast(strata))
-    sure = tried.where(binomial_cdf(F.col("n"), F.col("k"), each) <= delta / (len(RULES) * len(STEPS)) / F.col("strata"))
-    best = sure.groupBy("stratum", "rule").agg(F.max_by("step", F.struct(F.col("caught") - F.col("k"), F.col("step"))).alias("cut"))
-    return best.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cut"))).alias(f"cut_{r}") for r in RULES))
+    steps = sum(map(len, PATH.values()))
+    counts = labelled.where("good is not null and not base_failed").select(F.col(stratum).alias("stratum"), "good", F.coalesce(first_step(), F.lit(steps + 1)).alias("first"))
+    counts = counts.groupBy("stratum", "first").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    curve = counts.groupBy("stratum").agg(F.sum("good").alias("n"), F.collect_list(F.struct("first", "good", "bad")).alias("h"))
+    upto = lambda name: F.aggregate(F.filter("h", lambda x: x["first"] <= F.col("step")), F.lit(0).cast("long"), lambda a, x: a + x[name])
+    tried = curve.select("stratum", "n", "h", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step")).withColumns({"k": upto("good"), "caught": upto("bad")}).drop("h")
+    # whom labels are enough for is settled by their number alone, so it costs no error
+    place = F.count("*").over(Window.orderBy(F.desc("n")).rangeBetween(Window.unboundedPreceding, 0))  # one row a stratum; equal ones share the last place
+    enough = curve.select("n").withColumn("place", place).where(F.col("n") >= F.log(delta / F.col("place")) / F.log(F.lit(1 - risk))).agg(F.max("place").alias("m"), F.min("n").alias("least"))
+    # k only rises along the path, so what is admissible is what the tests in order let pass
+    tried = tried.where((F.col("k") < F.col("n") * risk) & (F.col("caught") > F.col("k"))).join(F.broadcast(enough)).where(F.col("n") >= F.col("least"))
+    sure = tried.where(binomial_cdf(F.col("n"), F.col("k"), risk) <= delta / F.col("m"))
+    best = sure.groupBy("stratum").agg(F.max_by("step", F.struct(F.col("caught") - F.col("k"), -F.col("step"))).alias("step"))
+    return best.select("stratum", *(cut_at(F.col("step"), r).alias(f"cut_{r}") for r in RULES))
 
 
 def verdict(rows: DataFrame, cuts: DataFrame, stratum: str = "stratum") -> DataFrame:
