@@ -73,7 +73,12 @@ def _intervals(cum, freq, s, c1, c2, b, d):
 
 def _histogram(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids and their shares of 2**18, each 1 at least."""
-    found, counts = np.unique(ids, return_counts=True)
+    if ids.max() < 1 << 24:  # a count for each id, without a sort
+        all_ = np.bincount(ids)
+        found = np.flatnonzero(all_)
+        counts = all_[found]
+    else:
+        found, counts = np.unique(ids, return_counts=True)
     if len(found) >= 1 << _F:
         raise ValueError("too many distinct ids for one file")
     share = np.maximum(1, counts * ((1 << _F) - len(found)) // len(ids))
@@ -89,12 +94,16 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
         return MAGIC + struct.pack("<QII", 0, block, 0)
     found, share = _histogram(ids)
     freq, cum = share.astype(np.int64), np.concatenate(([0], np.cumsum(share)[:-1])).astype(np.int64)
-    dense = np.searchsorted(found, ids).astype(np.uint32)
+    if found[-1] < 1 << 24:
+        place = np.zeros(int(found[-1]) + 1, np.uint32)
+        place[found] = np.arange(len(found), dtype=np.uint32)
+        number = lambda x: place[x]
+    else:
+        number = lambda x: np.searchsorted(found, x).astype(np.uint32)
     grid = np.zeros((block, lanes), np.uint32)
-    whole = n // block
-    grid[:, :whole] = dense[: whole * block].reshape(whole, block).T
-    if whole < lanes:
-        grid[: n - whole * block, whole] = dense[whole * block :]
+    for i in range(lanes):  # a block at a time, so nothing of the file's length is made beside the grid
+        own = ids[i * block : (i + 1) * block]
+        grid[: len(own), i] = number(own)
     low, span, words = np.zeros(lanes, U64), np.full(lanes, 2**64 - 1, U64), np.zeros(lanes, np.int64)
     out = np.zeros((lanes, block + 2), np.uint32)
     model, lane = _Model(lanes), np.arange(lanes)

@@ -149,7 +149,9 @@ def _write(path: str | None, end: int):
         file, part, docs, lengths, ids, held = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def out():
-            data = pack_file(docs, lengths, np.concatenate(ids) if ids else np.zeros(0, np.uint32))
+            whole = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+            ids.clear()
+            data = pack_file(docs, lengths, whole)
             return pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([part], pa.int64()), pa.array([len(docs)], pa.int64()), pa.array([held], pa.int64()), pa.array([data], pa.binary())], ["file", "part", "n_docs", "n_ids", "payload"])
 
         def gathered():
@@ -184,7 +186,7 @@ def _write(path: str | None, end: int):
     return run
 
 
-def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end: int = END, mb: int = 14) -> None:
+def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end: int = END, mb: int = 9) -> None:
     """Write the files of docs (doc_id, text) in ascending doc_id as the Parquet table at folder."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange(chunks_for(rows, mb), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
