@@ -16,7 +16,7 @@ from auditlake.operators.facts import prepared
 SEVERITY = {"blocker": 120.0, "critical": 25.0, "warning": 7.0, "opportunity": 2.0, "notice": 0.5}
 #: Categories in the order of a report.
 CATEGORIES = (
-    "indexability", "content-relevance", "links", "duplicate-content", "security", "internal", "page-speed", "mobile-friendly", "redirects", "social-media", "code-validation", "xml-sitemaps", "localization", "search-traffic", "nextjs",
+    "nextjs", "links", "indexability", "content-relevance", "duplicate-content", "security", "internal", "page-speed", "redirects", "social-media", "code-validation", "search-traffic", "mobile-friendly", "xml-sitemaps", "localization",
 )
 #: Fixed value: pages named for a check at most; the count beside them is whole.
 MOST_NAMED = 500
@@ -71,7 +71,9 @@ def markup_checks() -> list[Check]:
 
 def ready(pages: DataFrame) -> DataFrame:
     """pages with all that checks read, unless they have it already (rows with traffic have what the checks on traffic read)."""
-    return pages if {"strategy", "_known"} & set(pages.columns) else prepared(pages)
+    if not {"strategy", "_known"} & set(pages.columns):
+        return prepared(pages)
+    return pages if "crawl_order" in pages.columns else pages.withColumn("crawl_order", F.col("page_id").cast("long"))
 
 
 def evaluate(pages: DataFrame, checks: list[Check], keep: tuple[str, ...] = ("page_id",)) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Pages come with page_id, url, page_key and, as far as known, status, noindex, disallowed,
 in_sitemap, is_orphan, canonical_key, title, titles, h1s, description, ttfb_ms, timed_out,
-client_shell (the markup has no content before its scripts ran), poor_lcp, gtm_codes and
-html; a column that is missing or null is unknown, and what is unknown fails no check.
+client_shell (the markup has no content before its scripts ran), rendered, text_units, poor_lcp,
+gtm_codes, is_html and html; a column that is missing or null is unknown, and what is unknown fails
+no check.  A page counts as HTML unless it is known not to be; only HTML pages are in scope.
 Both joins are on grouped sides, so no page is multiplied; Catalyst picks how to join them.
 """
 
@@ -19,7 +20,7 @@ from auditlake.operators.history import top_decile
 #: Columns of a page that these checks use and that may be missing.
 KNOWN = {
     "status": "int", "noindex": "boolean", "disallowed": "boolean", "in_sitemap": "boolean", "is_orphan": "boolean", "canonical_key": "string", "title": "string", "titles": "int",
-    "h1s": "int", "description": "string", "ttfb_ms": "int", "timed_out": "boolean", "client_shell": "boolean", "poor_lcp": "boolean", "gtm_codes": "array<string>", "html": "string",
+    "h1s": "int", "description": "string", "ttfb_ms": "int", "timed_out": "boolean", "client_shell": "boolean", "poor_lcp": "boolean", "gtm_codes": "array<string>", "html": "string", "is_html": "boolean", "rendered": "boolean", "text_units": "int",
 }
 #: Fixed value: marks of an analytics tag in the markup.
 TAG = r"(?i)gtag\s*\(|googletagmanager\.com|google-analytics\.com|G-[A-Z0-9]{8,}"
@@ -51,7 +52,7 @@ def with_traffic(pages: DataFrame, search: DataFrame | None = None, analytics: D
     for name, kind in KNOWN.items():
         if name not in pages.columns:
             pages = pages.withColumn(name, F.lit(None).cast(kind))
-    pages = pages.withColumn("_path", analytics_path(F.col("url"))).withColumn("_known", F.lit(search is not None))
+    pages = pages.withColumn("_path", analytics_path(F.col("url"))).withColumns({"_known": F.lit(search is not None), "_measured": F.lit(analytics is not None), "_html": F.coalesce("is_html", F.lit(True))})
     if search is None:
         pages = pages.withColumn("search", F.expr("cast(null as struct<clicks:bigint,impressions:bigint,ctr:double,position:double>)"))
     else:
@@ -79,27 +80,30 @@ def traffic_checks() -> list[Check]:
     clicks, shown, place = (F.col(f"search.{c}") for c in ("clicks", "impressions", "position"))
     status, sessions = F.col("status"), F.col("analytics.sessions")
     fine, seen, clicked = status == 200, shown >= 1, clicks >= 1
-    c = lambda i, s, f: Check(i, "search-traffic", s, f)
-    stuck = (status >= 400) | _yes(F.col("timed_out")) | _yes(F.col("client_shell")) | _yes(fine & (F.col("titles") == 0))
+    c = lambda i, s, scope, f: Check(i, "search-traffic", s, f, f"_html and {scope}")
+    empty = _yes(F.col("rendered") & (F.col("text_units") < 200)) | _yes(~_yes(F.col("rendered")) & F.col("client_shell"))
+    stuck = (status >= 400) | _yes(F.col("timed_out")) | empty | _yes(fine & (F.col("titles") == 0))
     gaps = _blank("title") | _yes(F.col("h1s") == 0) | F.col("canonical_key").isNull() | _blank("description") | _yes(F.col("ttfb_ms") > 800)
     tagged = _yes(F.size("gtm_codes") > 0) | _yes(F.col("html").rlike(TAG))
+    found, open_, live = "search is not null", "_known", "_measured and status = 200"
+    index = "not coalesce(noindex, false)"
     return [
-        c("page-zero-impressions", "notice", F.col("_known") & fine & ~_yes(F.col("noindex")) & ~_yes(F.col("disallowed")) & (F.coalesce(shown, F.lit(0)) == 0)),
-        c("page-has-clicks", "notice", clicks > 0),
-        c("non-indexable-with-impressions", "critical", seen & (_yes(F.col("noindex")) | (status != 200))),
-        c("blocked-with-impressions", "critical", seen & F.col("disallowed")),
-        c("4xx-with-clicks", "blocker", clicked & status.between(400, 499)),
-        c("3xx-with-clicks", "warning", clicked & status.between(300, 399)),
-        c("canonicalized-with-clicks", "warning", clicked & (F.col("canonical_key") != F.col("page_key"))),
-        c("not-in-sitemap-with-impressions", "warning", seen & fine & ~_yes(F.col("noindex")) & ~F.col("in_sitemap")),
-        c("orphan-with-impressions", "critical", seen & F.col("is_orphan")),
-        c("high-impressions-missing-title", "critical", (shown >= 100) & _blank("title")),
-        c("high-impressions-low-ctr", "opportunity", (shown >= 200) & (place > 0) & (place <= 10) & (clicks / shown < 0.02)),
-        c("traffic.ga4.tracking-tag-detected", "critical", fine & (sessions >= 1) & ~tagged),
-        c("traffic.ga4.high-traffic-with-blocker", "blocker", F.col("top_sessions") & (sessions >= 10) & stuck),
-        c("traffic.ga4.high-bounce-rate", "opportunity", fine & (sessions >= 20) & (F.col("analytics.bounce_rate") > 0.75) & (_yes(F.col("ttfb_ms") > 800) | _yes(F.col("poor_lcp")))),
-        c("traffic.ga4.orphaned-with-traffic", "warning", fine & (sessions >= 1) & F.col("is_orphan")),
-        c("traffic.ga4.converting-page-with-defects", "critical", fine & (F.col("analytics.conversions") >= 1) & gaps),
+        c("page-zero-impressions", "notice", f"_known and status = 200 and {index} and not coalesce(disallowed, false)", F.coalesce(shown, F.lit(0)) == 0),
+        c("page-has-clicks", "notice", found, clicks > 0),
+        c("non-indexable-with-impressions", "critical", found, seen & (_yes(F.col("noindex")) | (status != 200))),
+        c("blocked-with-impressions", "critical", found, seen & F.col("disallowed")),
+        c("4xx-with-clicks", "blocker", open_, clicked & status.between(400, 499)),
+        c("3xx-with-clicks", "warning", open_, clicked & status.between(300, 399)),
+        c("canonicalized-with-clicks", "warning", found, clicked & (F.col("canonical_key") != F.col("page_key"))),
+        c("not-in-sitemap-with-impressions", "warning", f"{found} and status = 200 and {index}", seen & ~F.col("in_sitemap")),
+        c("orphan-with-impressions", "critical", found, seen & F.col("is_orphan")),
+        c("high-impressions-missing-title", "critical", found, (shown >= 100) & _blank("title")),
+        c("high-impressions-low-ctr", "opportunity", found, (shown >= 200) & (place > 0) & (place <= 10) & (clicks / shown < 0.02)),
+        c("traffic.ga4.tracking-tag-detected", "critical", live, (sessions >= 1) & ~tagged),
+        c("traffic.ga4.high-traffic-with-blocker", "blocker", "_measured", F.col("top_sessions") & (sessions >= 10) & stuck),
+        c("traffic.ga4.high-bounce-rate", "opportunity", live, (sessions >= 20) & (F.col("analytics.bounce_rate") > 0.75) & (_yes(F.col("ttfb_ms") > 800) | _yes(F.col("poor_lcp")))),
+        c("traffic.ga4.orphaned-with-traffic", "warning", live, (sessions >= 1) & F.col("is_orphan")),
+        c("traffic.ga4.converting-page-with-defects", "critical", live, (F.col("analytics.conversions") >= 1) & gaps),
     ]
 
 

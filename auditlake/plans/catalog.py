@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.urls import bare_host
 from auditlake.operators import checks, crosspage, graph, history, locations, scoring, sitechecks
-from auditlake.plans import evidence, insights, ledgers, sql, standins
+from auditlake.plans import evidence, insights, ledgers, reports, sql, standins
 from auditlake.sources.html import extract_pages
 
 
@@ -262,7 +262,7 @@ UNION ALL SELECT page_id, 'query-paginated-parameters', 'notice' FROM s WHERE ""
     + " UNION ALL SELECT page_id, 'http-urls', 'critical' FROM s WHERE starts_with(url, 'http://')",
     "markup_findings": f"""
 WITH m AS (SELECT page_id, octet_length(CAST(html AS BLOB)) AS size, {_COUNTS}, len(list_distinct(regexp_extract_all(html, 'GTM-[A-Z0-9]{{4,10}}'))) AS codes,
-  len(regexp_extract_all(html, '(?i)(?:src|href)=["'']http://(?:www\\.)?w3\\.org')) AS w3, len(regexp_extract_all(html, '(?i)(?:src|href)=["'']http://(?:www\\.)?schema\\.org')) AS so FROM (SELECT page_id, html, encode(html) AS b FROM pages))
+  len(list_filter(refs, lambda x: contains(x, 'www.w3.org'))) AS w3, len(list_filter(refs, lambda x: contains(x, 'schema.org'))) AS so FROM (SELECT page_id, html, encode(html) AS b, regexp_extract_all(html, '(?i)\\b(?:src|href)\\s*=\\s*["''](http://[^"'']+)["'']', 1) AS refs FROM pages))
 {_MARKUP} UNION ALL SELECT page_id, 'page-code-under-500', 'critical' FROM m WHERE size < 500
 UNION ALL SELECT page_id, 'page-size-over-1-5mb', 'warning' FROM m WHERE size > 1572864 AND size <= 2097152
 UNION ALL SELECT page_id, 'page-size-over-2mb', 'critical' FROM m WHERE size > 2097152
@@ -293,5 +293,5 @@ UNION ALL SELECT page_id, 'http-link-w3-org', 'notice' FROM m WHERE w3 > 0 UNION
     "record_pillars": sql.pillars(scoring.PILLARS),
 }
 
-QUERIES |= evidence.QUERIES | ledgers.QUERIES | insights.QUERIES
-ORACLES |= evidence.ORACLES | ledgers.ORACLES | insights.ORACLES
+QUERIES |= evidence.QUERIES | ledgers.QUERIES | insights.QUERIES | reports.QUERIES
+ORACLES |= evidence.ORACLES | ledgers.ORACLES | insights.ORACLES | reports.ORACLES

@@ -5,7 +5,10 @@ from __future__ import annotations
 from auditlake.functions.dialect import Duck
 from auditlake.operators import predicates, sitechecks
 from auditlake.operators.checks import CATEGORIES, SEVERITY
-from auditlake.plans import standins
+from auditlake.plans import rules, standins
+
+#: Category and severity of the page checks, in their order.
+LABELS = {i: (c, s) for i, c, s, _, _ in predicates.page_checks(Duck())}
 
 _REF = "EXISTS (SELECT 1 FROM ref x JOIN tg t ON t.key = x.key WHERE x.page_id = p.page_id AND x.kind IN ({}) AND ({}))"
 _IN = "(SELECT {} FROM lk l WHERE l.key = p.key)"
@@ -91,12 +94,13 @@ def cross_page(severities: dict[str, str]) -> str:
 
 
 def _found() -> str:
-    return f"WITH {standins.sql()}, f AS MATERIALIZED ({standins.findings_sql()})"
+    return f"WITH {standins.base_sql()}, {rules.HELP}, f AS MATERIALIZED ({rules.findings(LABELS)})"
 
 
 def _scopes() -> str:
-    rows = ", ".join(f"({n}, '{i}', '{c}', '{s}', '{scope.replace(chr(39), chr(39) * 2)}')" for n, (i, c, s, scope, _) in enumerate(predicates.page_checks(Duck())))
-    counts = " UNION ALL ".join(f"SELECT '{scope.replace(chr(39), chr(39) * 2)}' AS scope, count(*) FILTER (WHERE {scope}) AS applicable FROM r" for scope in sorted({x[3] for x in predicates.page_checks(Duck())}))
+    scopes = sorted({scope for scope, _ in rules.RULES.values()})
+    rows = ", ".join(f"({n}, '{i}', '{c}', '{s}', {scopes.index(rules.RULES[i][0])})" for n, (i, (c, s)) in enumerate(LABELS.items()))
+    counts = " UNION ALL ".join(f"SELECT {n} AS scope, count(*) FILTER (WHERE {scope}) AS applicable FROM h" for n, scope in enumerate(scopes))
     return f"c AS (SELECT * FROM (VALUES {rows}) v(place, check_id, category, severity, scope)), n AS ({counts}), a AS (SELECT check_id, count(*) AS affected, list(page_id ORDER BY page_id)[1:500] AS pages FROM f GROUP BY check_id)," + """
 o AS MATERIALIZED (SELECT c.place, c.check_id, c.category, c.severity, CASE WHEN n.applicable = 0 THEN 'skipped' WHEN a.affected > 0 THEN 'failed' ELSE 'passed' END AS verdict, CASE WHEN n.applicable = 0 THEN 'no page in scope' END AS reason, coalesce(a.affected, 0) AS affected, n.applicable, coalesce(a.pages, []) AS pages
   FROM c JOIN n ON n.scope = c.scope LEFT JOIN a ON a.check_id = c.check_id)"""
@@ -115,14 +119,14 @@ _WEIGHT = "CASE {} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SEVERITY.item
 
 def scores() -> str:
     return f"""{_found()}, s AS (SELECT page_id, CAST(sum({_WEIGHT.format('severity')}) AS DOUBLE) AS penalty, count(*) AS issues FROM f GROUP BY page_id)
-SELECT r.page_id, coalesce(penalty, 0) AS penalty, coalesce(issues, 0) AS issues, round(100 * exp(-coalesce(penalty, 0) / 100), 6) AS score FROM r LEFT JOIN s ON s.page_id = r.page_id"""
+SELECT h.page_id, coalesce(penalty, 0) AS penalty, coalesce(issues, 0) AS issues, round(100 * exp(-coalesce(penalty, 0) / 100), 6) AS score FROM h LEFT JOIN s ON s.page_id = h.page_id"""
 
 
 def summary() -> str:
     order = "CASE category " + " ".join(f"WHEN '{c}' THEN {n}" for n, c in enumerate(CATEGORIES)) + " END"
     counts = ", ".join(f"count(*) FILTER (WHERE verdict = '{v}') AS {v}" for v in ("failed", "passed", "skipped"))
     return f"""{_found()}, {_scopes()}, t AS (SELECT category, count(DISTINCT page_id) AS touched FROM f GROUP BY category)
-SELECT CAST({order.replace('category', 'g.category')} AS INTEGER) AS place, g.category, failed, passed, skipped, coalesce(touched, 0) AS touched, round(coalesce(touched, 0) / (SELECT count(*) FROM r), 6) AS share FROM (SELECT category, {counts} FROM o GROUP BY category) g LEFT JOIN t ON t.category = g.category"""
+SELECT CAST({order.replace('category', 'g.category')} AS INTEGER) AS place, g.category, failed, passed, skipped, coalesce(touched, 0) AS touched, round(coalesce(touched, 0) / (SELECT count(*) FROM h), 6) AS share FROM (SELECT category, {counts} FROM o GROUP BY category) g LEFT JOIN t ON t.category = g.category"""
 
 
 def pillars(of: dict[str, tuple[str, ...]]) -> str:
@@ -136,5 +140,5 @@ FROM (SELECT DISTINCT pillar FROM p) x LEFT JOIN q ON q.pillar = x.pillar GROUP
 
 def site_findings() -> str:
     facts = ", ".join(f"{e} AS {c}" for c, e in standins.SITE.items())
-    found = " UNION ALL ".join(f"SELECT site, '{i}' AS check_id, '{c}' AS category, '{s}' AS severity FROM s WHERE coalesce({p.replace('regexp_like(', 'regexp_matches(')}, false)" for i, c, s, p in sitechecks.CHECKS)
+    found = " UNION ALL ".join(f"SELECT site, '{i}' AS check_id, '{c}' AS category, '{s}' AS severity FROM s WHERE coalesce({rules.SITE_RULES[i]}, false)" for i, c, s, _ in sitechecks.CHECKS)
     return f"WITH s AS MATERIALIZED (SELECT {facts} FROM customer) {found}"

@@ -1,7 +1,8 @@
-"""Stand-in records: made of page_id by arithmetic, so that checks on parsed pages and responses have a reference in SQL.
+"""Stand-in records: made of pages and page_id by arithmetic, so that checks on parsed pages and responses have a reference in SQL.
 
-The given pages are plain; these rows have every fault that a check looks for.  One list of
-expressions is spelled for Spark and for the other engine.
+The given pages are plain; these rows have every fault that a check looks for.  Markup, titles
+and texts of some are those of the given pages, everything else is made by arithmetic.  One list
+of expressions is spelled for Spark and for the other engine.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ def columns(d) -> list[tuple[str, str]]:
     app_html = """<!doctype html><html><head><!-- x --></head><body><script>self.__next_f.push([1,"abc\\"d"])</script><template id="B:2"></template><script>$RC("B:2","S:2")</script></body></html></body></html>"""
     odd_html = """junk <!DOCTYPE html><html><html ><head><meta http-equiv="refresh" content="1"></head></head><body>GTM-ABCD1 GTM-ABCD2 <a href="http://www.w3.org/x"> <a href='http://ogp.me/'> hcaptcha Warning: x in /a/b.php on line 3 </body> text </body></html> after it"""
     shell_html = """<!DOCTYPE html><html><head><script src="/a.js"></script></head><body><div id="root"> </div></body></html>"""
+    loose_html = f"""<!doctypehtml><html><body><!-- [if IE]>{'c' * 1200}<![endif]--><a href = "http://www.w3.org/z">x</a><a href="http://w3.org/">y</a><a href='https://schema.org/http://schema.org'>z</a></body></html>"""
+    own_title, own_text = d.part("own_html", "(?s)<title>([^<]*)</title>", 1), f"trim({d.sub(d.sub('own_html', '(?s)<(script|style).*?</(script|style)>|<[^>]*>', ' '), r'[ ]+', ' ')})"
     bare_html = """some text <a href="http://schema.org/x"> with no tags"""
     twice_html = """<html><head></head><body><body><html><p>a</p></html><p>between</p></html>"""
     plain = f"concat('<!DOCTYPE html><html><head></head><body>', repeat('<p>some text here</p>', i % 60), '<!-- ', repeat('c', (i % 5) * 300), ' --></body></html>')"
@@ -53,13 +56,13 @@ def columns(d) -> list[tuple[str, str]]:
         ("redirect_chain", d.upto("i % 6 - 2", 3, hop)),
         ("page_key", _pick(13, "concat('http://site.example/Dir_', i, '/x//y?page=', i % 3, '&page=2&sort=a&q=b')", "concat('https://www.site.example/a%20b/b/b/', i)", "concat('https://site.example/%C3%A9/', i, '.pdf')", "'https://site.example/x.css'", f"concat('{_SITE}/', repeat('long-', 25), i)", page.format("i"))),
         ("home_key", f"'{_SITE}/p/7'"),
-        ("title", _pick(9, null, "''", "'short'", "'2019: a report on things that were'", _LONG.format(4), "'lower case title of thirty letters'", "'A fine title of middle length 2'", "'ADMIN of things'", "concat('A fine title of middle length ', i % 5)")), ("titles", "i % 4"),
+        ("title", _pick(10, own_title, null, "''", "'short'", "'2019: a report on things that were'", _LONG.format(4), "'lower case title of thirty letters'", "'A fine title of middle length 2'", "'ADMIN of things'", "concat('A fine title of middle length ', i % 5)")), ("titles", "i % 4"),
         ("description", _pick(7, null, "' '", "'A fine title of middle length 2'", "'brief'", _LONG.format(14), "'a description that is long enough for a result page but not longer than that'")), ("descriptions", "i % 3"),
-        ("html_lang", _pick(6, "''", "'en'", "'EN'", "'de-DE'", null)), ("charset", _pick(3, "'utf-8'", null)),
-        ("viewports", _pick(8, d.array("'width=device-width, initial-scale=1'"), d.array("'width=320,initial-scale=2.0'", "'x=1'"), d.array("'user-scalable=no, maximum-scale=1'"), d.array("'minimum-scale=1, width=device-width, user-scalable=0'"), d.empty("string"))),
+        ("html_lang", _pick(7, "''", "'en'", "'EN'", "'de-DE'", "'x-default'", null)), ("charset", _pick(3, "'utf-8'", null)),
+        ("viewports", _pick(8, d.array("'width=device-width, initial-scale=1'"), d.array("'width=320,initial-scale=2.0'", "'x=1'"), d.array("'user-scalable=no, maximum-scale=1'"), d.array("'minimum-scale=1, width=device-width, user-scalable=0'"), d.array("'width, initial-scale=, maximum-scale, =3'"), d.empty("string"))),
         ("canonicals", _pick(7, d.array(page.format("i")), d.array(page.format("i % 20 + 1")), d.array(f"'{_SITE}/p/7'"), d.array(page.format("i"), "'http://www.other.example/x'"), d.array("'http://www.other.example/x'"), d.array("''"), d.empty("string"))),
         ("canonical_raw", _pick(7, d.array("'/p'"), d.array(page.format("i")), d.array("''"), d.empty("string"))), ("canonical_in_head", "i % 5 <> 2"),
-        ("meta_robots", _pick(9, d.array("'noindex,follow'"), d.array("'none'"), d.array("'noindex'", "'noindex, nofollow'"), d.array("'index, follow'"), d.array("'max-snippet:noindexes'"), d.empty("string"))), ("robots_outside_head", "i % 10 = 4"),
+        ("meta_robots", _pick(11, d.array("'noindex nofollow'"), d.array("'follow , nofollow'"), d.array("'noindex,follow'"), d.array("'none'"), d.array("'noindex'", "'noindex, nofollow'"), d.array("'index, follow'"), d.array("'max-snippet:noindexes'"), d.empty("string"))), ("robots_outside_head", "i % 10 = 4"),
         ("base_hrefs", _pick(6, d.array("''"), d.array("'/a'", "'/b'"), d.array("'/a'", "'/a'"), d.array("'http:///'"), d.empty("string"))), ("favicon", null), ("noscript_bad", "i % 12 = 1"),
         ("headings", d.upto("i % 6", 5, heading)), ("links", d.upto("case when i % 34 = 6 then 2000 when i % 17 = 8 then 130 else (i * 5) % 14 end", 2000, link)), ("images", d.upto("i % 8", 7, image)),
         ("scripts", _pick(4, d.array(d.struct(url="'http://cdn.example/a.js'", key="'http://cdn.example/a.js'", is_async="false", is_defer="false", in_head="true")), d.array(d.struct(url="'/_next/static/a.js'", key=page.format("i % 30"), is_async="true", is_defer="false", in_head="true")), d.array(d.struct(url="''", key=null, is_async="false", is_defer="false", in_head="false")))),
@@ -70,9 +73,9 @@ def columns(d) -> list[tuple[str, str]]:
         ("og", _pick(4, d.pairs(("og:title", "'t'"), ("og:image", "'/rel.png'")), d.pairs(("og:title", "'t'"), ("og:description", "'d'"), ("og:image", "'https://x.example/i.png'"), ("og:url", page.format("i"))), d.pairs(("og:url", "'https://site.example/else/'")), "map()" if type(d) is Spark else "CAST(MAP {} AS MAP(VARCHAR, VARCHAR))")),
         ("twitter", _pick(3, d.pairs(("twitter:card", "'c'"), ("twitter:description", _LONG.format(16))), d.pairs(("twitter:card", "'c'"), ("twitter:title", "'t'")), "map()" if type(d) is Spark else "CAST(MAP {} AS MAP(VARCHAR, VARCHAR))")),
         ("formats", _pick(3, d.array("'json-ld'", "'rdfa'"), d.array("'json-ld'"), d.empty("string"))),
-        ("body_text", _pick(6, "'Lorem ipsum and more'", "'written by: admin on it'", "''", "repeat('word and text ', i % 80)")), ("word_count", "(i * 53) % 700"), ("paragraphs", "i % 3"), ("lists", "i % 2"), ("strongs", "i % 4"),
+        ("body_text", _pick(7, own_text, "'Lorem ipsum and more'", "'written by: admin on it'", "''", "repeat('word and text ', i % 80)")), ("word_count", "(i * 53) % 700"), ("paragraphs", "i % 3"), ("lists", "i % 2"), ("strongs", "i % 4"),
         ("dom_nodes", "(i * 91) % 3000"), ("dom_depth", "i % 40"), ("dom_width", "i % 90"), ("ids", d.array("'part'", "'x'")), ("duplicate_ids", _pick(5, d.array("'x'"), d.empty("string"))), ("empty_src", "i % 6"), ("style_attrs", "i % 2"), ("maps", "i % 9"), ("plugins", "i % 8"),
-        ("html", _pick(11, t(next_html), t(app_html), t(odd_html), t(shell_html), t(bare_html), t(twice_html), plain)),
+        ("html", _pick(13, t(next_html), t(app_html), t(odd_html), t(shell_html), t(bare_html), t(twice_html), t(loose_html), f"case when i % 2 = 0 then own_html else {plain} end")),
     ]
 
 
@@ -91,23 +94,22 @@ SITE = {
 
 
 def rows(pages: DataFrame) -> DataFrame:
-    """The stand-in records of pages (page_id) with the derived names; nothing but page_id is read."""
-    out = pages.select(F.col("page_id").cast("bigint").alias("i"))
+    """The stand-in records of pages (page_id, html) with the derived names."""
+    out = pages.select(F.col("page_id").cast("bigint").alias("i"), F.coalesce("html", F.lit("")).alias("own_html"))
     out = out.select(*(F.expr(e).alias(name) for name, e in columns(Spark())))
     for layer in predicates.derived(Spark()):
         out = out.withColumns({name: F.expr(e) for name, e in layer})
     return out
 
 
-def sql(names: set[str] | None = None) -> str:
-    """The common table expression `r` of the same rows, for the other engine; with the derived names asked for, or all."""
-    d = Duck()
-    ctes = ["r0 AS MATERIALIZED (SELECT " + ", ".join(f"{e} AS {name}" for name, e in columns(d)) + " FROM (SELECT CAST(page_id AS BIGINT) AS i FROM pages))"]
-    for n, layer in enumerate(predicates.derived(d)):
-        ctes.append(f"r{n + 1} AS MATERIALIZED (SELECT *, " + ", ".join(f"{e} AS {name}" for name, e in layer) + f" FROM r{n})")
-    return ", ".join(ctes) + ", r AS (SELECT * FROM r3)"
+def base_sql() -> str:
+    """The common table expression `r0` of the same rows without the derived names, for the other engine."""
+    return "r0 AS MATERIALIZED (SELECT " + ", ".join(f"{e} AS {name}" for name, e in columns(Duck())) + " FROM (SELECT CAST(page_id AS BIGINT) AS i, coalesce(html, '') AS own_html FROM pages))"
 
 
-def findings_sql() -> str:
-    """page_id, check_id, category, severity of every failed page check, over r."""
-    return " UNION ALL ".join(f"SELECT page_id, '{i}' AS check_id, '{c}' AS category, '{s}' AS severity FROM r WHERE ({scope}) AND ({p})" for i, c, s, scope, p in predicates.page_checks(Duck()))
+def sql() -> str:
+    """The common table expression `r` of the same rows, with the derived names."""
+    ctes = [base_sql()]
+    for n, layer in enumerate(predicates.derived(Duck())):
+        ctes.append(f"r{n + 1} AS MATERIALIZED (SELECT *, " + ", ".join(f"{e} AS {name}" for name, e in layer) + f" FROM r{n})")
+    return ", ".join(ctes) + ", r AS (SELECT * FROM r3)"
