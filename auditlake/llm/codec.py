@@ -22,7 +22,7 @@ import zlib
 
 import numpy as np
 
-BLOCK = 4096
+BLOCK = 2048
 MAGIC = b"CMR1"
 _T1, _T2 = 11, 12
 _F = 18
@@ -33,42 +33,77 @@ class CorruptBlock(ValueError):
     """A block does not decode to the ids its checksum was made of."""
 
 
+_C = 20  # bits of each of the three counts that share a number
+_M = np.int64((1 << _C) - 1)
+_U32 = np.uint32
+
+
 class _Model:
+    """Followers of the last id and the last two by lane, and how often they were right.
+
+    Everything a step looks up is one number a place: a follower with how sure it is (0 to 3), three counts.
+    """
+
     def __init__(self, lanes: int):
-        # a follower and how sure it is (0 to 3) in one number, so a context is one place in memory
-        self.s1, self.s2 = np.zeros(lanes << _T1, np.uint32), np.zeros(lanes << _T2, np.uint32)
-        self.n, self.h1, self.h2 = (np.full(lanes << 5, v, np.int32) for v in (8, 1, 1))
-        self.lane = np.arange(lanes, dtype=np.int64)
-        self.p1 = self.p2 = np.zeros(lanes, np.uint32)
+        self.s1, self.s2 = np.zeros(lanes << _T1, _U32), np.zeros(lanes << _T2, _U32)
+        self.counts = np.full(lanes << 5, 8 | 1 << _C | 1 << 2 * _C, np.int64)  # seen, right by one id, right by two
+        lane = np.arange(lanes, dtype=np.int64)
+        self.at1, self.at2, self.atw = lane << _T1, lane << _T2, lane << 5
+        self.p1 = self.p2 = np.zeros(lanes, _U32)
 
     def predict(self, n: int):
         """For the first n lanes: candidates of order 1 and 2 and their weights."""
-        p1, p2, lane = self.p1[:n], self.p2[:n], self.lane[:n]
-        self.i1 = (lane << _T1) + ((p1 * np.uint32(2654435761)) >> np.uint32(32 - _T1))
-        self.i2 = (lane << _T2) + ((p1 * np.uint32(2654435761) ^ p2 * np.uint32(2246822519)) >> np.uint32(32 - _T2))
-        x1, x2 = self.s1[self.i1], self.s2[self.i2]
-        self.c1, self.c2, self.q1, self.q2 = x1 >> np.uint32(2), x2 >> np.uint32(2), x1 & np.uint32(3), x2 & np.uint32(3)
-        self.w = (lane << 5) + (self.q2 * np.uint32(4) + self.q1 + np.uint32(16) * (self.c1 == self.c2))
-        total = self.n[self.w]
-        return self.c1, self.c2, self.h1[self.w] * 60 // total, self.h2[self.w] * 60 // total
+        h = self.p1[:n] * _U32(2654435761)
+        self.i1 = self.at1[:n] + (h >> _U32(32 - _T1))
+        h ^= self.p2[:n] * _U32(2246822519)
+        self.i2 = self.at2[:n] + (h >> _U32(32 - _T2))
+        x1, x2 = self.s1.take(self.i1), self.s2.take(self.i2)
+        self.c1, self.c2 = x1 >> _U32(2), x2 >> _U32(2)
+        self.q1, self.q2 = x1 & _U32(3), x2 & _U32(3)
+        state = (self.c1 == self.c2).astype(_U32)
+        state <<= _U32(4)
+        state += self.q1
+        state += self.q2 << _U32(2)
+        self.w = self.atw[:n] + state
+        self.v = self.counts.take(self.w)
+        # 60 shared out by the counts; rounded alike in both directions, and never more than 60 in all
+        share = np.float32(60) / (self.v & _M).astype(np.float32)
+        b = ((self.v >> _C) & _M).astype(np.float32)
+        d = (self.v >> 2 * _C).astype(np.float32)
+        return self.c1, self.c2, _whole(b, share), _whole(d, share)
 
     def update(self, n: int, s: np.ndarray) -> None:
         hit1, hit2 = s == self.c1, s == self.c2
-        self.n[self.w] += 1
-        self.h2[self.w] += hit2
-        self.h1[self.w] += hit1 & ~hit2
+        self.v += 1
+        self.v += hit2.astype(np.int64) << 2 * _C
+        self.v += (hit1 & ~hit2).astype(np.int64) << _C
+        self.counts[self.w] = self.v
         for known, i, c, q, hit in ((self.s1, self.i1, self.c1, self.q1, hit1), (self.s2, self.i2, self.c2, self.q2, hit2)):
-            keep = hit | (q > 0)
-            known[i] = (np.where(keep, c, s) << np.uint32(2)) | np.where(hit, np.minimum(q + np.uint32(1), np.uint32(3)), q - (q > 0))
+            sure = q != 0
+            keep = np.where(hit | sure, c, s)
+            keep <<= _U32(2)
+            keep += np.where(hit, np.minimum(q + _U32(1), _U32(3)), q - sure)
+            known[i] = keep
         self.p2 = self.p1[:n]
         self.p1 = s
 
 
+def _whole(count: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """The whole part of count * share; a product that falls short of a whole number by rounding counts as it."""
+    return (count * share + np.float32(1e-4)).astype(_U32)
+
+
 def _intervals(cum, freq, s, c1, c2, b, d):
     """Start and width of the ids s under the mixture, out of 2**24."""
-    a = 64 - b - d
-    b, d = b << _F, d << _F
-    return (a * cum[s] + b * (s > c1) + d * (s > c2)).astype(U64), (a * freq[s] + b * (s == c1) + d * (s == c2)).astype(U64)
+    a = _U32(64) - b - d
+    b, d = b << _U32(_F), d << _U32(_F)
+    start = a * cum.take(s)
+    start += b * (s > c1)
+    start += d * (s > c2)
+    width = a * freq.take(s)
+    width += b * (s == c1)
+    width += d * (s == c2)
+    return start, width
 
 
 def _histogram(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +128,7 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     if not n:
         return MAGIC + struct.pack("<QII", 0, block, 0)
     found, share = _histogram(ids)
-    freq, cum = share.astype(np.int64), np.concatenate(([0], np.cumsum(share)[:-1])).astype(np.int64)
+    freq, cum = share, np.concatenate(([0], np.cumsum(share)[:-1])).astype(_U32)
     if found[-1] < 1 << 24:
         place = np.zeros(int(found[-1]) + 1, np.uint32)
         place[found] = np.arange(len(found), dtype=np.uint32)
@@ -149,7 +184,7 @@ def decode(data: bytes, only: int | None = None) -> np.ndarray:
     at = 20 + size
     head = np.frombuffer(zlib.decompress(data[20:at]), "<u4")
     found, share = np.cumsum(head[: len(head) // 2], dtype=np.uint32), head[len(head) // 2 :]
-    freq, cum = share.astype(np.int64), np.concatenate(([0], np.cumsum(share)[:-1])).astype(np.int64)
+    freq, cum = share.astype(_U32), np.concatenate(([0], np.cumsum(share)[:-1])).astype(_U32)
     slot = np.repeat(np.arange(len(found), dtype=np.uint32), share)
     lanes, heads, payload = -(-n // block), [], []
     for _ in range(lanes):
@@ -167,20 +202,20 @@ def decode(data: bytes, only: int | None = None) -> np.ndarray:
         k = lanes if t < n - (lanes - 1) * block else lanes - 1
         c1, c2, b, d = model.predict(k)
         r = span[:k] >> U64(24)
-        v = np.minimum(code[:k] // r, U64((1 << 24) - 1)).astype(np.int64)
-        a = 64 - b - d
+        v = np.minimum(code[:k] // r, U64((1 << 24) - 1)).astype(_U32)
+        a = _U32(64) - b - d
         first = c1 < c2
         lo, hi = np.where(first, c1, c2), np.where(first, c2, c1)
-        w_lo, w_hi = np.where(first, b, d) << _F, np.where(first, d, b) << _F
-        size = len(found) - 1
+        w_lo, w_hi = np.where(first, b, d) << _U32(_F), np.where(first, d, b) << _U32(_F)
+        size = _U32(len(found) - 1)
         lo_c, hi_c = np.minimum(lo, size), np.minimum(hi, size)
-        x_lo = a * cum[lo_c]
-        y_lo = x_lo + a * freq[lo_c]  # the order-0 part of lo, then its weight
+        x_lo = a * cum.take(lo_c)
+        y_lo = x_lo + a * freq.take(lo_c)  # the order-0 part of lo, then its weight
         v1 = np.where(v >= y_lo + w_lo, v - w_lo, np.minimum(v, y_lo - 1))
-        x_hi = a * cum[hi_c]
-        y_hi = x_hi + a * freq[hi_c]
+        x_hi = a * cum.take(hi_c)
+        y_hi = x_hi + a * freq.take(hi_c)
         v2 = np.where(v1 >= y_hi + w_hi, v1 - w_hi, np.minimum(v1, y_hi - 1))
-        s = slot[np.minimum(np.where(v < x_lo, v, v2) // a, (1 << _F) - 1)]
+        s = slot.take(np.minimum(np.where(v < x_lo, v, v2) // a, _U32((1 << _F) - 1)))
         inside = (v >= x_lo) & (v < y_lo + w_lo)
         s = np.where(inside, lo_c, s)
         s = np.where(~inside & (v1 >= x_hi) & (v1 < y_hi + w_hi) & (v >= x_lo), hi_c, s).astype(np.uint32)

@@ -101,10 +101,41 @@ def _encode_pieces(library, opens: np.ndarray, pieces: list[str]) -> tuple[np.nd
     return np.concatenate(flat), begin, lengths
 
 
+#: Pieces that a worker remembers until it begins anew: some 100 MB with those of the slice at hand.
+REMEMBERED = 400_000
+
+
+class _Known:
+    """Pieces with their ids, kept as long as the worker lives: half of the distinct pieces of a slice were in the slices before."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.number, self.ids, self.begin, self.length = {}, np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def look_up(self, library, opens: np.ndarray, pieces: list[bytes]) -> np.ndarray:
+        """The numbers of the pieces; new ones are encoded."""
+        from itertools import repeat
+
+        if len(self.number) > REMEMBERED:
+            self.clear()
+        out = np.fromiter(map(self.number.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            names = [pieces[i] for i in new]
+            ids, begin, length = _encode_pieces(library, opens, [x.decode() for x in names])
+            out[new] = np.arange(len(self.begin), len(self.begin) + len(new))
+            self.number.update(zip(names, out[new].tolist()))
+            self.begin = np.concatenate((self.begin, begin + len(self.ids)))
+            self.ids, self.length = np.concatenate((self.ids, ids)), np.concatenate((self.length, length))
+        return out
+
+
 def encode_texts(texts: list[str], path: str | None = None, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts, as the library gives them for whole texts without special tokens, each with the end id if given; and how many each has.
 
-    Each distinct piece is encoded once, whatever number of texts hold it; pieces are compared as bytes.
+    Each distinct piece is encoded once, whatever number of texts hold it, and remembered for the next call; pieces are compared as bytes.
     """
     library, opens = tokenizer(path)
     data = [t.encode() for t in texts]
@@ -113,11 +144,11 @@ def encode_texts(texts: list[str], path: str | None = None, end: int | None = No
     first = np.concatenate(([0], np.cumsum(sizes)))
     at = _pieces(raw, first[:-1][sizes > 0])
     found = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(raw)).astype(np.int64)), pa.py_buffer(raw)]).dictionary_encode()
-    ids, begin, lengths = _encode_pieces(library, opens, [x.decode() for x in found.dictionary.to_pylist()])
-    known = len(begin)
+    store = worker_store().setdefault(("pieces", path), _Known())
+    which = store.look_up(library, opens, found.dictionary.to_pylist())[found.indices.to_numpy()]
+    ids, begin, lengths, known = store.ids, store.begin, store.length, len(store.begin)
     if end is not None:
         ids, begin, lengths = np.append(ids, np.uint32(end)), np.append(begin, len(ids)), np.append(lengths, 1)
-    which = found.indices.to_numpy().astype(np.int64)
     ends = np.searchsorted(at, first[1:])  # of each text's pieces
     if end is not None:
         which, ends = np.insert(which, ends, known), ends + np.arange(1, len(texts) + 1)
@@ -186,7 +217,7 @@ def _write(path: str | None, end: int):
     return run
 
 
-def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end: int = END, mb: int = 9) -> None:
+def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end: int = END, mb: int = 7) -> None:
     """Write the files of docs (doc_id, text) in ascending doc_id as the Parquet table at folder."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange(chunks_for(rows, mb), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
