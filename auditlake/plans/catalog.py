@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions.urls import bare_host
 from auditlake.operators import checks, crosspage, graph, history, locations, scoring, sitechecks
-from auditlake.plans import evidence, given, insights, ledgers, lists, reports, sql, standins
+from auditlake.plans import evidence, given, insights, ledgers, lists, more, reports, sql, standins
 from auditlake.sources.html import extract_pages
 
 
@@ -293,5 +293,5 @@ UNION ALL SELECT page_id, 'http-link-w3-org', 'notice' FROM m WHERE w3 > 0 UNION
     "record_pillars": sql.pillars(scoring.PILLARS),
 }
 
-QUERIES |= evidence.QUERIES | ledgers.QUERIES | insights.QUERIES | reports.QUERIES | lists.QUERIES
-ORACLES |= evidence.ORACLES | ledgers.ORACLES | insights.ORACLES | reports.ORACLES | given.ORACLES | lists.ORACLES
+QUERIES |= evidence.QUERIES | ledgers.QUERIES | insights.QUERIES | reports.QUERIES | lists.QUERIES | more.QUERIES
+ORACLES |= evidence.ORACLES | ledgers.ORACLES | insights.ORACLES | reports.ORACLES | given.ORACLES | lists.ORACLES | more.ORACLES
