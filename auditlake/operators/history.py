@@ -30,23 +30,28 @@ def quota_ledger(calls: DataFrame, limit: int) -> DataFrame:
     return out.withColumn("allowed", F.col("n") <= limit)
 
 
+def _day(polls: DataFrame) -> Column:
+    """The day of a poll's time, or of its number of seconds."""
+    return F.date_trunc("day", "at") if "timestamp" in polls.schema["at"].dataType.simpleString() else F.floor(F.col("at") / 86_400)
+
+
 def uptime_transitions(polls: DataFrame) -> DataFrame:
     """polls (site, at, id, ok) with transition: none, went-down, still-down or recovered.  Null ok counts as down."""
-    rows = slots.previous(polls, ["site"], F.date_trunc("day", "at"), ["at", "id"], F.coalesce("ok", F.lit(False)), "_was")
+    rows = slots.previous(polls, ["site"], _day(polls), ["at", "id"], F.coalesce("ok", F.lit(False)), "_was")
     ok, before = F.coalesce("ok", F.lit(False)), F.coalesce("_was.value", F.lit(True))
     return rows.withColumn("transition", F.when(ok & before, "none").when(ok, "recovered").when(before, "went-down").otherwise("still-down")).drop("_was")
 
 
 def content_changes(polls: DataFrame) -> DataFrame:
     """The polls (site, at, id, body_hash) whose body differs from the one before of the site; null equals null."""
-    rows = slots.previous(polls, ["site"], F.date_trunc("day", "at"), ["at", "id"], F.col("body_hash"), "_was").where("_was is not null")
+    rows = slots.previous(polls, ["site"], _day(polls), ["at", "id"], F.col("body_hash"), "_was").where("_was is not null")
     return rows.withColumn("previous", F.col("_was.value")).drop("_was").where(~F.col("previous").eqNullSafe(F.col("body_hash")))
 
 
 def incidents(polls: DataFrame) -> DataFrame:
     """site, island, started_at, last_at, failure_count of every run of polls (site, at, id, bad) that are bad: the runs are told apart by how many good polls came before."""
     good = F.when(F.col("bad"), 0).otherwise(1)
-    runs = slots.running_sum(polls, ["site"], F.date_trunc("day", "at"), ["at", "id"], good, "island").where("bad")
+    runs = slots.running_sum(polls, ["site"], _day(polls), ["at", "id"], good, "island").where("bad")
     return runs.groupBy("site", "island").agg(F.min("at").alias("started_at"), F.max("at").alias("last_at"), F.count("*").alias("failure_count"))
 
 
