@@ -47,22 +47,23 @@ def orphans(records: DataFrame) -> DataFrame:
 def pagerank(nodes: DataFrame, links: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, most: int = 100) -> DataFrame:
     """node, rank (largest = 1) by power iteration; repeated links weigh more, dangling rank is spread evenly.
 
-    nodes: column node; links: src, dst.  Each round is a join and an aggregation; the driver
-    sees two sums a round.
+    nodes: column node; links: src, dst.  Each round is a join and one aggregation, whose two sums the driver
+    sees.
     """
     nodes = _cut(nodes.select("node").distinct())
     n = nodes.count()
     weights = links.where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("w"))
     weights = _cut(weights.join(weights.groupBy("src").agg(F.sum("w").alias("out")), "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share")))
-    sources = weights.select(F.col("src").alias("node")).distinct()
-    ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    sources = weights.select(F.col("src").alias("node")).distinct().withColumn("gives", F.lit(True))
+    ranks = _cut(nodes.join(sources, "node", "left").select("node", F.col("gives").isNull().alias("loose"), F.lit(1.0 / max(n, 1)).alias("rank")))
+    spare = F.coalesce(F.sum(F.when(F.col("loose"), F.col("rank"))), F.lit(0.0))
+    loose = ranks.agg(spare).first()[0]
     for _ in range(most):
-        loose = ranks.join(sources, "node", "left_anti").agg(F.sum("rank")).first()[0] or 0.0
         given = weights.join(ranks, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("in"))
-        new = ranks.withColumnRenamed("rank", "old").join(given, "node", "left").select("node", "old", ((1 - damping) / max(n, 1) + damping * (F.coalesce("in", F.lit(0.0)) + F.lit(loose) / max(n, 1))).alias("rank"))
+        new = ranks.withColumnRenamed("rank", "old").join(given, "node", "left").select("node", "loose", "old", ((1 - damping) / max(n, 1) + damping * (F.coalesce("in", F.lit(0.0)) + F.lit(loose) / max(n, 1))).alias("rank"))
         new = _cut(new)
-        moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] or 0.0
-        ranks = new.select("node", "rank")
+        moved, loose = new.agg(F.coalesce(F.sum(F.abs(F.col("rank") - F.col("old"))), F.lit(0.0)), spare).first()  # what moved, and the next round's spare rank
+        ranks = new.select("node", "loose", "rank")
         if moved < tolerance:
             break
     top = ranks.agg(F.max("rank").alias("top"))
