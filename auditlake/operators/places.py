@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.sources.html import spread
+
 _Q = "[\"']"
 #: Patterns of the elements that places are named by.
 ELEMENTS = {
@@ -230,7 +232,7 @@ def finding_places(pages: DataFrame, findings: DataFrame | None = None) -> DataF
         asked = pages.select("page_id", "html").join(lists, "page_id")
     html, all_ = F.col("html"), F.col("asked").isNull()
     wanted = F.filter(_specs(), lambda x: all_ | F.arrays_overlap(x["ids"], "asked"))
-    out = asked.where("html <> ''").select("page_id", "html", "asked", F.explode(wanted).alias("s"))
+    out = spread(asked.where("html <> ''")).select("page_id", "html", "asked", F.explode(wanted).alias("s"))
     of_document = F.coalesce(*(F.when(F.col("s.label") == i, _whole(html, i)) for i in WHOLE))
     out = out.withColumn("at", F.when(F.col("s.p").isNull(), of_document).otherwise(F.expr(_ANY))).where("at is not null").withColumn("n", units(html)).where("at.offset >= 0 and at.offset < n")
     ids = F.when(all_, F.col("s.ids")).otherwise(F.array_intersect("s.ids", "asked"))

@@ -303,8 +303,21 @@ def parse_page(url: str | None, html: str | None) -> dict:
     return r | dict(body_text=text, word_count=len(text.split()), bytes=len((html or "").encode()))
 
 
+#: Pages that are made into records at a time.
+AT_ONCE = 256
+
+
+def spread(pages: DataFrame) -> DataFrame:
+    """pages, dealt out if they come in fewer parts than there are cores: what is done with a page's markup takes far longer than sending it.
+
+    Large tables have parts enough and stay where they are.
+    """
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
+
+
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) as wide records of SCHEMA plus html; one pass, no shuffle."""
+    """pages (page_id, url, html) as wide records of SCHEMA plus html; one pass, without a shuffle unless they are too few parts for the cores."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     full = F.col("html")
@@ -312,10 +325,10 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     arrow = to_arrow_schema(kind)
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(i, AT_ONCE) for b in batches for i in range(0, b.num_rows, AT_ONCE)):
             rows = [dict(page_id=i, url=u, page_key=page_key(u), html=h) | parse_page(u, h) for i, u, h in zip(*(c.to_pylist() for c in batch.columns))]
             for r in rows:
                 r["og"], r["twitter"] = list(r["og"].items()), list(r["twitter"].items())
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return pages.select("page_id", "url", full).mapInArrow(run, kind)
+    return spread(pages.select("page_id", "url", full)).mapInArrow(run, kind)
