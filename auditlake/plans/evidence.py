@@ -129,12 +129,13 @@ FAULTS = [
 
 def faulty(pages: DataFrame) -> DataFrame:
     """page_id, html: pages with a fault in the body of each; one of five without its doctype, one of seven without its head's start tag, one of 13 with something after its end, one of three by lines."""
-    i = F.col("page_id")
+    i, of = F.col("page_id"), lambda cond, x: F.when(cond, x).otherwise("")
+    # each step names the one before once, as its markup would be made again for every mention; an empty text is replaced by nothing
     html = F.replace("html", F.lit("<body>"), F.concat(F.lit("<body>"), F.get(F.array(*map(F.lit, FAULTS)), (i % len(FAULTS)).cast("int"))))
-    html = F.when(i % 5 == 2, F.replace(html, F.lit("<!DOCTYPE html>"), F.lit(""))).otherwise(html)
-    html = F.when(i % 7 == 3, F.replace(html, F.lit("<head>"), F.lit("x <!doctype y>"))).otherwise(html)
-    html = F.when(i % 13 == 6, F.concat(html, F.lit(" tail of it"))).otherwise(html)
-    html = F.when(i % 3 == 1, F.replace(html, F.lit("><"), F.lit(">\n<"))).otherwise(html)
+    html = F.replace(html, of(i % 5 == 2, "<!DOCTYPE html>"), F.lit(""))
+    html = F.replace(html, of(i % 7 == 3, "<head>"), F.lit("x <!doctype y>"))
+    html = F.concat(html, of(i % 13 == 6, " tail of it"))
+    html = F.replace(html, of(i % 3 == 1, "><"), F.lit(">\n<"))
     return pages.select("page_id", html.alias("html"))
 
 
