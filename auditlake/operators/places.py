@@ -424,11 +424,15 @@ def source_lines(pages: DataFrame) -> DataFrame:
 
 
 def finding_lines(pages: DataFrame, places: DataFrame) -> DataFrame:
-    """page_id, check_id, line, column of each place in the markup as it is served, in Columns."""
-    rows = places.join(pages.select("page_id", "html"), "page_id")
+    """page_id, check_id, line, column of each place in the markup as it is served, in Columns.
+
+    The places of a page meet its markup as one list; places that many checks share are looked up once.
+    """
+    by = places.groupBy("page_id").agg(F.collect_list(F.struct("check_id", "offset")).alias("found"))
     # a place never begins inside a character, so units and characters before it agree but for those of two units
-    raw = F.encode("html", "UTF-16LE")
-    before = F.decode(F.substring(raw, F.lit(1), F.col("offset") * 2), "UTF-16LE")
-    breaks = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
-    column = units(F.substring_index(before, "\n", -1))
-    return rows.select("page_id", "check_id", (breaks + 1).cast("long").alias("line"), (column + 1).cast("long").alias("column"))
+    rows = pages.select("page_id", "html").join(by, "page_id").select("page_id", "found", F.encode("html", "UTF-16LE").alias("raw"))
+    rows = rows.select("page_id", "found", "raw", F.explode(F.array_distinct("found.offset")).alias("offset"))
+    rows = rows.select("page_id", "found", "offset", F.decode(F.substring("raw", F.lit(1), F.col("offset") * 2), "UTF-16LE").alias("before"))
+    breaks = F.octet_length("before") - F.octet_length(F.replace("before", F.lit("\n"), F.lit("")))
+    rows = rows.select("page_id", "found", "offset", (breaks + 1).cast("long").alias("line"), (units(F.substring_index("before", "\n", -1)) + 1).cast("long").alias("column"))
+    return rows.select("page_id", F.explode(F.filter("found", lambda x: x["offset"] == F.col("offset"))["check_id"]).alias("check_id"), "line", "column")

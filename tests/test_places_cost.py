@@ -22,6 +22,9 @@ def test_a_page_is_one_row_until_its_places_are_known(spark):
     out = places.finding_places(pages)
     assert "explode(filter" not in out._jdf.queryExecution().optimizedPlan().toString()  # a copy of the markup for every pattern
     assert out.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    lines = places.finding_lines(pages, out)
+    assert "collect_list" in lines._jdf.queryExecution().optimizedPlan().toString()  # else a copy of the markup for every place
+    assert {(r.line, r.column) for r in lines.where("check_id = 'h1-is-missing'").collect()} == {(2, 1)}
 
 
 def test_places_that_stand_twice(spark):
