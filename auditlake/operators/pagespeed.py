@@ -55,10 +55,11 @@ def metrics(payloads: DataFrame) -> DataFrame:
         kind = F.when(users.isNotNull(), F.coalesce(own, classify(users, name))).otherwise(classify(lab, name))
         out[name] = F.when(ok & value.isNotNull(), F.struct(value.alias("value"), kind.alias("class"), F.when(users.isNotNull(), "field").otherwise("lab").alias("source")))
     audit = lambda i, what, kind: _get("_v", f'lighthouseResult.audits["{i}"].{what}', kind)
-    saved = F.filter(
-        F.array(*(F.struct((-F.floor(audit(i, "details.overallSavingsMs", "double") + 0.5)).alias("less"), F.lit(n).alias("n"), F.lit(i).alias("id"), F.coalesce(audit(i, "title", "string"), F.lit(i)).alias("title"), (audit(i, "details.overallSavingsMs", "double") >= LEAST_MS).alias("counts")) for n, i in enumerate(SAVINGS))),
-        lambda x: F.coalesce(x["counts"], F.lit(False)),
-    )
+    # savings are a column of their own, read once; titles are read of those that count only
+    v = v.withColumn("_ms", F.array(*(audit(i, "details.overallSavingsMs", "double") for i in SAVINGS)))
+    ms = lambda n: F.get("_ms", F.lit(n))
+    saved = F.array(*(F.when(ms(n) >= LEAST_MS, F.struct((-F.floor(ms(n) + 0.5)).alias("less"), F.lit(n).alias("n"), F.lit(i).alias("id"), F.coalesce(audit(i, "title", "string"), F.lit(i)).alias("title"))) for n, i in enumerate(SAVINGS)))
+    saved = F.filter(saved, lambda x: x.isNotNull())
     named = F.transform(F.slice(F.array_sort(saved), 1, MOST), lambda x: F.struct(x["id"].alias("id"), x["title"].alias("title"), (-x["less"]).cast("long").alias("savings_ms")))
     node = 'lighthouseResult.audits["largest-contentful-paint-element"].details.items[0].items[0].node'
     out |= {
@@ -68,7 +69,7 @@ def metrics(payloads: DataFrame) -> DataFrame:
         "lcp_element": F.when(ok, F.coalesce(_get("_v", f"{node}.selector", "string"), _get("_v", f"{node}.snippet", "string"))),
         "opportunities": F.when(ok, named),
     }
-    return v.withColumns(out).drop("_v", "_page", "_origin", "_field")
+    return v.withColumns(out).drop("_v", "_page", "_origin", "_field", "_ms")
 
 
 def site_facts(rows: DataFrame) -> DataFrame:

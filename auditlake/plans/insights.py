@@ -14,6 +14,7 @@ from auditlake.functions.dialect import Duck, Spark
 from auditlake.functions.urls import bare_host, host
 from auditlake.operators import answers, pagespeed
 from auditlake.sources import linkfiles
+from auditlake.sources.html import spread
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +41,8 @@ _NAMES = tuple(pagespeed.LIMITS)
 
 def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     strategy = F.when(F.col("event_id") % 2 == 0, "mobile").otherwise("desktop")
-    return pagespeed.metrics(_t(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("site"), strategy.alias("strategy"), F.col("event_id").alias("place"), F.expr(PAYLOAD).alias("body")))
+    events = spread(_t(spark, sf_dir, "events").select("event_id", "user_id", "value"))
+    return pagespeed.metrics(events.select("event_id", F.col("user_id").alias("site"), strategy.alias("strategy"), F.col("event_id").alias("place"), F.expr(PAYLOAD).alias("body")))
 
 
 def pagespeed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
