@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from auditlake.operators import pagespeed
-from auditlake.plans import insights
+from auditlake.plans import insights, reports
 from auditlake.sources.html import spread
 
 
@@ -27,3 +27,7 @@ def test_savings(spark):
     got = [[tuple(x) for x in r.opportunities] for r in pagespeed.metrics(rows).collect()]
     s = pagespeed.SAVINGS
     assert got == [[(s[3], "t3", 701), (s[6], "t6", 300), (s[7], "t7", 101), (s[0], s[0], 100), (s[5], "t5", 100)], []]
+
+
+def test_pages_of_the_report_are_dealt_out(spark):
+    assert reports._pages(spark, "/root/testdata/sf0.01").rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
