@@ -8,7 +8,8 @@ table (file, part, payload), so any store Spark writes to can hold them, and rea
 them through Spark.
 
 Words repeat, so a task encodes each distinct piece of its texts once: a text is cut before
-white space that follows a visible character, where this tokenizer always begins a new piece.
+white space that follows a visible character and before some signs that follow a letter, where
+this tokenizer always begins a new piece.
 
 Defined results: null text is empty and has the end id alone; a null doc_id sorts first;
 rows of one doc_id follow each other in the order of their texts.  No rows give no files.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from . import codec
 from .common import chunks_for, shared_dir, slices, table, worker_store
 
-END, FILE_IDS, SLICE = 2, 12_000_000, 16 << 20
+END, FILE_IDS, SLICE = 2, 12_000_000, 32 << 20
 
 
 def tokenizer(path: str | None):
@@ -59,72 +60,94 @@ _GAP = np.zeros(256, bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
 _SEEN = np.zeros(256, bool)  # ASCII signs that are surely visible
 _SEEN[0x21:0x7F] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_SIGN = np.zeros(256, bool)
+_SIGN[list(b"!\"'(),.:;?&*#%$")] = True
 JOINED = 2000
 
 
-def _pieces(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Where pieces begin: texts, and ASCII white space after a character that is surely visible, where this tokenizer begins a new piece whatever stands around.
+def _pieces(raw: np.ndarray, starts: np.ndarray, fixed: bytes = b"") -> np.ndarray:
+    """Where pieces begin: texts, ASCII white space after a character that is surely visible and signs after a letter, where this tokenizer begins a new piece whatever stands around.
 
-    Surely visible are ASCII signs and characters of two bytes from U+00C0 on.
+    Surely visible are ASCII signs and characters of two bytes from U+00C0 on; letters those of ASCII and U+00C0 to U+00FF.
+    fixed: bytes of tokens that are found in a text before it is cut into pieces; none of these signs begins a piece.
     """
-    gap, begin = _GAP[raw], np.zeros(len(raw), bool)
-    begin[1:] = gap[1:] & _SEEN[raw[:-1]]
-    begin[2:] |= gap[2:] & (raw[:-2] >= 0xC3) & (raw[:-2] <= 0xDF) & (raw[1:-1] >= 0x80) & (raw[1:-1] < 0xC0)
+    sign = _SIGN.copy()
+    sign[list(fixed)] = False
+    gap, sign, begin = _GAP[raw], sign[raw], np.zeros(len(raw), bool)
+    begin[1:] = gap[1:] & _SEEN[raw[:-1]] | sign[1:] & _LETTER[raw[:-1]]
+    two, lead = (raw[1:-1] >= 0x80) & (raw[1:-1] < 0xC0), raw[:-2]
+    begin[2:] |= gap[2:] & (lead >= 0xC3) & (lead <= 0xDF) & two
+    begin[2:] |= sign[2:] & (lead == 0xC3) & two & (raw[1:-1] != 0x97) & (raw[1:-1] != 0xB7)
     begin[starts] = True
     return np.flatnonzero(begin)
 
 
-def _encode_pieces(library, opens: np.ndarray, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All ids, and where each piece's begin and how many it has.  Pieces of one white space and visible ASCII signs are encoded many at a time, joined: their ids fall apart before each token that opens with white space."""
-    order, flat, counts, rest = [], [np.zeros(0, np.uint32)], [], []
-    plain = [p[0] in "\t\n\x0b\x0c\r " and len(p) > 1 and p.isascii() and p[1:].isprintable() and " " not in p[1:] for p in pieces]
-    rest = [i for i, x in enumerate(plain) if not x]
-    plain = [i for i, x in enumerate(plain) if x]
-    for at in range(0, len(plain), JOINED * 16):
-        part = [plain[i : i + JOINED] for i in range(at, min(at + JOINED * 16, len(plain)), JOINED)]
-        for own, e in zip(part, library.encode_batch_fast(["".join(map(pieces.__getitem__, x)) for x in part], add_special_tokens=False)):
+def _encode_pieces(library, opens: np.ndarray, pieces: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The ids of all pieces as lists, and the number of each piece's list.
+
+    Pieces of one ASCII white space and more that end in a character that is surely visible are encoded many at a time,
+    joined: each begins a new piece there as well, and their ids fall apart before each token that opens with white space.
+    """
+    raw, ends = np.frombuffer(pieces.buffers()[2], np.uint8), np.frombuffer(pieces.buffers()[1], np.int64)[: len(pieces) + 1]
+    raw = raw[: ends[-1]]
+    first, last, size = ends[:-1], ends[1:] - 1, np.diff(ends)
+    two = (raw[last] >= 0x80) & (raw[last] < 0xC0) & (raw[np.maximum(last - 1, 0)] >= 0xC3) & (raw[np.maximum(last - 1, 0)] <= 0xDF)
+    plain = _GAP[raw[first]] & (np.add.reduceat(_GAP[raw].astype(np.int32), first) == 1) & (size > 1) & (_SEEN[raw[last]] | two & (size > 2))
+    own, rest = np.flatnonzero(plain), [np.flatnonzero(~plain)]
+    joined = pieces.filter(pa.array(plain))
+    upto = np.frombuffer(joined.buffers()[1], np.int64)[: len(own) + 1] if len(own) else np.zeros(1, np.int64)
+    data, order, flat, counts = joined.buffers()[2], [], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    for at in range(0, len(own), JOINED * 16):
+        cuts = [(i, min(i + JOINED, len(own))) for i in range(at, min(at + JOINED * 16, len(own)), JOINED)]
+        for (i, j), e in zip(cuts, library.encode_batch_fast([str(data[upto[i] : upto[j]], "utf-8") for i, j in cuts], add_special_tokens=False)):
             ids = np.array(e.ids, np.uint32)
-            cuts = np.flatnonzero(opens[ids])
-            if len(cuts) == len(own) and cuts[0] == 0:
-                order.append(np.array(own, np.int64))
+            begin = np.flatnonzero(opens[ids])
+            if len(begin) == j - i and begin[0] == 0:
+                order.append(own[i:j])
                 flat.append(ids)
-                counts.append(np.diff(cuts, append=len(ids)))
+                counts.append(np.diff(begin, append=len(ids)))
             else:
-                rest += own
-    alone = [e.ids for e in library.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)]
-    order.append(np.array(rest, np.int64))
-    flat.append(np.array([i for x in alone for i in x], np.uint32))
-    counts.append(np.array([len(x) for x in alone], np.int64))
-    number, have = np.concatenate(order), np.concatenate(counts).astype(np.int64)
-    begin, lengths = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
-    begin[number], lengths[number] = np.cumsum(have) - have, have
-    return np.concatenate(flat), begin, lengths
-
-
-def encode_texts(texts: list[str], path: str | None = None, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+                rest.append(own[i:j])
+    rest = np.concatenate(rest)
+    for at in range(0, len(rest), JOINED):
+        alone = [e.ids for e in library.encode_batch_fast([x.decode() for x in pieces.take(pa.array(rest[at : at + JOINED])).to_pylist()], add_special_tokens=False)]
+        flat.append(np.array([i for x in alone for i in x], np.uint32))
+        counts.append(np.array([len(x) for x in alone], np.int64))
+    number = np.zeros(len(pieces), np.int32)
+    number[np.concatenate([*order, rest])] = np.arange(len(pieces), dtype=np.int32)
+    upto = np.concatenate(([0], np.cumsum(np.concatenate(counts))))
+    return pa.LargeListArray.from_arrays(pa.array(upto, pa.int64()), pa.array(np.concatenate(flat), pa.uint32())), number
+
+
+def encode_texts(texts: list[str] | pa.Array, path: str | None = None, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts, as the library gives them for whole texts without special tokens, each with the end id if given; and how many each has.
 
-    Each distinct piece is encoded once, whatever number of texts hold it; pieces are compared as bytes.
+    texts: strings, or an Arrow array of them without nulls.  Each distinct piece is encoded once, whatever number of
+    texts hold it; pieces are compared as bytes.
     """
     library, opens = tokenizer(path)
-    data = [t.encode() for t in texts]
-    sizes = np.array([len(x) for x in data], np.int64)
-    raw = np.frombuffer(b"".join(data), np.uint8)
-    first = np.concatenate(([0], np.cumsum(sizes)))
-    at = _pieces(raw, first[:-1][sizes > 0])
+    texts = (pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts).cast(pa.large_binary())
+    if not len(texts):
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    first = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[first[0] : first[-1]]
+    first = first - first[0]
+    at = _pieces(raw, first[:-1][np.diff(first) > 0], b"".join(x.content.encode() for x in library.get_added_tokens_decoder().values()))
     found = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(raw)).astype(np.int64)), pa.py_buffer(raw)]).dictionary_encode()
-    ids, begin, lengths = _encode_pieces(library, opens, [x.decode() for x in found.dictionary.to_pylist()])
-    known = len(begin)
-    if end is not None:
-        ids, begin, lengths = np.append(ids, np.uint32(end)), np.append(begin, len(ids)), np.append(lengths, 1)
-    which = found.indices.to_numpy().astype(np.int64)
+    if len(at):
+        lists, number = _encode_pieces(library, opens, found.dictionary)
+    else:
+        lists, number = pa.array([], pa.large_list(pa.uint32())), np.zeros(0, np.int32)
+    which = number[found.indices.to_numpy()]
     ends = np.searchsorted(at, first[1:])  # of each text's pieces
     if end is not None:
-        which, ends = np.insert(which, ends, known), ends + np.arange(1, len(texts) + 1)
-    own = lengths[which]
-    upto = np.cumsum(own)
-    flat = ids[np.repeat(begin[which] - (upto - own), own) + np.arange(upto[-1] if len(upto) else 0)]
-    return flat, np.diff(np.concatenate(([0], upto))[np.concatenate(([0], ends))])
+        which, ends = np.insert(which, ends, len(lists)), ends + np.arange(1, len(texts) + 1)
+        lists = pa.concat_arrays([lists, pa.array([[end]], lists.type)])
+    out = lists.take(pa.array(which))
+    upto = out.offsets.to_numpy()
+    return out.values.to_numpy(), np.diff(np.concatenate(([0], upto[ends])))
 
 
 def pack_file(docs: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
@@ -155,18 +178,18 @@ def _write(path: str | None, end: int):
             return pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([part], pa.int64()), pa.array([len(docs)], pa.int64()), pa.array([held], pa.int64()), pa.array([data], pa.binary())], ["file", "part", "n_docs", "n_ids", "payload"])
 
         def gathered():
-            """Names and texts of slices of the batches, about SLICE characters at a time."""
+            """Names and texts of slices of the batches, about SLICE bytes at a time."""
             names, texts, size = [], [], 0
             for whole in batches:
                 for batch in slices(whole):
                     names += batch.column(0).to_pylist()
-                    texts += [t or "" for t in batch.column(1).to_pylist()]
+                    texts.append(batch.column(1).cast(pa.large_string()).fill_null(""))
                     size += batch.nbytes
                     if size >= SLICE:
-                        yield names, texts
+                        yield names, pa.concat_arrays(texts)
                         names, texts, size = [], [], 0
             if names:
-                yield names, texts
+                yield names, pa.concat_arrays(texts)
 
         for names, texts in gathered():
             flat, counts = encode_texts(texts, path, end)
