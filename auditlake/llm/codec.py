@@ -38,6 +38,11 @@ _M = np.int64((1 << _C) - 1)
 _U32 = np.uint32
 
 
+def _at(values: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The values at places, the last one for places beyond; looking for those would take longer."""
+    return values.take(places, mode="clip")
+
+
 class _Model:
     """Followers of the last id and the last two by lane, and how often they were right.
 
@@ -57,7 +62,7 @@ class _Model:
         self.i1 = self.at1[:n] + (h >> _U32(32 - _T1))
         h ^= self.p2[:n] * _U32(2246822519)
         self.i2 = self.at2[:n] + (h >> _U32(32 - _T2))
-        x1, x2 = self.s1.take(self.i1), self.s2.take(self.i2)
+        x1, x2 = self.x1, self.x2 = _at(self.s1, self.i1), _at(self.s2, self.i2)
         self.c1, self.c2 = x1 >> _U32(2), x2 >> _U32(2)
         self.q1, self.q2 = x1 & _U32(3), x2 & _U32(3)
         state = (self.c1 == self.c2).astype(_U32)
@@ -65,7 +70,7 @@ class _Model:
         state += self.q1
         state += self.q2 << _U32(2)
         self.w = self.atw[:n] + state
-        self.v = self.counts.take(self.w)
+        self.v = _at(self.counts, self.w)
         # 60 shared out by the counts; rounded alike in both directions, and never more than 60 in all
         share = np.float32(60) / (self.v & _M).astype(np.float32)
         b = ((self.v >> _C) & _M).astype(np.float32)
@@ -78,12 +83,14 @@ class _Model:
         self.v += hit2.astype(np.int64) << 2 * _C
         self.v += (hit1 & ~hit2).astype(np.int64) << _C
         self.counts[self.w] = self.v
-        for known, i, c, q, hit in ((self.s1, self.i1, self.c1, self.q1, hit1), (self.s2, self.i2, self.c2, self.q2, hit2)):
-            sure = q != 0
-            keep = np.where(hit | sure, c, s)
-            keep <<= _U32(2)
-            keep += np.where(hit, np.minimum(q + _U32(1), _U32(3)), q - sure)
-            known[i] = keep
+        new = s << _U32(2)
+        for known, i, x, q, hit in ((self.s1, self.i1, self.x1, self.q1, hit1), (self.s2, self.i2, self.x2, self.q2, hit2)):
+            # surer by one up to 3, less sure by one, or replaced where it was not sure at all; without choices, which take several times as long
+            unsure = q == 0
+            x += hit & (q != 3)
+            x -= ~(hit | unsure)
+            x ^= (x ^ new) & -(unsure > hit).astype(_U32)
+            known[i] = x
         self.p2 = self.p1[:n]
         self.p1 = s
 
@@ -97,10 +104,10 @@ def _intervals(cum, freq, s, c1, c2, b, d):
     """Start and width of the ids s under the mixture, out of 2**24."""
     a = _U32(64) - b - d
     b, d = b << _U32(_F), d << _U32(_F)
-    start = a * cum.take(s)
+    start = a * _at(cum, s)
     start += b * (s > c1)
     start += d * (s > c2)
-    width = a * freq.take(s)
+    width = a * _at(freq, s)
     width += b * (s == c1)
     width += d * (s == c2)
     return start, width
@@ -209,13 +216,13 @@ def decode(data: bytes, only: int | None = None) -> np.ndarray:
         w_lo, w_hi = np.where(first, b, d) << _U32(_F), np.where(first, d, b) << _U32(_F)
         size = _U32(len(found) - 1)
         lo_c, hi_c = np.minimum(lo, size), np.minimum(hi, size)
-        x_lo = a * cum.take(lo_c)
-        y_lo = x_lo + a * freq.take(lo_c)  # the order-0 part of lo, then its weight
+        x_lo = a * _at(cum, lo_c)
+        y_lo = x_lo + a * _at(freq, lo_c)  # the order-0 part of lo, then its weight
         v1 = np.where(v >= y_lo + w_lo, v - w_lo, np.minimum(v, y_lo - 1))
-        x_hi = a * cum.take(hi_c)
-        y_hi = x_hi + a * freq.take(hi_c)
+        x_hi = a * _at(cum, hi_c)
+        y_hi = x_hi + a * _at(freq, hi_c)
         v2 = np.where(v1 >= y_hi + w_hi, v1 - w_hi, np.minimum(v1, y_hi - 1))
-        s = slot.take(np.minimum(np.where(v < x_lo, v, v2) // a, _U32((1 << _F) - 1)))
+        s = _at(slot, np.where(v < x_lo, v, v2) // a)  # the last place for what lies beyond
         inside = (v >= x_lo) & (v < y_lo + w_lo)
         s = np.where(inside, lo_c, s)
         s = np.where(~inside & (v1 >= x_hi) & (v1 < y_hi + w_hi) & (v >= x_lo), hi_c, s).astype(np.uint32)
