@@ -8,8 +8,8 @@ predictions into one distribution of total 2**24:
 * order 1: the id that last followed the previous id, with weight b * 2**18;
 * order 2: the id that last followed the previous two, with weight d * 2**18.
 
-a + b + d = 64; b and d adapt: they are the hit rates so far in a state made of both
-predictions' confidences and whether they agree.  The interval of an id under the mixture
+a + b + d = 64; b and d adapt: they are the hit rates, of which newer ids count more, in a state made of
+how often in a row both predictions were right and whether they agree.  The interval of an id under the mixture
 drives a 64-bit range coder that emits 32-bit words and carries into words already written.
 
 Lanes (blocks) are independent, so one step codes the next id of every block at once.
@@ -18,13 +18,16 @@ Lanes (blocks) are independent, so one step codes the next id of every block at
 from __future__ import annotations
 
 import struct
+import sys
 import zlib
 
 import numpy as np
 
 BLOCK = 2048
-MAGIC = b"CMR1"
-_T1, _T2 = 11, 12
+MAGIC = b"CMR2"
+_T1, _T2 = 9, 10
+_SOME = 32  # blocks that are turned at a time
+_LOW = 0 if sys.byteorder == "little" else 1  # place of the lower half of a number
 _F = 18
 U64 = np.uint64
 
@@ -33,9 +36,11 @@ class CorruptBlock(ValueError):
     """A block does not decode to the ids its checksum was made of."""
 
 
-_C = 20  # bits of each of the three counts that share a number
-_M = np.int64((1 << _C) - 1)
 _U32 = np.uint32
+_MOST = _U32(0xFFFF)
+_RATE = 5
+_LOSS = _U32((0xFFFF >> _RATE) * 0x10001)  # keeps what is shifted out of the upper rate from the lower one
+_GAIN = np.array([0, 1, 1 << 16, 1 << 16], _U32) * _U32((1 << 16 - _RATE) - 1)  # by which of the two candidates was right
 
 
 def _at(values: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -44,75 +49,58 @@ def _at(values: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 class _Model:
-    """Followers of the last id and the last two by lane, and how often they were right.
+    """Followers of the last id and the last two by lane, and how often they are right.
 
-    Everything a step looks up is one number a place: a follower with how sure it is (0 to 3), three counts.
+    Everything a step looks up is one number a place: a follower with how often it was right in a row (3 at most), two rates.
     """
 
     def __init__(self, lanes: int):
         self.s1, self.s2 = np.zeros(lanes << _T1, _U32), np.zeros(lanes << _T2, _U32)
-        self.counts = np.full(lanes << 5, 8 | 1 << _C | 1 << 2 * _C, np.int64)  # seen, right by one id, right by two
+        self.rates = np.full(lanes << 5, 1 << 13 | 1 << 29, _U32)  # right by one id, right by two; of 2**16
         lane = np.arange(lanes, dtype=np.int64)
         self.at1, self.at2, self.atw = lane << _T1, lane << _T2, lane << 5
         self.p1 = self.p2 = np.zeros(lanes, _U32)
 
     def predict(self, n: int):
-        """For the first n lanes: candidates of order 1 and 2 and their weights."""
+        """For the first n lanes: candidates of order 1 and 2 and their weights out of 2**24."""
         h = self.p1[:n] * _U32(2654435761)
         self.i1 = self.at1[:n] + (h >> _U32(32 - _T1))
         h ^= self.p2[:n] * _U32(2246822519)
         self.i2 = self.at2[:n] + (h >> _U32(32 - _T2))
-        x1, x2 = self.x1, self.x2 = _at(self.s1, self.i1), _at(self.s2, self.i2)
-        self.c1, self.c2 = x1 >> _U32(2), x2 >> _U32(2)
-        self.q1, self.q2 = x1 & _U32(3), x2 & _U32(3)
-        state = (self.c1 == self.c2).astype(_U32)
-        state <<= _U32(4)
-        state += self.q1
-        state += self.q2 << _U32(2)
+        x1, x2 = _at(self.s1, self.i1), _at(self.s2, self.i2)
+        c1, c2 = x1 >> _U32(2), x2 >> _U32(2)
+        x1 &= _U32(3)
+        x2 &= _U32(3)
+        state = x2 << _U32(2)
+        state += x1
+        state += (c1 == c2) * _U32(16)
+        self.q1, self.q2 = x1, x2
         self.w = self.atw[:n] + state
-        self.v = _at(self.counts, self.w)
-        # 60 shared out by the counts; rounded alike in both directions, and never more than 60 in all
-        share = np.float32(60) / (self.v & _M).astype(np.float32)
-        b = ((self.v >> _C) & _M).astype(np.float32)
-        d = (self.v >> 2 * _C).astype(np.float32)
-        return self.c1, self.c2, _whole(b, share), _whole(d, share)
-
-    def update(self, n: int, s: np.ndarray) -> None:
-        hit1, hit2 = s == self.c1, s == self.c2
-        self.v += 1
-        self.v += hit2.astype(np.int64) << 2 * _C
-        self.v += (hit1 & ~hit2).astype(np.int64) << _C
-        self.counts[self.w] = self.v
+        v = self.v = _at(self.rates, self.w)
+        b, d = v & _MOST, v >> _U32(16)
+        b *= _U32(60)
+        d *= _U32(60)
+        b >>= _U32(16)
+        d >>= _U32(16)
+        return c1, c2, b, d
+
+    def update(self, n: int, s: np.ndarray, hit1: np.ndarray, hit2: np.ndarray) -> None:
+        v = self.v
+        loss = v >> _U32(_RATE)
+        loss &= _LOSS
+        v -= loss
+        v += _at(_GAIN, hit1 + 2 * hit2.view(np.uint8))
+        self.rates[self.w] = v
         new = s << _U32(2)
-        for known, i, x, q, hit in ((self.s1, self.i1, self.x1, self.q1, hit1), (self.s2, self.i2, self.x2, self.q2, hit2)):
-            # surer by one up to 3, less sure by one, or replaced where it was not sure at all; without choices, which take several times as long
-            unsure = q == 0
-            x += hit & (q != 3)
-            x -= ~(hit | unsure)
-            x ^= (x ^ new) & -(unsure > hit).astype(_U32)
-            known[i] = x
+        for known, i, q, hit in ((self.s1, self.i1, self.q1, hit1), (self.s2, self.i2, self.q2, hit2)):
+            q += q < 3
+            q *= hit
+            q += new
+            known[i] = q
         self.p2 = self.p1[:n]
         self.p1 = s
 
 
-def _whole(count: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """The whole part of count * share; a product that falls short of a whole number by rounding counts as it."""
-    return (count * share + np.float32(1e-4)).astype(_U32)
-
-
-def _intervals(cum, freq, s, c1, c2, b, d):
-    """Start and width of the ids s under the mixture, out of 2**24."""
-    a = _U32(64) - b - d
-    b, d = b << _U32(_F), d << _U32(_F)
-    start = a * _at(cum, s)
-    start += b * (s > c1)
-    start += d * (s > c2)
-    width = a * _at(freq, s)
-    width += b * (s == c1)
-    width += d * (s == c2)
-    return start, width
-
-
 def _histogram(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct ids and their shares of 2**18, each 1 at least."""
     if ids.max() < 1 << 24:  # a count for each id, without a sort
@@ -128,6 +116,29 @@ def _histogram(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found.astype(np.uint32), share.astype(np.uint32)
 
 
+def _own(both: np.ndarray, s: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and width of the ids s by the histogram alone, of weight a."""
+    x = _at(both, s)
+    x *= a
+    x = x.view(_U32)
+    return x[_LOW::2].copy(), x[1 - _LOW :: 2].copy()
+
+
+def _gathered(sent: list, carried: list, words: np.ndarray) -> np.ndarray:
+    """The words of all lanes, one lane after the other.
+
+    sent: lanes and the next word of each, step by step; carried: lanes that had a carry into their words so far and
+    how many those were; words: how many each has.  Carries are added at the end, as their order does not matter.
+    """
+    out = np.concatenate([x for _, x in sent])[np.argsort(np.concatenate([x for x, _ in sent]), kind="stable")].astype(U64)
+    first = np.cumsum(words) - words - 1
+    np.add.at(out, first[np.concatenate([x for x, _ in carried])] + np.concatenate([n for _, n in carried]), U64(1))
+    while len(over := np.flatnonzero(out >> U64(32))):  # a carry into a full word goes on to the one before
+        out[over] &= U64(0xFFFFFFFF)
+        out[over - 1] += U64(1)
+    return out.astype("<u4")
+
+
 def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     """The file of a sequence of ids below 2**32."""
     ids = np.ascontiguousarray(ids, np.uint32)
@@ -139,45 +150,53 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     if found[-1] < 1 << 24:
         place = np.zeros(int(found[-1]) + 1, np.uint32)
         place[found] = np.arange(len(found), dtype=np.uint32)
-        number = lambda x: place[x]
+        number = lambda x: _at(place, x)
     else:
         number = lambda x: np.searchsorted(found, x).astype(np.uint32)
     grid = np.zeros((block, lanes), np.uint32)
-    for i in range(lanes):  # a block at a time, so nothing of the file's length is made beside the grid
-        own = ids[i * block : (i + 1) * block]
-        grid[: len(own), i] = number(own)
+    for i in range(0, lanes, _SOME):  # some blocks at a time, so nothing of the file's length is made beside the grid
+        own = number(ids[i * block : (i + _SOME) * block])
+        grid[:, i : i + _SOME] = np.append(own, np.zeros(-len(own) % block, _U32)).reshape(-1, block).T
     low, span, words = np.zeros(lanes, U64), np.full(lanes, 2**64 - 1, U64), np.zeros(lanes, np.int64)
-    out = np.zeros((lanes, block + 2), np.uint32)
-    model, lane = _Model(lanes), np.arange(lanes)
+    model, sent, carried, short = _Model(lanes), [], [], np.uint16 if lanes <= 1 << 16 else np.int64  # short numbers are sorted faster
+    both = cum.astype(U64) | freq.astype(U64) << U64(32)
     for t in range(min(block, n)):
         k = lanes if t < n - (lanes - 1) * block else lanes - 1  # only the last block can be short
         s = grid[t, :k]
-        start, width = _intervals(cum, freq, s, *model.predict(k))
+        c1, c2, b, d = model.predict(k)
+        hit1, hit2 = s == c1, s == c2
+        start, width = _own(both, s, _U32(64) - b - d)
+        b <<= _U32(_F)
+        d <<= _U32(_F)
+        start += b * (s > c1)
+        start += d * (s > c2)
+        width += b * hit1
+        width += d * hit2
         r = span[:k] >> U64(24)
-        add = r * start
-        new = low[:k] + add
-        for i in np.flatnonzero(new < add):
-            j = words[i] - 1
-            while out[i, j] == 0xFFFFFFFF:
-                out[i, j] = 0
-                j -= 1
-            out[i, j] += 1
+        new = r * start
         r *= width
+        new += low[:k]
+        over = np.flatnonzero(new < low[:k])
+        carried.append((over, words[over]))
         small = np.flatnonzero(r < U64(1 << 32))
-        if len(small):
-            out[small, words[small]] = new[small] >> U64(32)
-            words[small] += 1
-            new[small] <<= U64(32)
-            r[small] <<= U64(32)
+        top = new[small]
+        sent.append((small.astype(short), (top >> U64(32)).astype(_U32)))
+        words[small] += 1
+        new[small] = top << U64(32)
+        r[small] <<= U64(32)
         low[:k], span[:k] = new, r
-        model.update(k, s)
-    out[lane, words], out[lane, words + 1] = low >> U64(32), low & U64(0xFFFFFFFF)
+        model.update(k, s, hit1, hit2)
+    del model, grid
+    every = np.arange(lanes, dtype=short)
+    sent += [(every, (low >> U64(32)).astype(_U32)), (every, (low & U64(0xFFFFFFFF)).astype(_U32))]
     words += 2
+    out = _gathered(sent, carried, words)
     head = zlib.compress(np.diff(found, prepend=np.uint32(0)).astype("<u4").tobytes() + share.astype("<u4").tobytes(), 1)
     parts = [MAGIC, struct.pack("<QII", n, block, len(head)), head]
+    ends = np.cumsum(words)
     for i in range(lanes):
         own = ids[i * block : (i + 1) * block]
-        parts += [struct.pack("<III", len(own), int(words[i]), zlib.crc32(own.astype("<u4").tobytes())), out[i, : words[i]].astype("<u4").tobytes()]
+        parts += [struct.pack("<III", len(own), int(words[i]), zlib.crc32(own.astype("<u4").tobytes())), out[ends[i] - words[i] : ends[i]].tobytes()]
     return b"".join(parts)
 
 
@@ -200,44 +219,55 @@ def decode(data: bytes, only: int | None = None) -> np.ndarray:
         at += 12 + 4 * heads[-1][1]
     if only is not None:  # every block starts from the same state
         heads, payload, lanes, n = [heads[only]], [payload[only]], 1, heads[only][0]
-    source = np.zeros((lanes, max(map(len, payload)) + 1), U64)
-    for i, x in enumerate(payload):
-        source[i, : len(x)] = x
-    code, span, read = (source[:, 0] << U64(32)) | source[:, 1], np.full(lanes, 2**64 - 1, U64), np.full(lanes, 2, np.int64)
+    source = np.concatenate(payload)
+    first = np.cumsum([0, *map(len, payload[:-1])])
+    code, span, read = source[first].astype(U64) << U64(32) | source[first + 1], np.full(lanes, 2**64 - 1, U64), first + 2
     grid, model = np.zeros((block, lanes), np.uint32), _Model(lanes)
+    both = cum.astype(U64) | freq.astype(U64) << U64(32)
     for t in range(min(block, n)):
         k = lanes if t < n - (lanes - 1) * block else lanes - 1
         c1, c2, b, d = model.predict(k)
         r = span[:k] >> U64(24)
         v = np.minimum(code[:k] // r, U64((1 << 24) - 1)).astype(_U32)
-        a = _U32(64) - b - d
-        first = c1 < c2
-        lo, hi = np.where(first, c1, c2), np.where(first, c2, c1)
-        w_lo, w_hi = np.where(first, b, d) << _U32(_F), np.where(first, d, b) << _U32(_F)
-        size = _U32(len(found) - 1)
-        lo_c, hi_c = np.minimum(lo, size), np.minimum(hi, size)
-        x_lo = a * _at(cum, lo_c)
-        y_lo = x_lo + a * _at(freq, lo_c)  # the order-0 part of lo, then its weight
-        v1 = np.where(v >= y_lo + w_lo, v - w_lo, np.minimum(v, y_lo - 1))
-        x_hi = a * _at(cum, hi_c)
-        y_hi = x_hi + a * _at(freq, hi_c)
-        v2 = np.where(v1 >= y_hi + w_hi, v1 - w_hi, np.minimum(v1, y_hi - 1))
-        s = _at(slot, np.where(v < x_lo, v, v2) // a)  # the last place for what lies beyond
-        inside = (v >= x_lo) & (v < y_lo + w_lo)
-        s = np.where(inside, lo_c, s)
-        s = np.where(~inside & (v1 >= x_hi) & (v1 < y_hi + w_hi) & (v >= x_lo), hi_c, s).astype(np.uint32)
-        start, width = _intervals(cum, freq, s, c1, c2, b, d)
+        a = _U32(64) - b - d  # then where the candidates' own intervals are, and what lies before v beside the histogram
+        b <<= _U32(_F)
+        d <<= _U32(_F)
+        same = c1 == c2
+        x1, w1 = _own(both, c1, a)
+        x2, w2 = _own(both, c2, a)
+        x1 += d * (c1 > c2)
+        x2 += b * (c2 > c1)
+        w1 += x1
+        w1 += b
+        w1 += d * same
+        w2 += x2
+        w2 += d
+        w2 += b * same
+        over1, over2 = v >= w1, v >= w2
+        hit1, hit2 = (v >= x1) > over1, (v >= x2) > over2
+        before = b * over1
+        before += d * over2
+        v -= before
+        v //= a
+        s = _at(slot, v)  # the last place for what lies beyond
+        np.copyto(s, c1, where=hit1)
+        np.copyto(s, c2, where=hit2)
+        start, width = _own(both, s, a)
+        start += before
+        width += b * hit1
+        width += d * hit2
         rest = code[:k] - r * start
         r *= width
         small = np.flatnonzero(r < U64(1 << 32))
-        if len(small):
-            rest[small] = (rest[small] << U64(32)) | source[small, np.minimum(read[small], source.shape[1] - 1)]
-            read[small] += 1
-            r[small] <<= U64(32)
+        place = read[small]
+        rest[small] = rest[small] << U64(32) | _at(source, place)
+        read[small] = place + 1
+        r[small] <<= U64(32)
         code[:k], span[:k] = rest, r
         grid[t, :k] = s
-        model.update(k, s)
-    ids = found[np.minimum(grid.T.reshape(-1)[:n], size)]
+        model.update(k, s, hit1, hit2)
+    del model
+    ids = np.concatenate([_at(found, grid[:, i : i + _SOME].T) for i in range(0, lanes, _SOME)]).reshape(-1)[:n]
     for i, (count, _, crc) in enumerate(heads):
         if zlib.crc32(ids[i * block : i * block + count].astype("<u4").tobytes()) != crc:
             raise CorruptBlock(f"block {i}")

@@ -9,7 +9,8 @@ them through Spark.
 
 Words repeat, so a task encodes each distinct piece of its texts once: a text is cut before
 white space that follows a visible character and before some signs that follow a letter, where
-this tokenizer always begins a new piece.
+this tokenizer always begins a new piece.  The first pieces a worker met stay with it,
+up to a number and a size, for its next texts.
 
 Defined results: null text is empty and has the end id alone; a null doc_id sorts first;
 rows of one doc_id follow each other in the order of their texts.  No rows give no files.
@@ -60,11 +61,22 @@ _GAP = np.zeros(256, bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
 _SEEN = np.zeros(256, bool)  # ASCII signs that are surely visible
 _SEEN[0x21:0x7F] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
-_SIGN = np.zeros(256, bool)
-_SIGN[list(b"!\"'(),.:;?&*#%$")] = True
-JOINED = 2000
+_SIGNS = b"!\"'(),.:;?&*#%$"
+JOINED = 200
+KEPT, KEPT_BYTES = 1 << 19, 8 << 20
+
+
+def _table(*kinds) -> bytes:
+    """A number for each byte: 1 if it is of the first kind, 2 if of the second, added up."""
+    out = np.zeros(256, np.uint8)
+    for i, kind in enumerate(kinds):
+        out[list(kind)] |= 1 << i
+    return out.tobytes()
+
+
+_BEFORE = _table(range(0x21, 0x7F), [*range(0x41, 0x5B), *range(0x61, 0x7B)])
+_LEAD = _table(range(0xC3, 0xE0), [0xC3])
+_SECOND = _table(range(0x80, 0xC0), {*range(0x80, 0xC0)} - {0x97, 0xB7})
 
 
 def _pieces(raw: np.ndarray, starts: np.ndarray, fixed: bytes = b"") -> np.ndarray:
@@ -73,25 +85,25 @@ def _pieces(raw: np.ndarray, starts: np.ndarray, fixed: bytes = b"") -> np.ndarr
     Surely visible are ASCII signs and characters of two bytes from U+00C0 on; letters those of ASCII and U+00C0 to U+00FF.
     fixed: bytes of tokens that are found in a text before it is cut into pieces; none of these signs begins a piece.
     """
-    sign = _SIGN.copy()
-    sign[list(fixed)] = False
-    gap, sign, begin = _GAP[raw], sign[raw], np.zeros(len(raw), bool)
-    begin[1:] = gap[1:] & _SEEN[raw[:-1]] | sign[1:] & _LETTER[raw[:-1]]
-    two, lead = (raw[1:-1] >= 0x80) & (raw[1:-1] < 0xC0), raw[:-2]
-    begin[2:] |= gap[2:] & (lead >= 0xC3) & (lead <= 0xDF) & two
-    begin[2:] |= sign[2:] & (lead == 0xC3) & two & (raw[1:-1] != 0x97) & (raw[1:-1] != 0xB7)
-    begin[starts] = True
-    return np.flatnonzero(begin)
+    data = raw.tobytes()
+    number = lambda table: np.frombuffer(data.translate(table), np.uint8)
+    after, begin = number(_table([9, 10, 11, 12, 13, 32], set(_SIGNS) - set(fixed))), np.zeros(len(raw), np.uint8)
+    np.bitwise_and(after[1:], number(_BEFORE)[:-1], out=begin[1:])
+    two = number(_LEAD)[:-2] & number(_SECOND)[1:-1]
+    two &= after[2:]
+    begin[2:] |= two
+    begin[starts] = 1
+    return np.flatnonzero(begin != 0)
 
 
-def _encode_pieces(library, opens: np.ndarray, pieces: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The ids of all pieces as lists, and the number of each piece's list.
+def _encode_pieces(library, opens: np.ndarray, pieces: pa.Array) -> pa.Array:
+    """The ids of all pieces as lists.
 
     Pieces of one ASCII white space and more that end in a character that is surely visible are encoded many at a time,
     joined: each begins a new piece there as well, and their ids fall apart before each token that opens with white space.
     """
-    raw, ends = np.frombuffer(pieces.buffers()[2], np.uint8), np.frombuffer(pieces.buffers()[1], np.int64)[: len(pieces) + 1]
-    raw = raw[: ends[-1]]
+    ends = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset : pieces.offset + len(pieces) + 1]
+    raw, ends = np.frombuffer(pieces.buffers()[2], np.uint8)[ends[0] : ends[-1]], ends - ends[0]
     first, last, size = ends[:-1], ends[1:] - 1, np.diff(ends)
     two = (raw[last] >= 0x80) & (raw[last] < 0xC0) & (raw[np.maximum(last - 1, 0)] >= 0xC3) & (raw[np.maximum(last - 1, 0)] <= 0xDF)
     plain = _GAP[raw[first]] & (np.add.reduceat(_GAP[raw].astype(np.int32), first) == 1) & (size > 1) & (_SEEN[raw[last]] | two & (size > 2))
@@ -118,14 +130,20 @@ def _encode_pieces(library, opens: np.ndarray, pieces: pa.Array) -> tuple[pa.Arr
     number = np.zeros(len(pieces), np.int32)
     number[np.concatenate([*order, rest])] = np.arange(len(pieces), dtype=np.int32)
     upto = np.concatenate(([0], np.cumsum(np.concatenate(counts))))
-    return pa.LargeListArray.from_arrays(pa.array(upto, pa.int64()), pa.array(np.concatenate(flat), pa.uint32())), number
+    return pa.LargeListArray.from_arrays(pa.array(upto, pa.int64()), pa.array(np.concatenate(flat), pa.uint32())).take(pa.array(number))
+
+
+def _known(path: str | None, pieces: pa.Array, lists: pa.Array) -> None:
+    """Keep the first KEPT pieces, of KEPT_BYTES at most, with their ids for the worker's next texts."""
+    most = min(KEPT, int(np.searchsorted(np.frombuffer(pieces.buffers()[1], np.int64)[: len(pieces) + 1], KEPT_BYTES, "right")) - 1, len(pieces))
+    worker_store()["pieces", path] = tuple(x if most == len(x) else x.take(pa.array(np.arange(most))) for x in (pieces, lists))
 
 
 def encode_texts(texts: list[str] | pa.Array, path: str | None = None, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts, as the library gives them for whole texts without special tokens, each with the end id if given; and how many each has.
 
     texts: strings, or an Arrow array of them without nulls.  Each distinct piece is encoded once, whatever number of
-    texts hold it; pieces are compared as bytes.
+    texts hold it; pieces are compared as bytes.  A worker keeps the first pieces it met with their ids.
     """
     library, opens = tokenizer(path)
     texts = (pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts).cast(pa.large_binary())
@@ -135,12 +153,15 @@ def encode_texts(texts: list[str] | pa.Array, path: str | None = None, end: int
     raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[first[0] : first[-1]]
     first = first - first[0]
     at = _pieces(raw, first[:-1][np.diff(first) > 0], b"".join(x.content.encode() for x in library.get_added_tokens_decoder().values()))
-    found = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(raw)).astype(np.int64)), pa.py_buffer(raw)]).dictionary_encode()
+    found = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(raw)).astype(np.int64)), pa.py_buffer(raw)])
+    known, lists = worker_store().get(("pieces", path)) or (pa.array([], pa.large_binary()), pa.array([], pa.large_list(pa.uint32())))
+    which = np.zeros(0, np.int32)
     if len(at):
-        lists, number = _encode_pieces(library, opens, found.dictionary)
-    else:
-        lists, number = pa.array([], pa.large_list(pa.uint32())), np.zeros(0, np.int32)
-    which = number[found.indices.to_numpy()]
+        found = pa.chunked_array([known, found]).dictionary_encode().chunks[-1]  # one dictionary, of known pieces first
+        which = found.indices.to_numpy()
+        if len(found.dictionary) > len(known):
+            lists = pa.concat_arrays([lists, _encode_pieces(library, opens, found.dictionary.slice(len(known)))])
+            _known(path, found.dictionary, lists)
     ends = np.searchsorted(at, first[1:])  # of each text's pieces
     if end is not None:
         which, ends = np.insert(which, ends, len(lists)), ends + np.arange(1, len(texts) + 1)

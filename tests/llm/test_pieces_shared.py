@@ -37,3 +37,21 @@ def test_words_of_other_letters_are_encoded_together(monkeypatch):
     want = [e.ids + [2] for e in library.encode_batch(texts, add_special_tokens=False)]
     assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
     assert counted.texts < 200  # one for each distinct word and sign together before
+
+
+def test_pieces_of_earlier_texts_are_not_encoded_again(monkeypatch):
+    library, opens = op6_tokens.tokenizer(None)
+    counted, store = Counted(library), {}
+    monkeypatch.setattr(op6_tokens, "tokenizer", lambda path: (counted, opens))
+    monkeypatch.setattr(op6_tokens, "worker_store", lambda: store)
+    texts = ["kept words, kept signs. é", "", " another one"]
+    want = [i for t in texts for i in library.encode(t, add_special_tokens=False).ids + [2]]
+    assert op6_tokens.encode_texts(texts, None, 2)[0].tolist() == want
+    counted.texts = 0
+    assert op6_tokens.encode_texts(texts[::-1] + texts, None, 2)[0].tolist()[-len(want) :] == want
+    assert counted.texts == 0
+    monkeypatch.setattr(op6_tokens, "KEPT", 3)  # what is kept is bounded, results are not
+    store.clear()
+    for _ in range(2):
+        assert op6_tokens.encode_texts(texts, None, 2)[0].tolist() == want
+        assert len(store["pieces", None][0]) == len(store["pieces", None][1]) == 3
