@@ -73,9 +73,10 @@ CROSS = {
     "disallowed-has-incoming-hreflang": f"p.disallowed AND {_TONGUE}",
     "missing-hreflang-annotations": "EXISTS (SELECT 1 FROM lang) AND p.page_id NOT IN (SELECT page_id FROM lang)",
 }
+_TEXT = r"trim(regexp_replace(lower(body_text), '\s+', ' ', 'g'))"
 _TABLES = r"""
 pg AS MATERIALIZED (SELECT page_id, crawl_order, page_key AS key, canon, coalesce(moved, false) AS moved, noindex, soft_noindex, disallowed, status, in_sitemap, has_langs, coalesce(is_html AND status = 200 AND fetch_error IS NULL, false) AS live, page_key = home_key AS home, title_l, h1_l, description_l,
-  CASE WHEN text_units > 200 THEN substring(trim(regexp_replace(lower(body_text), '\s+', ' ', 'g')), 1, 2000) ELSE '' END AS content, size AS bytes, coalesce(TRY_CAST(regexp_extract(coalesce(headers['cache-control'], ''), 'max-age=([0-9]+)', 1) AS BIGINT), 0) AS age FROM r),
+  CASE WHEN text_units > 200 THEN {content} ELSE '' END AS content, size AS bytes, coalesce(TRY_CAST(regexp_extract(coalesce(headers['cache-control'], ''), 'max-age=([0-9]+)', 1) AS BIGINT), 0) AS age FROM r),
 tg AS MATERIALIZED (SELECT * FROM pg QUALIFY row_number() OVER (PARTITION BY key ORDER BY crawl_order DESC, page_id DESC) = 1),
 ul AS (SELECT page_id, page_key AS src, unnest(links) AS l FROM r),
 ref AS MATERIALIZED (SELECT page_id, 'canon' AS kind, canon AS key FROM r UNION SELECT page_id, 'link', l.key FROM ul WHERE l.internal AND l.href IS NOT NULL UNION SELECT page_id, 'out', l.key FROM ul WHERE l.external AND l.href IS NOT NULL
@@ -88,9 +89,14 @@ orphan AS MATERIALIZED (SELECT DISTINCT key FROM pg WHERE live AND NOT home AND
 LANG_SCOPE = ("missing-reciprocal-hreflang", "hreflang-to-broken-url", "hreflang-to-redirect", "hreflang-to-noindex", "hreflang-to-disallowed", "hreflang-non-canonical", "hreflang-group-not-crawled")
 
 
+def tables(whole: bool = False) -> str:
+    """The tables that CROSS reads; whole: texts are compared to their end, not by their first 2,000 characters."""
+    return _TABLES.format(content=_TEXT if whole else f"substring({_TEXT}, 1, 2000)")
+
+
 def cross_page(severities: dict[str, str]) -> str:
     found = " UNION ALL ".join(f"SELECT page_id, '{i}' AS check_id, '{severities[i]}' AS severity FROM pg p WHERE {'p.has_langs' if i in LANG_SCOPE else 'true' if i == 'missing-hreflang-annotations' else 'p.live'} AND coalesce({q}, false)" for i, q in CROSS.items())
-    return f"WITH {standins.sql()}, {_TABLES} {found}"
+    return f"WITH {standins.sql()}, {tables()} {found}"
 
 
 def _found() -> str:
