@@ -38,3 +38,14 @@ def test_texts_are_compared_to_their_end(spark):
 def test_full_report_compares_whole_texts(spark, tmp_path):
     ours, theirs = _both(spark, _tables(spark, tmp_path, {49: "one", 63: "two", 98: "two", 112: "three"}), "full_report")
     assert ours == theirs and [(r[4], r[6], r[8]) for r in ours if r[1] == CHECK] == [("failed", 2, "63,98")]
+
+
+def test_severities_compare_whole_texts(spark, tmp_path):
+    apart, one = ("apart", {49: "one", 63: "two"}), ("one", {49: "one", 63: "one"})
+    failed = {}
+    for name, ends in (apart, one):
+        (tmp_path / name).mkdir()
+        ours, theirs = _both(spark, _tables(spark, tmp_path / name, ends), "report_severities")
+        assert ours == theirs
+        failed[name] = {severity: n for _, severity, n in ours}
+    assert failed["one"] == failed["apart"] | {"critical": failed["apart"]["critical"] + 1}
